@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlab.llm import quality_classifier, quality_rules
+from marketlab.llm import quality_classifier, quality_rules, secret_scan, source_mix
 from marketlab.llm._store import table
 
 
@@ -22,6 +22,17 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_classifier.held_out().alias("held_out"), "score", "predicted")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken, goals = source_mix.mix(table(spark, sf_dir, "documents"))
+    # A row a source: the ones whose totals made the flow.
+    joined = taken.join(F.broadcast(goals), taken["pattern"][0].eqNullSafe(goals["source"]), "left")
+    return joined.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
