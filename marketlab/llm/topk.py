@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 BLOCK, QUERY_BLOCK, FIRST_DEPTH = 8192, 256, 256
+#: For each byte, which of its bits are not set.
+_UNSET = 1.0 - (np.arange(256)[:, None] >> np.arange(8) & 1)
 
 
 class SortedLists:
@@ -86,8 +88,7 @@ class SortedLists:
         out = np.zeros(seen.shape[1])
         for g in range(len(seen)):
             part = value[8 * g : 8 * g + 8]
-            table = np.array([sum(v for j, v in enumerate(part) if not m >> j & 1) for m in range(256)])
-            out += table[seen[g]]
+            out += (_UNSET[:, : len(part)] @ part)[seen[g]]
         return out
 
 
