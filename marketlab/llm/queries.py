@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlab.llm import chat_format, quality_classifier, quality_rules, secret_scan, source_mix, topk
+from marketlab.llm import chat_format, near_dup, quality_classifier, quality_rules, secret_scan, source_mix, topk
 from marketlab.llm._store import table
 
 
@@ -40,6 +40,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken, goals = source_mix.mix(table(spark, sf_dir, "documents"))
     # A row a source: the ones whose totals made the flow.
