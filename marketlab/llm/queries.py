@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlab.llm import chat_format, near_dup, quality_classifier, quality_rules, secret_scan, source_mix, topk
+from marketlab.llm import chat_format, near_dup, quality_classifier, quality_rules, secret_scan, source_mix, substring_dedup, topk
 from marketlab.llm._store import table
 
 
@@ -51,6 +51,10 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.report(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
