@@ -7,10 +7,12 @@ that still hold several suffixes are opened further.
 1. Sparse suffixes: of the ANCHOR-word prefixes inside every window one is chosen by least fingerprint,
    so equal windows choose the same one, at the same place. Suffixes are grouped by that prefix; a prefix
    that occurs once has no internal node below it, and goes.
-2. The surviving suffixes are opened to whole windows (prefixes of ``window`` words) and grouped again. A
-   group's least document keeps the window, every other one loses the words that it covers.
+2. The surviving suffixes are grouped by the run of all words in windows that chose them. Only a run's
+   least document keeps it; in all others those windows go.
+3. Runs left open are cut to single windows (prefixes of ``window`` words) and grouped a last time: a
+   window that a smaller document has, in a run that differs elsewhere, goes too.
 
-Before either shuffle a slice settles what it can by itself: of a frequent prefix it sends one row, of a
+Before each shuffle a slice settles what it can by itself: of a frequent prefix it sends one row, of a
 frequent window only its least document's rows. So one very common passage costs rows in proportion to
 the slices, not to its occurrences, and groups are streamed in sorted order without being held.
 
@@ -27,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketlab.llm._store import materialize
 from marketlab.llm._text import U64, Words, long, mix, slices
 
 WINDOW, ANCHOR = 13, 5
@@ -54,7 +57,7 @@ def _spread(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _suffixes(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(prefix, doc, at, sure) of chosen suffixes; sure: its slice has the prefix more than once."""
+    """(key, doc, at) of chosen suffixes. at: four times the word, plus 2 if the slice has the prefix more than once, plus 1 if the row stands for its prefix."""
 
     def run(batches):
         for batch in batches:
@@ -71,11 +74,11 @@ def _suffixes(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 heads[head] = True
                 sure = ~heads
                 sure[head[count > 1]] = True
+                # Of a frequent prefix the first suffix stands for all under the prefix; the others pass on by themselves.
                 key = np.where(heads, prefix.view(np.int64), _spread(doc, at))
-                # A frequent prefix: its first suffix stands for all under the prefix, the others pass on by themselves.
-                yield pa.RecordBatch.from_arrays([pa.array(key), long(doc), pa.array(at.astype(np.int32)), pa.array(sure), pa.array(heads)], ["key", "doc", "at", "sure", "heads"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), long(doc), pa.array((4 * at + 2 * sure + heads).astype(np.int32))], ["key", "doc", "at"])
 
-    return docs.mapInArrow(run, "key long, doc long, at int, sure boolean, heads boolean")
+    return docs.mapInArrow(run, "key long, doc long, at int")
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
@@ -100,91 +103,116 @@ def _shared_suffixes(suffixes: DataFrame) -> DataFrame:
     """(doc, at) of suffixes whose prefix occurs again."""
 
     def run(batches):
-        for (key, doc, at, sure, heads), before, after in _sorted_groups(batches):
-            keep = sure | (heads & (before | after))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(at[keep])], ["doc", "at"])
+        for (_, doc, at), before, after in _sorted_groups(batches):
+            keep = (at & 2 > 0) | ((at & 1 > 0) & (before | after))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(at[keep] >> 2)], ["doc", "at"])
 
     return suffixes.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc long, at int")
 
 
-def _windows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """Windows of surviving suffixes (column ``places``): (key, doc, at, until), key null for ranges a slice has settled."""
+def _settle(key: np.ndarray, doc: np.ndarray, at: np.ndarray, until: np.ndarray) -> pa.RecordBatch:
+    """Rows of one slice: those of a key's least document stay open, the others are lost already (at < 0) and need no company."""
+    order = np.lexsort((doc, key))
+    head = np.ones(len(order), bool)
+    head[1:] = key[order[1:]] != key[order[:-1]]
+    least = np.empty(len(order), np.int64)
+    if len(order):
+        least[order] = doc[order[head]][np.cumsum(head) - 1]
+    lost = doc != least
+    return pa.RecordBatch.from_arrays([pa.array(np.where(lost, _spread(doc, at), key.view(np.int64))), long(doc), pa.array(np.where(lost, -1 - at, at).astype(np.int32)), pa.array(until.astype(np.int32))], ["key", "doc", "at", "until"])
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Lengths of list values (null: 0), and all their elements."""
+    return np.array(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64), column.flatten()
+
+
+def _spans(docs: DataFrame, window: int, anchor: int) -> DataFrame:
+    """For each surviving suffix (column ``places``) the run of windows that chose it, under a fingerprint of all its words."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
-            places = batch.column("places")
             for lo, hi, data, off in slices(batch.column("text")):
                 w = Words(data, off)
                 start, whole, place, _ = anchors(w, window, anchor)
                 mark = np.zeros(len(w.start) + 1, bool)
-                own = places.slice(lo, hi - lo)
-                flat = own.flatten().to_numpy(zero_copy_only=False)
-                count = np.array(own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-                mark[np.minimum(np.repeat(w.first[:-1], count) + flat, len(w.start))] = True
-                keep = mark[place]
-                start, whole = start[keep], whole[keep]
+                count, flat = _lists(batch.column("places").slice(lo, hi - lo))
+                mark[np.minimum(np.repeat(w.first[:-1], count) + flat.to_numpy(zero_copy_only=False), len(w.start))] = True
+                first = np.flatnonzero(np.append(len(place) > 0, place[1:] != place[:-1]))  # windows of one suffix follow each other
+                last = np.append(first[1:], len(place)) - 1
+                keep = mark[place[first]]
+                first, last = first[keep], last[keep]
+                # The first window and the last one hold every word of the run.
+                key = mix(whole[first] * U64(0x9E3779B97F4A7C15) + mix(whole[last] + (last - first).astype(U64) * U64(1 << 20) + (place[first] - start[first]).astype(U64)))
+                doc = ids[lo + w.doc[start[first]]] if len(first) else np.zeros(0, np.int64)
+                base = w.first[w.doc[start[first]]] if len(first) else first
+                yield _settle(key, doc, start[first] - base, start[last] + 1 - base)
+
+    return docs.mapInArrow(run, "key long, doc long, at int, until int")
+
+
+def _windows(docs: DataFrame, window: int) -> DataFrame:
+    """Every window of the ranges in column ``open``, under its fingerprint."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            for lo, hi, data, off in slices(batch.column("text")):
+                w = Words(data, off)
+                start, whole = w.windows(w.hashes(), window)
+                inside = _ranges(w, batch.column("open").slice(lo, hi - lo), 0)[start]
+                start, whole = start[inside], whole[inside]
                 doc = ids[lo + w.doc[start]] if len(start) else np.zeros(0, np.int64)
-                order = np.lexsort((doc, whole))
-                head = np.ones(len(order), bool)
-                head[1:] = whole[order[1:]] != whole[order[:-1]]
-                least = np.empty(len(order), np.int64)
-                if len(order):
-                    group = np.cumsum(head) - 1
-                    least[order] = doc[order[head]][group]
-                open_ = doc == least
-                at = start - w.first[w.doc[start]]
-                yield pa.RecordBatch.from_arrays([pa.array(whole[open_].view(np.int64)), long(doc[open_]), pa.array(at[open_].astype(np.int32)), pa.array((at[open_] + 1).astype(np.int32))], names)
-                s, d, a = start[~open_], doc[~open_], at[~open_]
-                if len(s):
-                    cut = np.append(True, (np.diff(s) != 1) | (np.diff(w.doc[s]) != 0))
-                    last = np.append(cut[1:], True)
-                    yield pa.RecordBatch.from_arrays([pa.array(_spread(d[cut], a[cut])), long(d[cut]), pa.array((-1 - a[cut]).astype(np.int32)), pa.array((a[last] + 1).astype(np.int32))], names)
-
-    names = ["key", "doc", "at", "until"]
+                at = start - w.first[w.doc[start]] if len(start) else start
+                yield _settle(whole, doc, at, at + 1)
+
     return docs.mapInArrow(run, "key long, doc long, at int, until int")
 
 
-def _lost_windows(windows: DataFrame) -> DataFrame:
-    """(doc, at, until): ranges of windows that occur in a smaller document. Rows with at < 0 are settled ranges."""
+def _judged(rows: DataFrame) -> DataFrame:
+    """(doc, at, until, lost): a range is lost if its key occurs in a smaller document."""
 
     def run(batches):
         least = None
-        for (key, doc, at, until), before, _ in _sorted_groups(batches):
-            if not len(key):
+        for (_, doc, at, until), before, _ in _sorted_groups(batches):
+            if not len(doc):
                 continue
-            first = np.flatnonzero(~before)
-            group = np.cumsum(~before)
-            head = np.append(least if least is not None and before[0] else doc[0], doc[first]) if before[0] else doc[first]
-            head = head[group] if before[0] else head[group - 1]
-            lost = (at < 0) | (doc > head)
+            head = doc[~before]
+            if before[0]:
+                head = np.append(least, head)
+            head = head[np.cumsum(~before) - (not before[0])]
             least = head[-1]
-            begin = np.where(at < 0, -1 - at, at)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[lost]), pa.array(begin[lost].astype(np.int32)), pa.array(until[lost])], ["doc", "at", "until"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.where(at < 0, -1 - at, at).astype(np.int32)), pa.array(until), pa.array((at < 0) | (doc > head))], ["doc", "at", "until", "lost"])
 
-    return windows.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(run, "doc long, at int, until int")
+    return rows.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(run, "doc long, at int, until int, lost boolean")
 
 
 def lost_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """docs: (id, text). Adds ``lost``, the ranges of first words (at, until) of the windows that go; null: none."""
     rows, docs = docs.where("id is null"), docs.where("id is not null")
-    places = _shared_suffixes(_suffixes(docs, window, anchor)).groupBy("doc").agg(F.collect_set("at").alias("places"))
-    opened = docs.join(places, docs["id"] == places["doc"]).select("id", "text", "places")
-    lost = _lost_windows(_windows(opened, window, anchor)).groupBy("doc").agg(F.collect_list(F.struct("at", "until")).alias("lost"))
+
+    def of(found: DataFrame, name: str) -> DataFrame:
+        return found.groupBy("doc").agg(F.collect_list(F.struct("at", "until")).alias(name)).hint("shuffle_hash")
+
+    places = _shared_suffixes(_suffixes(docs, window, anchor)).groupBy("doc").agg(F.collect_set("at").alias("places")).hint("shuffle_hash")
+    spans = materialize(_judged(_spans(docs.join(places, docs["id"] == places["doc"]).select("id", "text", "places"), window, anchor)), "spans")
+    unsettled = of(spans.where("not lost"), "open")
+    windows = _judged(_windows(docs.join(unsettled, docs["id"] == unsettled["doc"]).select("id", "text", "open"), window))
+    lost = of(spans.where("lost").unionByName(windows.where("lost")), "lost")
     found = docs.join(lost, docs["id"] == lost["doc"], "left").select("id", "text", "lost")
     return found.unionByName(rows.withColumn("lost", F.lit(None).cast(found.schema["lost"].dataType)))
 
 
-def _covered(w: Words, lost: pa.Array, window: int) -> np.ndarray:
-    """Words inside a window that goes."""
-    count = np.array(lost.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-    flat = lost.flatten()
+def _ranges(w: Words, ranges: pa.Array, more: int) -> np.ndarray:
+    """Words in one of the ranges (at, until + more) of their document."""
+    count, flat = _lists(ranges)
     base = np.repeat(w.first[:-1], count)
     cover = np.zeros(len(w.start) + 1, np.int64)
     if len(flat):
         at, until = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("at", "until"))
         np.add.at(cover, np.minimum(base + at, len(w.start)), 1)
-        np.add.at(cover, np.minimum(base + until + window - 1, len(w.start)), -1)
+        np.add.at(cover, np.minimum(base + until + more, len(w.start)), -1)
     return np.cumsum(cover[:-1]) > 0
 
 
@@ -196,7 +224,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
         for batch in batches:
             for lo, hi, data, off in slices(batch.column("text")):
                 w = Words(data, off)
-                gone = _covered(w, batch.column("lost").slice(lo, hi - lo), window)
+                gone = _ranges(w, batch.column("lost").slice(lo, hi - lo), window - 1)
                 removed = np.add.reduceat(np.append(gone, False), np.minimum(w.first[:-1], len(gone))) * (w.per_doc > 0)
                 keep = ~gone
                 size = (w.end - w.start + 1)[keep]  # with the space that follows
