@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlab.llm import chat_format, context_tree, near_dup, quality_classifier, quality_rules, secret_scan, source_mix, substring_dedup, topk
+from marketlab.llm import chat_format, context_tree, near_dup, piece_lattice, quality_classifier, quality_rules, secret_scan, source_mix, substring_dedup, topk
 from marketlab.llm._store import table
 
 
@@ -56,6 +56,13 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = piece_lattice.Pieces.load()
+    encoded = piece_lattice.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces)
+    back = piece_lattice.decode(encoded, pieces)
+    return back.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.report(table(spark, sf_dir, "documents")))
 
