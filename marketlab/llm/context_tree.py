@@ -24,7 +24,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -32,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from marketlab.llm._store import materialize
 from marketlab.llm._text import LOWER, U64, Lookup, Words, long, slices
 
-DEPTH, HEAD_WORDS, SHARD_BYTES, FLUSH = 4, 1 << 18, 128 << 20, 1 << 20
+DEPTH, HEAD_WORDS, SHARD_BYTES, FLUSH, SLICE = 4, 1 << 18, 80 << 20, 1 << 20, 1 << 20
 GRAM, WORD, ROWS = 0, 1, 2
 _lgamma = np.frompyfunc(math.lgamma, 1, 1)
 
@@ -134,14 +134,10 @@ def nodes(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 class Tree:
-    """Nodes of one shard, sorted by key at each depth."""
+    """Nodes by depth: sorted keys, KT probabilities of a one, and stopping weights."""
 
-    def __init__(self, depth_of: np.ndarray, key: np.ndarray, one: np.ndarray, stop: np.ndarray, depth: int = DEPTH):
-        self.depth, self.levels = depth, []
-        for d in range(depth + 1):
-            at = np.flatnonzero(depth_of == d)
-            at = at[np.argsort(key[at], kind="stable")]
-            self.levels.append((key[at], one[at], stop[at]))
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.levels = levels
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """log10 probability of each byte in its context."""
@@ -150,7 +146,7 @@ class Tree:
         for l in range(8):
             path, bit = (1 << l) | (byte >> (8 - l)), (byte >> (7 - l)) & 1
             p = np.full(len(g), 0.5)
-            for d in range(self.depth, -1, -1):
+            for d in range(len(self.levels) - 1, -1, -1):
                 key, one, stop = self.levels[d]
                 if not len(key):
                     continue
@@ -163,9 +159,30 @@ class Tree:
         return out
 
 
-def _shard(context, shards: int):
-    """Shard of a context by its last two bytes (integers or columns)."""
-    return (context * 40503 % 65536) % shards
+def _shard(key, shards: int):
+    """Shard of a context and byte, or of a node, by the context's last two bytes; key: array or column."""
+    last = F.shiftright(key, 8).bitwiseAND(F.lit(65535)) if isinstance(key, Column) else (key >> 8) & 65535
+    return (last * 40503 % 65536) % shards
+
+
+def byte_logs(keys: DataFrame, tree: DataFrame, depth: int = DEPTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(key, log10) of each (context, byte) key: tasks hold one shard of the tree at a time."""
+    shards = -(-16 * tree.count() // shard_bytes) or 1
+    out = None
+    for k in range(shards):
+        part = _load(tree.where((F.col("depth") < 2) | (_shard(F.col("key"), shards) == k)).orderBy("depth", "key"))
+        edges = np.searchsorted(part["depth"], np.arange(depth + 2))
+        levels = keys.sparkSession.sparkContext.broadcast([tuple(part[c][a:b] for c in ("key", "one", "stop")) for a, b in zip(edges[:-1], edges[1:])])
+
+        def run(batches, levels=levels):
+            model = Tree(levels.value)
+            for batch in batches:
+                key = batch.column("key").to_numpy()
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(model.log10(key.view(U64)).astype(np.float32))], ["key", "log10"])
+
+        found = keys.where(_shard(F.col("key"), shards) == k).mapInArrow(run, "key long, log10 float")
+        out = found if out is None else out.union(found)
+    return out
 
 
 def _load(table: DataFrame) -> dict[str, np.ndarray]:
@@ -203,29 +220,24 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
 
     grams = counts.where(F.col("kind") == GRAM).select("key", "n")
     tree = materialize(nodes(grams, depth), "tree")
-    size = 16 * tree.count() + 12 * totals.get(GRAM, (0, 0))[0]
-    shards = -(-size // shard_bytes) or 1
-    of = lambda key: _shard(F.shiftright(key, 8).bitwiseAND(F.lit(65535)), shards)
+    logs = materialize(byte_logs(grams.select("key"), tree, depth, shard_bytes), "logs")
+    shards = -(-12 * totals.get(GRAM, (0, 0))[0] // shard_bytes) or 1
     scored = None
     for k in range(shards):
-        part = _load(tree.where((F.col("depth") < 2) | (of(F.col("key")) == k)))
-        nodes_k = spark.sparkContext.broadcast((part["depth"], part["key"], part["one"], part["stop"]))
-
-        def known(batches, nodes_k=nodes_k):
-            model = Tree(*nodes_k.value, depth)
-            for batch in batches:
-                key = batch.column("key").to_numpy()
-                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(model.log10(key.view(U64)).astype(np.float32))], ["key", "log10"])
-
-        table = _load(grams.where(of(F.col("key")) == k).select("key").mapInArrow(known, "key long, log10 float"))
-        grams_k = spark.sparkContext.broadcast((table["key"].view(np.uint64), table["log10"]))
-        part = rows.mapInArrow(_scorer(rows, depth, shards, k, nodes_k, grams_k, heads, end_score, ends > 0), _schema(rows))
+        part = _load(logs.where(_shard(F.col("key"), shards) == k))
+        grams_k = spark.sparkContext.broadcast((part["key"].view(np.uint64), part["log10"]))
+        part = rows.mapInArrow(_scorer(rows, depth, shards, k, grams_k, heads, end_score, ends > 0), _schema(rows))
         scored = part if scored is None else scored.union(part)
     scored = materialize(scored, "scored")
-    whole = scored.where("word is null").groupBy("row").agg(*(F.max(c).alias(c) for c in ("id", "held_out", "n_tokens", "known", "base", "bytes")), F.sum("score").alias("score")) if shards > 1 else scored.where("word is null")
-    tail = scored.where("word is not null").join(words, scored["word"] == words["key"], "left")
+    whole = scored.where("kind is null")
+    if shards > 1:
+        whole = whole.groupBy("row").agg(*(F.max(c).alias(c) for c in ("id", "held_out", "n_tokens", "known", "base", "bytes")), F.sum("score").alias("score"))
+    tail = scored.where(F.col("kind") == WORD).select("row", "key", "times").join(words, "key", "left")
     tail = tail.groupBy("row").agg(F.sum(F.col("times") * F.col("c").isNotNull().cast("long")).alias("more_known"), F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + F.lit(0.1)) / F.lit(below))).alias("more_base"))
-    both = whole.join(tail, "row", "left")
+    # Bytes never seen in their context are few; their probabilities come from the tree itself.
+    new = scored.where(F.col("kind") == GRAM).select("row", "key", "times")
+    new = new.join(byte_logs(new.select("key").distinct(), tree, depth, shard_bytes), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("log10")).alias("more_score"))
+    both = whole.join(tail, "row", "left").join(new, "row", "left").withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
     return both.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score", (-F.col("score") / F.lit(math.log10(2)) / (F.col("bytes") + 1)).alias("bits_per_byte"),
@@ -234,46 +246,45 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
 
 def _schema(rows: DataFrame) -> T.StructType:
     long_, double = T.LongType(), T.DoubleType()
-    return T.StructType([T.StructField(n, t) for n, t in (("row", long_), ("id", rows.schema["id"].dataType), ("held_out", T.BooleanType()), ("n_tokens", long_), ("known", long_), ("base", double), ("bytes", long_), ("score", double), ("word", long_), ("times", long_))])
+    return T.StructType([T.StructField(n, t) for n, t in (("row", long_), ("id", rows.schema["id"].dataType), ("held_out", T.BooleanType()), ("n_tokens", long_), ("known", long_), ("base", double), ("bytes", long_), ("score", double), ("kind", T.IntegerType()), ("key", long_), ("times", long_))])
 
 
-def _scorer(rows, depth, shards, k, nodes_k, grams_k, heads, end_score, end_known):
+def _scorer(rows, depth, shards, k, grams_k, heads, end_score, end_known):
     id_type = to_arrow_type(rows.schema["id"].dataType)
     names = [f.name for f in _schema(rows)]
 
+    def apart(kind: int, row: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+        """Rows for keys that are not at hand: each distinct one of a row, with its count."""
+        order = np.lexsort((key, row))
+        key, row = key[order], row[order]
+        fresh = np.flatnonzero(np.append(len(key) > 0, (key[1:] != key[:-1]) | (row[1:] != row[:-1])))
+        n = len(fresh)
+        empty = [pa.nulls(n, t) for t in (id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64())]
+        return pa.RecordBatch.from_arrays([long(row[fresh]), *empty, pa.array(np.full(n, kind, np.int32)), pa.array(key[fresh].view(np.int64)), long(np.diff(np.append(fresh, len(key))))], names)
+
     def run(batches):
-        tree, (keys, logs), (head_keys, head_logs) = Tree(*nodes_k.value, depth), grams_k.value, heads.value
+        (keys, logs), (head_keys, head_logs) = grams_k.value, heads.value
         find, find_head = Lookup(keys), Lookup(head_keys)
-        logs, head_logs = logs.astype(float), head_logs
+        logs = np.append(logs.astype(float), 0.0)  # -1: not at hand
         for batch in batches:
             ids = batch.column("row").to_numpy()
-            for lo, hi, data, off in slices(batch.column("text")):
+            for lo, hi, data, off in slices(batch.column("text"), SLICE):
                 m = hi - lo
                 key, doc = coded(data, off, depth)
                 if shards > 1:
-                    own = _shard((key >> U64(8)).view(np.int64) & 65535, shards) == k
+                    own = _shard(key.view(np.int64), shards) == k
                     key, doc = key[own], doc[own]
                 at = find(key)
-                value = np.append(logs, 0.0)[at]
-                new = np.flatnonzero(at < 0)
-                if len(new):
-                    distinct, where = np.unique(key[new], return_inverse=True)
-                    value[new] = tree.log10(distinct)[where]
-                total = np.bincount(doc, value, m)
+                total = np.bincount(doc, logs[at], m)
+                if (at < 0).any():
+                    yield apart(GRAM, ids[lo + doc[at < 0]], key[at < 0])
                 w = Words(data, off, lower=True)
                 h = w.hashes()
                 spot = find_head(h)
                 known = spot >= 0
                 base = np.bincount(w.doc[known], head_logs[spot[known]], m) + end_score
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, m), batch.column("id").slice(lo, m), pa.array(~batch.column("train").slice(lo, m).to_numpy(zero_copy_only=False)), long(w.per_doc + 1), long(np.bincount(w.doc[known], minlength=m) + end_known), pa.array(base), long(np.diff(off)), pa.array(total), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, m), batch.column("id").slice(lo, m), pa.array(~batch.column("train").slice(lo, m).to_numpy(zero_copy_only=False)), long(w.per_doc + 1), long(np.bincount(w.doc[known], minlength=m) + end_known), pa.array(base), long(np.diff(off)), pa.array(total), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names)
                 if k == 0 and not known.all():
-                    rest = ~known
-                    word, owner = h[rest], w.doc[rest]
-                    order = np.lexsort((word, owner))
-                    word, owner = word[order], owner[order]
-                    fresh = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (owner[1:] != owner[:-1])))
-                    n = len(fresh)
-                    empty = [pa.nulls(n, t) for t in (id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64())]
-                    yield pa.RecordBatch.from_arrays([long(ids[lo + owner[fresh]]), *empty, pa.array(word[fresh].view(np.int64)), long(np.diff(np.append(fresh, len(word))))], names)
+                    yield apart(WORD, ids[lo + w.doc[~known]], h[~known])
 
     return run
