@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-SERIES = ("symbol",)
 
 
 def resample_trades(trades: DataFrame, rule: str) -> DataFrame:

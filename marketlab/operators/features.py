@@ -13,12 +13,14 @@ from pyspark.sql.window import Window as W
 from marketlab.functions.columns import candle_shape
 from marketlab.operators.scan import smooth
 
-SERIES = W.partitionBy("symbol").orderBy("ts")
+def series():
+    """Bars of a symbol in time order (needs a session, so it is not a constant)."""
+    return W.partitionBy("symbol").orderBy("ts")
 
 
 def last(n: int):
     """The frame of the current row and the n - 1 before it."""
-    return SERIES.rowsBetween(1 - n, 0)
+    return series().rowsBetween(1 - n, 0)
 
 
 def full(value: Column, of: Column | str, n: int) -> Column:
@@ -27,13 +29,13 @@ def full(value: Column, of: Column | str, n: int) -> Column:
 
 
 def change(n: int, of: str = "close") -> Column:
-    return F.col(of) / F.lag(of, n).over(SERIES) - 1
+    return F.col(of) / F.lag(of, n).over(series()) - 1
 
 
 def returns(bars: DataFrame) -> DataFrame:
     out = bars.withColumns({f"ret_{n}": change(n) for n in (1, 3, 5, 10, 20)})
-    out = out.withColumn("momentum_20", F.col("ret_20")).withColumn("log_ret", F.log(F.col("close") / F.lag("close").over(SERIES)))
-    return out.withColumn("acceleration", F.col("ret_1") - F.lag("ret_1").over(SERIES))
+    out = out.withColumn("momentum_20", F.col("ret_20")).withColumn("log_ret", F.log(F.col("close") / F.lag("close").over(series())))
+    return out.withColumn("acceleration", F.col("ret_1") - F.lag("ret_1").over(series()))
 
 
 def volatility(bars: DataFrame, n: int = 20) -> DataFrame:
@@ -54,7 +56,7 @@ def bollinger(bars: DataFrame, n: int = 20, width: float = 2.0) -> DataFrame:
 
 def volume_ratio(bars: DataFrame, n: int = 20) -> DataFrame:
     """Volume over the mean of the n bars before."""
-    before = SERIES.rowsBetween(-n, -1)
+    before = series().rowsBetween(-n, -1)
     return bars.withColumn("volume_ratio", F.when(F.count("volume").over(before) == n, F.col("volume") / F.nullif(F.avg("volume").over(before), F.lit(0.0))))
 
 
@@ -65,15 +67,15 @@ def vwap_deviation(bars: DataFrame, n: int = 20) -> DataFrame:
 
 
 def gap(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("gap", F.col("open") / F.lag("close").over(SERIES) - 1)
+    return bars.withColumn("gap", F.col("open") / F.lag("close").over(series()) - 1)
 
 
 def streaks(bars: DataFrame) -> DataFrame:
     """Runs of lower and of higher closes; null on a symbol's first bar."""
-    out = bars.withColumn("_step", F.signum(F.col("close") - F.lag("close").over(SERIES)))
+    out = bars.withColumn("_step", F.signum(F.col("close") - F.lag("close").over(series())))
     for name, sign in (("down_streak", -1), ("up_streak", 1)):
         hit = F.coalesce(F.col("_step") == sign, F.lit(False))
-        out = out.withColumn("_run", F.sum((~hit).cast("int")).over(SERIES.rowsBetween(W.unboundedPreceding, 0)))
+        out = out.withColumn("_run", F.sum((~hit).cast("int")).over(series().rowsBetween(W.unboundedPreceding, 0)))
         run = W.partitionBy("symbol", "_run").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
         out = out.withColumn(name, F.when(F.col("_step").isNotNull(), F.sum(hit.cast("long")).over(run)))
     return out.drop("_step", "_run")
@@ -85,7 +87,7 @@ def drawdown(bars: DataFrame, n: int = 252) -> DataFrame:
 
 def trend_strength(bars: DataFrame, n: int = 50) -> DataFrame:
     """t-statistic of the slope of log price over n bars; 0 where the fit leaves nothing."""
-    out = bars.withColumn("_i", F.row_number().over(SERIES).cast("double")).withColumn("_y", F.log("close"))
+    out = bars.withColumn("_i", F.row_number().over(series()).cast("double")).withColumn("_y", F.log("close"))
     sxx, sxy, syy = (f.over(last(n)) for f in (F.regr_sxx("_y", "_i"), F.regr_sxy("_y", "_i"), F.regr_syy("_y", "_i")))
     slope, rest = sxy / sxx, F.greatest(syy - sxy * sxy / sxx, F.lit(0.0))
     error = F.sqrt(rest / (n - 2) / sxx)
@@ -94,7 +96,7 @@ def trend_strength(bars: DataFrame, n: int = 50) -> DataFrame:
 
 def extremes(bars: DataFrame) -> DataFrame:
     out = bars.withColumns({"high_20": full(F.max("high").over(last(20)), "high", 20), "low_20": full(F.min("low").over(last(20)), "low", 20)})
-    out = out.withColumns({"prev_high_20": F.lag("high_20").over(SERIES), "prev_low_20": F.lag("low_20").over(SERIES)})
+    out = out.withColumns({"prev_high_20": F.lag("high_20").over(series()), "prev_low_20": F.lag("low_20").over(series())})
     return out.withColumn("dist_high_252", full(F.col("close") / F.max("high").over(last(252)) - 1, "high", 252))
 
 
@@ -107,7 +109,7 @@ def candles(bars: DataFrame) -> DataFrame:
     """Geometry, and five patterns as 0 or 1."""
     out = bars.withColumns(candle_shape())
     o, c = F.col("open"), F.col("close")
-    po, pc = F.lag("open").over(SERIES), F.lag("close").over(SERIES)
+    po, pc = F.lag("open").over(series()), F.lag("close").over(series())
     body, up, down = F.col("body_range_ratio"), F.col("upper_shadow"), F.col("lower_shadow")
     found = {
         "pat_bullish_engulfing": (pc < po) & (c > o) & (o <= pc) & (c >= po), "pat_bearish_engulfing": (pc > po) & (c < o) & (o >= pc) & (c <= po),
@@ -117,13 +119,13 @@ def candles(bars: DataFrame) -> DataFrame:
 
 
 def true_range(bars: DataFrame) -> DataFrame:
-    before = F.lag("close").over(SERIES)
+    before = F.lag("close").over(series())
     return bars.withColumn("true_range", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
 
 
 def smoothed(bars: DataFrame) -> DataFrame:
     """Exponential averages, average true range, both RSIs and MACD."""
-    out = true_range(bars).withColumn("_d", F.col("close") - F.lag("close").over(SERIES))
+    out = true_range(bars).withColumn("_d", F.col("close") - F.lag("close").over(series()))
     up, down = F.when(F.col("_d").isNotNull(), F.greatest("_d", F.lit(0.0))), F.when(F.col("_d").isNotNull(), F.greatest(-F.col("_d"), F.lit(0.0)))
     inputs = {f"ema_{n}": ("close", 2 / (n + 1), n) for n in (20, 50, 200)} | {"atr": ("true_range", 1 / 14, 14), "_fast": ("close", 2 / 13, 12), "_slow": ("close", 2 / 27, 26)}
     inputs |= {f"_{side}_{n}": (x, 1 / n, n) for n in (14, 2) for side, x in (("gain", up), ("loss", down))}
@@ -137,7 +139,7 @@ def smoothed(bars: DataFrame) -> DataFrame:
 
 def regime(bars: DataFrame) -> DataFrame:
     """Trend from the distance to the 200-bar average and its slope; volatility tercile of its rank in 252 bars."""
-    slope = F.col("sma_200") / F.lag("sma_200", 20).over(SERIES) - 1
+    slope = F.col("sma_200") / F.lag("sma_200", 20).over(series()) - 1
     away = F.col("close") / F.col("sma_200") - 1
     trend = F.when(slope.isNull(), None).when((away > 0.02) & (slope > 0), "bull").when((away < -0.02) & (slope < 0), "bear").otherwise("sideways")
     seen = F.collect_list("volatility").over(last(252))

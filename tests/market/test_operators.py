@@ -73,7 +73,7 @@ def test_metrics(spark):
 
 def test_trades_match_a_sequential_loop(spark):
     closes = walk(200, 5)
-    b = series(spark, closes).withColumn("atr", F.lit(2.0)).withColumn("go_flag", F.col("close") > 1.01 * F.avg("close").over(features.last(5))).withColumn("out_flag", F.col("close") < F.lag("close").over(features.SERIES) * 0.985)
+    b = series(spark, closes).withColumn("atr", F.lit(2.0)).withColumn("go_flag", F.col("close") > 1.01 * F.avg("close").over(features.last(5))).withColumn("out_flag", F.col("close") < F.lag("close").over(features.series()) * 0.985)
     variants = spark.createDataFrame([("a", 2.0, 3.0, 10), ("b", 1.0, None, 4)], "variant string, stop_atr double, target_atr double, hold int")
     found = trades.single_position(trades.candidates(b, variants, F.col("go_flag"), F.col("out_flag")))
     got = {v: sorted((r["entry_i"], r["exit_i"], r["reason"], round(r["exit_price"], 9)) for r in found.collect() if r["variant"] == v) for v in "ab"}
