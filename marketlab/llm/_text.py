@@ -1,6 +1,6 @@
 """Words, windows and fingerprints of whole Arrow text columns, as NumPy arrays.
 
-Everything here runs inside Spark tasks on slices of about two megabytes, so memory stays bounded
+Everything here runs inside Spark tasks on slices of about a megabyte, so memory stays bounded
 by the slice (or by one document, if that is longer). Fingerprints are 64-bit: two different
 word sequences share one with probability 2^-64 for each pair compared.
 """
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 #: ASCII white space, the complement of the class [^\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -29,7 +29,7 @@ _powers: dict[int, np.ndarray] = {}
 def _pow(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2^64, kept for the next slice."""
     if len(_powers.get(base, ())) < n:
-        out = np.full(max(n, SLICE_BYTES + 4096), base, U64)
+        out = np.full((n >> 18) + 1 << 18, base, U64)
         out[0] = 1
         _powers[base] = np.multiply.accumulate(out)
     return _powers[base][:n]
@@ -141,7 +141,7 @@ class Lookup:
 
     def __init__(self, keys: np.ndarray):
         keys = keys.astype(U64)
-        self.bits = max(4, int(2 * max(1, len(keys)) - 1).bit_length() + 1)
+        self.bits = max(4, int(3 * max(1, len(keys)) // 2).bit_length())
         size = 1 << self.bits
         self.at = np.full(size, -1, np.int32)
         self.keys = np.zeros(size, U64)

@@ -208,7 +208,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     words = counts.where(F.col("kind") == WORD).select("key", F.col("n").alias("c"))
     # The least power of two that at most head_words words reach; powers are few, words are not.
     powers = words.groupBy(F.floor(F.log2("c")).cast("int").alias("p")).agg(F.count("*").alias("n")).orderBy(F.desc("p")).collect()
-    floor, room = 63, head_words
+    floor, room = 62, head_words
     for r in powers:
         room -= r["n"]
         if room < 0:

@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
-The text, after a space in front, is cut into units wherever no piece of the model can reach across: between two
-characters that no piece holds side by side (so at the spaces between words, and at most punctuation), and
-inside runs of UNIT_CHARS characters without such a place. Each distinct unit of the corpus is encoded once:
+The text, after a space in front, is cut into units wherever no piece of the model can reach across (so at the
+spaces between words, at most punctuation and often inside a word), and inside runs of UNIT_CHARS
+characters without such a place. Each distinct unit of the corpus is encoded once:
 its substrings of bounded length are exploded and equi-joined to the piece table, the edges found are
 grouped by unit, and a fold (Spark's higher-order ``aggregate``) keeps the best-scoring path to every
 position. Characters without a piece become their UTF-8 bytes.
@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketlab.llm._store import materialize
-from marketlab.llm._text import _BYTE, _P, _Q, U64, Lookup, _pow, mix, slices
+from marketlab.llm._text import _BYTE, _P, _Q, U64, _pow, mix, slices
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
-MARK, UNIT_CHARS, SHARD_BYTES, SEEN = "▁", 64, 192 << 20, 1 << 22
+MARK, UNIT_CHARS, SHARD_BYTES, SEEN, SLICE, HASH_BITS = "▁", 64, 96 << 20, 1 << 20, 1 << 18, 22
+#: Units of one lattice task: their edges are grouped by hashing, in memory.
+LATTICE_UNITS = 6000
 
 
 class Pieces:
@@ -56,17 +58,29 @@ class Pieces:
 
 
 class Cutter:
-    """Finds units: table of the pairs of characters that some piece holds side by side."""
+    """Finds units: between two characters there is a cut unless a piece of two or three characters, or four
+    characters in a row of some longer piece, stand across. Hashed tables may say yes too often, which only
+    leaves units longer."""
 
     def __init__(self, pieces: Pieces):
-        pairs = sorted({p[i : i + 2] for p, _, _ in pieces.rows for i in range(len(p) - 1)})
-        chars = {c: i + 1 for i, c in enumerate(sorted({c for p in pairs for c in p}))}
-        self.number = np.zeros(0x110000, np.uint16)
-        for c, i in chars.items():
-            self.number[ord(c)] = i
-        self.reach = np.zeros((len(chars) + 1, len(chars) + 1), bool)
-        for p in pairs:
-            self.reach[chars[p[0]], chars[p[1]]] = True
+        texts = [p for p, _, _ in pieces.rows]
+        chars = {c: i + 1 for i, c in enumerate(sorted({c for p in texts if len(p) > 1 for c in p}))}
+        self.number = np.zeros(0x110000, np.uint32)
+        self.number[[ord(c) for c in chars]] = list(chars.values())
+        grams = {2: {p for p in texts if len(p) == 2}, 3: {p for p in texts if len(p) == 3}, 4: {p[i : i + 4] for p in texts for i in range(len(p) - 3)}}
+        self.across = {}
+        for n, found in grams.items():
+            table = np.zeros(1 << HASH_BITS, bool)
+            code = np.array([[chars[c] for c in p] for p in found], np.uint32).reshape(len(found), n)
+            table[self._hash([code[:, k] for k in range(n)])] = True
+            self.across[n] = table
+
+    @staticmethod
+    def _hash(columns: list[np.ndarray]) -> np.ndarray:
+        h = columns[0].copy()
+        for c in columns[1:]:
+            h = h * np.uint32(0x9E3779B1) + c
+        return (h * np.uint32(0x85EBCA77)) >> np.uint32(32 - HASH_BITS)
 
     def units(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(bytes with a space before every text, start and end of each unit in them, its document, its fingerprint)."""
@@ -80,7 +94,14 @@ class Cutter:
         code = np.frombuffer(wide.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         number = self.number[code]
         cut = np.ones(len(chars) + 1, bool)
-        cut[1:-1] = ~self.reach[number[:-1], number[1:]]
+        inner = np.zeros(len(chars) + 1, bool)  # before each character: does a piece stand across?
+        for n, table in self.across.items():
+            m = len(number) - n + 1
+            if m > 0:
+                hit = table[self._hash([number[k : m + k] for k in range(n)])]
+                for k in range(1, n):
+                    inner[k : m + k] |= hit
+        cut[1:-1] = ~inner[1:-1]
         cut[np.searchsorted(chars, edges)] = True
         at = np.flatnonzero(cut)
         long_ = np.flatnonzero(np.diff(at) > UNIT_CHARS)
@@ -106,17 +127,20 @@ def distinct_units(docs: DataFrame, pieces: Pieces) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # the model file's size
 
     def run(batches):
-        cutter, seen = Cutter(shared.value), np.zeros(0, U64)
+        cutter, seen, late = Cutter(shared.value), np.zeros(0, U64), []
         for batch in batches:
-            for _, _, data, off in slices(batch.column("text")):
+            for _, _, data, off in slices(batch.column("text"), SLICE):
                 wide, start, end, _, key = cutter.units(data, off)
                 key, first = np.unique(key, return_index=True)
-                new = ~np.isin(key, seen, assume_unique=True, kind="sort")
+                new = seen[np.minimum(np.searchsorted(seen, key), len(seen) - 1)] != key if len(seen) else np.ones(len(key), bool)
                 key, first = key[new], first[new]
-                seen = np.union1d(seen, key) if len(seen) < SEEN else key
+                late.append(key)
+                if len(late) == 16:  # what the last slices share goes out more than once; the aggregation below sees to it
+                    seen, late = np.unique(np.concatenate([seen, *late])) if len(seen) < SEEN else np.zeros(0, U64), []
                 size = end[first] - start[first]
                 values = pa.StringArray.from_buffers(len(key), pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32).tobytes()), pa.py_buffer(gather(wide, start[first], size).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), values], ["key", "unit"])
+        pa.default_memory_pool().release_unused()  # this worker idles while the lattice needs the executor's memory
 
     return docs.select("text").mapInArrow(run, "key long, unit string").groupBy("key").agg(F.first("unit").alias("unit"))
 
@@ -124,27 +148,60 @@ def distinct_units(docs: DataFrame, pieces: Pieces) -> DataFrame:
 def best_paths(units: DataFrame, pieces: Pieces) -> DataFrame:
     """(key, ids): the best-scoring segmentation of every unit."""
     spark = units.sparkSession
+    units = materialize(units, "distinct")
+    units = units.repartition(units.count() // LATTICE_UNITS + 1, "key")
     least = min(s for _, _, s in pieces.rows) - 10.0
     table = F.broadcast(spark.createDataFrame(pieces.rows, "piece string, id int, score double"))  # the model file's size
-    bytes_of = F.array(*(F.lit(i).cast("short") for i in pieces.byte_ids))
     spots = F.expr(f"explode(flatten(transform(sequence(1, length(unit)), i -> transform(sequence(1, least({pieces.longest}, length(unit) - i + 1)), l -> named_struct('i', i, 'l', l)))))")
-    exploded = units.select("key", "unit", spots.alias("p")).select("key", F.length("unit").alias("n"), F.col("p.i").alias("i"), F.col("p.l").alias("l"), F.expr("substr(unit, p.i, p.l)").alias("part"))
+    exploded = units.select("key", F.length("unit").alias("n"), "unit", spots.alias("p")).select("key", "n", F.col("p.i").alias("i"), F.col("p.l").alias("l"), F.expr("substr(unit, p.i, p.l)").alias("part"))
     edges = exploded.join(table, exploded["part"] == table["piece"], "left").where("id is not null or l = 1")
-    raw = F.transform(F.sequence(F.lit(1), F.octet_length("part")), lambda k: F.element_at(bytes_of, F.conv(F.substring(F.hex(F.col("part").cast("binary")), 2 * k - 1, F.lit(2)), 16, 10).cast("int") + 1))
-    ids = F.when(F.col("id").isNotNull(), F.array(F.col("id").cast("short"))).otherwise(raw)
-    edge = F.struct("i", "l", F.coalesce("score", F.lit(least)).alias("score"), ids.alias("ids"))
+    # A character without a piece is its code point, negative, until the bytes replace it below.
+    edge = F.struct("i", "l", F.coalesce("score", F.lit(least)).alias("score"), F.coalesce("id", -F.ascii("part")).alias("id"))
     grouped = edges.groupBy("key").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
     # One entry a position: the best score so far of a path to it, and that path. Edges come by their start, so
     # the entry of an edge's start is final, and of equal paths the one with the longer last piece stays.
-    empty = "named_struct('s', cast(null as double), 'ids', cast(array() as array<smallint>))"
+    empty = "named_struct('s', cast(null as double), 'ids', cast(array() as array<int>))"
     fold = F.expr(f"""
         aggregate(edges,
-            concat(array(named_struct('s', cast(0 as double), 'ids', cast(array() as array<smallint>))), array_repeat({empty}, n)),
+            concat(array(named_struct('s', cast(0 as double), 'ids', cast(array() as array<int>))), array_repeat({empty}, n)),
             (best, e) -> if(coalesce(best[e.i - 1].s + e.score <= best[e.i + e.l - 1].s, false), best,
-                concat(slice(best, 1, e.i + e.l - 1), array(named_struct('s', best[e.i - 1].s + e.score, 'ids', concat(best[e.i - 1].ids, e.ids))), slice(best, e.i + e.l + 1, n + 1))),
+                concat(slice(best, 1, e.i + e.l - 1), array(named_struct('s', best[e.i - 1].s + e.score, 'ids', array_append(best[e.i - 1].ids, e.id))), slice(best, e.i + e.l + 1, n + 1))),
             best -> best[n].ids)
     """)
-    return grouped.select("key", fold.alias("ids"))
+    bytes_of = F.array(*(F.lit(i) for i in pieces.byte_ids))
+    raw = lambda code: F.transform(_utf8(-code), lambda b: F.element_at(bytes_of, b + 1))
+    plain = F.flatten(F.transform("ids", lambda x: F.when(x >= 0, F.array(x)).otherwise(raw(x))))
+    return grouped.select("key", fold.alias("ids")).select("key", F.when(F.exists("ids", lambda x: x < 0), plain).otherwise(F.col("ids")).alias("ids"))
+
+
+def _utf8(code):
+    """The bytes of a code point (columns)."""
+    low = lambda shift: F.lit(0x80) + F.shiftright(code, shift).bitwiseAND(F.lit(0x3F))
+    return (
+        F.when(code < 0x80, F.array(code)).when(code < 0x800, F.array(F.lit(0xC0) + F.shiftright(code, 6), low(0)))
+        .when(code < 0x10000, F.array(F.lit(0xE0) + F.shiftright(code, 12), low(6), low(0))).otherwise(F.array(F.lit(0xF0) + F.shiftright(code, 18), low(12), low(6), low(0)))
+    )
+
+
+class _Directory:
+    """Positions of sorted, evenly spread 64-bit keys; takes little memory beside them."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.bits = keys, max(1, len(keys).bit_length() - 1)
+        self.first = np.searchsorted(keys, np.arange(1 << self.bits, dtype=U64) << U64(64 - self.bits)).astype(np.int32)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Position of each key, -1 where absent."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = self.first[(keys >> U64(64 - self.bits)).astype(np.int64)].astype(np.int64)
+        last = len(self.keys) - 1
+        todo = np.flatnonzero(self.keys[np.minimum(at, last)] < keys)
+        while len(todo):
+            at[todo] += 1
+            todo = todo[at[todo] <= last]
+            todo = todo[self.keys[at[todo]] < keys[todo]]
+        return np.where((at <= last) & (self.keys[np.minimum(at, last)] == keys), at, -1)
 
 
 def _shard_of(key, shards: int):
@@ -154,7 +211,14 @@ def _shard_of(key, shards: int):
 def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_col: str = "ids", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The same rows and columns, and the ids of the text's pieces in column ``ids_col``."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("number"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    table = materialize(best_paths(distinct_units(rows, pieces), pieces), "units")
+    spark = docs.sparkSession
+    setting = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(4 * LATTICE_UNITS))
+    try:
+        table = materialize(best_paths(distinct_units(rows, pieces), pieces), "units")
+    finally:
+        spark.conf.set(setting, before)
     size = table.agg(F.sum(F.size("ids") * 2 + 28).alias("bytes")).first()["bytes"] or 0
     shards = -(-size // shard_bytes) or 1
     context = docs.sparkSession.sparkContext
@@ -163,11 +227,12 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_col: str
     for k in range(shards):
         arrow = table.where(_shard_of(F.col("key"), shards) == k).toArrow()
         keys = arrow.column("key").to_numpy().view(np.uint64)
-        lists = arrow.column("ids").combine_chunks()
+        order = np.argsort(keys, kind="stable")
+        lists = arrow.column("ids").combine_chunks().take(pa.array(order))
         flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int16 if pieces.size <= 1 << 15 else np.int32)
-        lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int16)
-        part = rows.mapInArrow(_encoder(shared, context.broadcast((keys, lengths, flat)), rows, shards > 1), _encoded_schema(rows, shards > 1))
-        del arrow, lists
+        units = keys[order], np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32), flat
+        part = rows.drop("text").mapInArrow(_encoder(shared, context.broadcast(units), docs.columns.index(text_col), shards > 1), _encoded_schema(rows, shards > 1))
+        del arrow, lists, units, keys, order, flat
         parts = part if parts is None else parts.union(part)
     if shards > 1:
         # Parts of a row by the place of their units; the row itself rides with the first shard's part.
@@ -183,14 +248,16 @@ def _encoded_schema(rows: DataFrame, partial: bool) -> T.StructType:
     return T.StructType([rows.schema["row"], T.StructField("ids", ids)])
 
 
-def _encoder(shared, units, rows: DataFrame, partial: bool):
+def _encoder(shared, units, text_at: int, partial: bool):
     def run(batches):
         cutter = Cutter(shared.value)
-        keys, lengths, flat = units.value
-        find, ends = Lookup(keys), np.cumsum(lengths, dtype=np.int64)
+        keys, starts, flat = units.value
+        find = _Directory(keys)
         for batch in batches:
-            row, number, missing = batch.column("row"), batch.column("number"), batch.column("text").is_null()
-            for lo, hi, data, off in slices(batch.column("text")):
+            row, number = batch.column("row"), batch.column("number")
+            text = row.field(text_at)
+            missing = text.is_null()
+            for lo, hi, data, off in slices(text, SLICE):
                 m = hi - lo
                 _, start, _, doc, key = cutter.units(data, off)
                 at = find(key)
@@ -198,8 +265,9 @@ def _encoder(shared, units, rows: DataFrame, partial: bool):
                     mine = at >= 0
                     place = (np.arange(len(doc)) - np.searchsorted(doc, np.arange(m))[doc])[mine]
                     doc, at = doc[mine], at[mine]
-                size = lengths[at].astype(np.int64)
-                ids = gather(flat, ends[at] - size, size).astype(np.int32)
+                from_ = starts[at].astype(np.int64)
+                size = starts[at + 1] - from_
+                ids = gather(flat, from_, size).astype(np.int32)
                 if partial:
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(ids))
                     pairs = pa.StructArray.from_arrays([pa.array(place.astype(np.int32)), lists], ["place", "ids"])
@@ -228,8 +296,8 @@ def decode(encoded: DataFrame, pieces: Pieces, ids_col: str = "ids", text_col: s
             ids, count = column.flatten().to_numpy(zero_copy_only=False), np.array(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
             out = []
             lo, edge = 0, np.concatenate([[0], np.cumsum(count)])
-            while lo < len(count):  # about a million ids at a time
-                hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + (1 << 20), "right")) - 1)
+            while lo < len(count):  # a few hundred thousand ids at a time
+                hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + (1 << 18), "right")) - 1)
                 part = ids[edge[lo] : edge[hi]]
                 data = gather(flat, start_of[part], size_of[part]).tobytes()
                 cut = np.concatenate([[0], np.cumsum(size_of[part])])[edge[lo : hi + 1] - edge[lo]].tolist()
