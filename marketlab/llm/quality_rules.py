@@ -148,18 +148,19 @@ def fit_chain(features: list[np.ndarray], labels: np.ndarray, steps: int = 120,
     if not features or len(set(labels.tolist())) < 2:
         return None
     longest, docs, width = max(map(len, features)), len(features), len(BOUNDS)
-    x = np.zeros((longest, docs, width), np.int64)
+    x = np.zeros((width, longest, docs), np.int16)
     mask = np.zeros((longest, docs), bool)
     for i, f in enumerate(features):
-        x[: len(f), i], mask[: len(f), i] = f, True
-    x += BUCKETS * np.arange(width)
+        x[:, : len(f), i], mask[: len(f), i] = f.T, True
+    x += (BUCKETS * np.arange(width)).astype(np.int16)[:, None, None]
     y = labels.astype(int)
     theta = np.zeros(width * BUCKETS + 6)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         emission, transition, start = theta[:-6], theta[-6:-2].reshape(2, 2), theta[-2:]
         psi = np.zeros((longest, docs, 2))
-        psi[:, :, 1] = emission[x].sum(2)
+        for own in x:  # a feature at a time, to hold little on the driver
+            psi[:, :, 1] += emission[own]
         move = np.exp(transition)
         local = np.exp(psi - psi.max(2, keepdims=True))
         alpha, beta, norm = np.zeros_like(local), np.ones_like(local), np.ones((longest, docs))
@@ -174,7 +175,8 @@ def fit_chain(features: list[np.ndarray], labels: np.ndarray, steps: int = 120,
         posterior /= posterior.sum(2, keepdims=True)
         gap = np.where(mask, y[None, :] - posterior[:, :, 1], 0.0)
         grad = np.zeros_like(theta)
-        np.add.at(grad, x[mask], np.repeat(gap[mask], width).reshape(-1, width))
+        for own in x:
+            grad += np.bincount(own[mask], gap[mask], len(grad))
         both = mask[1:]
         pair = alpha[:-1, :, :, None] * move * (local[1:] * beta[1:] / norm[1:, :, None])[:, :, None, :]
         pair /= np.maximum(pair.sum((2, 3), keepdims=True), 1e-300)
