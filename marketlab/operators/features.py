@@ -159,7 +159,7 @@ def cross_section(bars: DataFrame) -> DataFrame:
         out = out.withColumn(f"_xs_rank_ret_{n}", F.when(F.col(f"_r{n}").isNotNull(), (rank + (ties - 1) / 2) / F.count(f"_r{n}").over(at)))
     out = out.withColumn("_rel", F.col("_r20") - F.median("_r20").over(at))
     panel = out.groupBy("ts").agg(F.count("*").alias("xs_n"), F.avg(F.when(F.col("sma_50").isNotNull(), (F.col("close") > F.col("sma_50")).cast("double"))).alias("xs_breadth"))
-    # A row a timestamp: previous timestamps come from one small ordered pass, partitioned by year to stay parallel.
+    # A row a timestamp, whatever the number of symbols: one ordered pass (a single task) finds the timestamp before.
     step = panel.select("ts", F.lag("ts").over(W.partitionBy(F.lit(0)).orderBy("ts")).alias("before"))
     before = panel.select(F.col("ts").alias("before"), "xs_n", "xs_breadth")
     own = out.select("symbol", F.col("ts").alias("before"), *(F.col(f"_xs_rank_ret_{n}").alias(f"xs_rank_ret_{n}") for n in (5, 20, 60)), F.col("_rel").alias("xs_rel_ret_20"))
