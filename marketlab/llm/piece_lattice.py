@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,16 +94,20 @@ class Cutter:
         chars = np.flatnonzero(wide & 0xC0 != 0x80)
         code = np.frombuffer(wide.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         number = self.number[code]
+        ends = np.searchsorted(chars, edges)  # of documents, in characters
         cut = np.ones(len(chars) + 1, bool)
         inner = np.zeros(len(chars) + 1, bool)  # before each character: does a piece stand across?
         for n, table in self.across.items():
             m = len(number) - n + 1
             if m > 0:
                 hit = table[self._hash([number[k : m + k] for k in range(n)])]
+                for k in range(1, n):
+                    over = ends - k
+                    hit[over[(over >= 0) & (over < m)]] = False  # nothing stands across two documents
                 for k in range(1, n):
                     inner[k : m + k] |= hit
         cut[1:-1] = ~inner[1:-1]
-        cut[np.searchsorted(chars, edges)] = True
+        cut[ends] = True
         at = np.flatnonzero(cut)
         long_ = np.flatnonzero(np.diff(at) > UNIT_CHARS)
         if len(long_):
@@ -151,22 +156,30 @@ def best_paths(units: DataFrame, pieces: Pieces) -> DataFrame:
     units = materialize(units, "distinct")
     units = units.repartition(units.count() // LATTICE_UNITS + 1, "key")
     least = min(s for _, _, s in pieces.rows) - 10.0
-    table = F.broadcast(spark.createDataFrame(pieces.rows, "piece string, id int, score double"))  # the model file's size
-    spots = F.expr(f"explode(flatten(transform(sequence(1, length(unit)), i -> transform(sequence(1, least({pieces.longest}, length(unit) - i + 1)), l -> named_struct('i', i, 'l', l)))))")
-    exploded = units.select("key", F.length("unit").alias("n"), "unit", spots.alias("p")).select("key", "n", F.col("p.i").alias("i"), F.col("p.l").alias("l"), F.expr("substr(unit, p.i, p.l)").alias("part"))
-    edges = exploded.join(table, exploded["part"] == table["piece"], "left").where("id is not null or l = 1")
+    # The model file's size. Strings meet by their 64-bit hashes, and then in full.
+    table = F.broadcast(spark.createDataFrame(pieces.rows, "piece string, id int, score double").withColumn("hash", F.xxhash64("piece")))
+    starts = units.select("key", F.length("unit").alias("n"), "unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("i"))
+    tails = starts.select("key", "n", "i", F.expr(f"substr(unit, i, {pieces.longest})").alias("tail"))
+    spots = tails.select("key", "n", "i", "tail", F.explode(F.sequence(F.lit(1), F.length("tail"))).alias("l"))
+    exploded = spots.select("key", "n", "i", "l", F.expr("substr(tail, 1, l)").alias("part")).withColumn("part_hash", F.xxhash64("part"))
+    edges = exploded.join(table, (exploded["part_hash"] == table["hash"]) & (exploded["part"] == table["piece"]), "left").where("id is not null or l = 1")
     # A character without a piece is its code point, negative, until the bytes replace it below.
-    edge = F.struct("i", "l", F.coalesce("score", F.lit(least)).alias("score"), F.coalesce("id", -F.ascii("part")).alias("id"))
-    grouped = edges.groupBy("key").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
-    # One entry a position: the best score so far of a path to it, and that path. Edges come by their start, so
-    # the entry of an edge's start is final, and of equal paths the one with the longer last piece stays.
-    empty = "named_struct('s', cast(null as double), 'ids', cast(array() as array<int>))"
+    edge = F.struct((F.col("i") + F.col("l") - 1).alias("end"), "i", F.coalesce("score", F.lit(least)).alias("score"), F.coalesce("id", -F.ascii("part")).alias("id"))
+    grouped = edges.groupBy("key").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    # Edges come by their end, and every position ends one: ``done`` holds the best path (score and pieces) to each
+    # position before that of ``now``. Of equal paths the one with the longer last piece stays.
+    path = "struct<s: double, ids: array<int>>"
     fold = F.expr(f"""
         aggregate(edges,
-            concat(array(named_struct('s', cast(0 as double), 'ids', cast(array() as array<int>))), array_repeat({empty}, n)),
-            (best, e) -> if(coalesce(best[e.i - 1].s + e.score <= best[e.i + e.l - 1].s, false), best,
-                concat(slice(best, 1, e.i + e.l - 1), array(named_struct('s', best[e.i - 1].s + e.score, 'ids', array_append(best[e.i - 1].ids, e.id))), slice(best, e.i + e.l + 1, n + 1))),
-            best -> best[n].ids)
+            cast(named_struct('done', array(), 'now', named_struct('s', 0, 'ids', array())) as struct<done: array<{path}>, now: {path}>),
+            (a, e) -> if(e.end > size(a.done),
+                named_struct('done', array_append(a.done, a.now), 'now', if(e.i > size(a.done),
+                    named_struct('s', a.now.s + e.score, 'ids', array_append(a.now.ids, e.id)),
+                    named_struct('s', get(a.done, e.i - 1).s + e.score, 'ids', array_append(get(a.done, e.i - 1).ids, e.id)))),
+                if(get(a.done, e.i - 1).s + e.score > a.now.s,
+                    named_struct('done', a.done, 'now', named_struct('s', get(a.done, e.i - 1).s + e.score, 'ids', array_append(get(a.done, e.i - 1).ids, e.id))),
+                    a)),
+            a -> a.now.ids)
     """)
     bytes_of = F.array(*(F.lit(i) for i in pieces.byte_ids))
     raw = lambda code: F.transform(_utf8(-code), lambda b: F.element_at(bytes_of, b + 1))
@@ -261,6 +274,8 @@ def _encoder(shared, units, text_at: int, partial: bool):
                 m = hi - lo
                 _, start, _, doc, key = cutter.units(data, off)
                 at = find(key)
+                if not partial and (at < 0).any():
+                    raise RuntimeError("a unit of the text is not in the table of units")
                 if partial:
                     mine = at >= 0
                     place = (np.arange(len(doc)) - np.searchsorted(doc, np.arange(m))[doc])[mine]
@@ -282,6 +297,18 @@ def _encoder(shared, units, text_at: int, partial: bool):
     return run
 
 
+def _strings(data: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """Strings of consecutive bytes; bytes that are no UTF-8 (ids of no text) become replacement characters."""
+    raw = data.tobytes()
+    out = pa.StringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(raw))
+    try:
+        out.validate(full=True)
+    except pa.ArrowInvalid:
+        cut = edges.tolist()
+        return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:])], pa.string())
+    return out
+
+
 def decode(encoded: DataFrame, pieces: Pieces, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """The same rows and columns, and the decoded text in column ``text_col``."""
     shared = encoded.sparkSession.sparkContext.broadcast(pieces)
@@ -294,16 +321,18 @@ def decode(encoded: DataFrame, pieces: Pieces, ids_col: str = "ids", text_col: s
         for batch in batches:
             column = batch.column(at)
             ids, count = column.flatten().to_numpy(zero_copy_only=False), np.array(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-            out = []
             lo, edge = 0, np.concatenate([[0], np.cumsum(count)])
             while lo < len(count):  # a few hundred thousand ids at a time
                 hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + (1 << 18), "right")) - 1)
                 part = ids[edge[lo] : edge[hi]]
-                data = gather(flat, start_of[part], size_of[part]).tobytes()
-                cut = np.concatenate([[0], np.cumsum(size_of[part])])[edge[lo : hi + 1] - edge[lo]].tolist()
-                out += [data[a + 1 : b] if b > a else b"" for a, b in zip(cut[:-1], cut[1:])]  # without the space in front
+                data = gather(flat, start_of[part], size_of[part])
+                cut = np.concatenate([[0], np.cumsum(size_of[part])])[edge[lo : hi + 1] - edge[lo]]
+                full = np.diff(cut) > 0
+                text = _strings(np.delete(data, cut[:-1][full]), cut - np.concatenate([[0], np.cumsum(full)]))  # without the space in front
+                here = batch.slice(lo, hi - lo)
+                if column.null_count:
+                    text = pc.if_else(here.column(at).is_valid(), text, pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([*here.columns, text], [*batch.schema.names, text_col])
                 lo = hi
-            text = pa.array([x.decode("utf-8", "replace") if v else None for x, v in zip(out, column.is_valid().to_pylist())], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, text], [*batch.schema.names, text_col])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(text_col, T.StringType())]))
