@@ -114,11 +114,15 @@ class Cutter:
             at = np.unique(np.concatenate([at, *(np.arange(at[i], at[i + 1], UNIT_CHARS) for i in long_.tolist())]))
         place = np.append(chars, len(wide))[at]
         start, end = place[:-1], place[1:]
-        n = len(wide)
-        total = np.zeros(n + 1, U64)
-        np.cumsum(_BYTE[wide] * _pow(_P, n + 1)[:n], out=total[1:])
-        key = mix((total[end] - total[start]) * _pow(pow(_P, -1, 1 << 64), n + 1)[start] + (end - start).astype(U64) * _Q)
-        return wide, start, end, np.searchsorted(edges, start, "right") - 1, key
+        return wide, start, end, np.searchsorted(edges, start, "right") - 1, fingerprints(wide, start, end)
+
+
+def fingerprints(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit keys of byte ranges."""
+    n = len(data)
+    total = np.zeros(n + 1, U64)
+    np.cumsum(_BYTE[data] * _pow(_P, n + 1)[:n], out=total[1:])
+    return mix((total[end] - total[start]) * _pow(pow(_P, -1, 1 << 64), n + 1)[start] + (end - start).astype(U64) * _Q)
 
 
 def gather(source: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -144,10 +148,15 @@ def distinct_units(docs: DataFrame, pieces: Pieces) -> DataFrame:
                     seen, late = np.unique(np.concatenate([seen, *late])) if len(seen) < SEEN else np.zeros(0, U64), []
                 size = end[first] - start[first]
                 values = pa.StringArray.from_buffers(len(key), pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32).tobytes()), pa.py_buffer(gather(wide, start[first], size).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), values], ["key", "unit"])
+                yield pa.RecordBatch.from_arrays([values], ["unit"])
         pa.default_memory_pool().release_unused()  # this worker idles while the lattice needs the executor's memory
 
-    return docs.select("text").mapInArrow(run, "key long, unit string").groupBy("key").agg(F.first("unit").alias("unit"))
+    def keyed(batches):  # after the shuffle, which carries the units alone
+        for batch in batches:
+            for lo, hi, data, off in slices(batch.column("unit"), SLICE):
+                yield pa.RecordBatch.from_arrays([pa.array(fingerprints(data, off[:-1], off[1:]).view(np.int64)), batch.column("unit").slice(lo, hi - lo)], ["key", "unit"])
+
+    return docs.select("text").mapInArrow(run, "unit string").distinct().mapInArrow(keyed, "key long, unit string")
 
 
 def best_paths(units: DataFrame, pieces: Pieces) -> DataFrame:
@@ -243,7 +252,7 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_col: str
         order = np.argsort(keys, kind="stable")
         lists = arrow.column("ids").combine_chunks().take(pa.array(order))
         flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int16 if pieces.size <= 1 << 15 else np.int32)
-        units = keys[order], np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32), flat
+        units = keys[order], lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.uint16), flat
         part = rows.drop("text").mapInArrow(_encoder(shared, context.broadcast(units), docs.columns.index(text_col), shards > 1), _encoded_schema(rows, shards > 1))
         del arrow, lists, units, keys, order, flat
         parts = part if parts is None else parts.union(part)
@@ -264,7 +273,8 @@ def _encoded_schema(rows: DataFrame, partial: bool) -> T.StructType:
 def _encoder(shared, units, text_at: int, partial: bool):
     def run(batches):
         cutter = Cutter(shared.value)
-        keys, starts, flat = units.value
+        keys, lengths, flat = units.value
+        starts = np.concatenate([[0], np.cumsum(lengths, dtype=np.int32)])
         find = _Directory(keys)
         for batch in batches:
             row, number = batch.column("row"), batch.column("number")
@@ -281,7 +291,7 @@ def _encoder(shared, units, text_at: int, partial: bool):
                     place = (np.arange(len(doc)) - np.searchsorted(doc, np.arange(m))[doc])[mine]
                     doc, at = doc[mine], at[mine]
                 from_ = starts[at].astype(np.int64)
-                size = starts[at + 1] - from_
+                size = lengths[at].astype(np.int64)
                 ids = gather(flat, from_, size).astype(np.int32)
                 if partial:
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(ids))
