@@ -150,15 +150,15 @@ def regime(bars: DataFrame) -> DataFrame:
 
 
 def cross_section(bars: DataFrame) -> DataFrame:
-    """Ranks, relative strength and breadth across symbols, as of the panel's previous timestamp."""
-    out = bars
+    """Ranks, relative strength and breadth (share above the own ema_50) across symbols, as of the panel's previous timestamp."""
+    out = bars if "ema_50" in bars.columns else smooth(bars, {"ema_50": ("close", 2 / 51, 50)})
     at = W.partitionBy("ts")
     for n in (5, 20, 60):
         out = out.withColumn(f"_r{n}", change(n))
         rank, ties = F.rank().over(at.orderBy(F.col(f"_r{n}").asc_nulls_last())), F.count("*").over(W.partitionBy("ts", f"_r{n}"))
         out = out.withColumn(f"_xs_rank_ret_{n}", F.when(F.col(f"_r{n}").isNotNull(), (rank + (ties - 1) / 2) / F.count(f"_r{n}").over(at)))
     out = out.withColumn("_rel", F.col("_r20") - F.median("_r20").over(at))
-    panel = out.groupBy("ts").agg(F.count("*").alias("xs_n"), F.avg(F.when(F.col("sma_50").isNotNull(), (F.col("close") > F.col("sma_50")).cast("double"))).alias("xs_breadth"))
+    panel = out.groupBy("ts").agg(F.count("*").alias("xs_n"), F.avg(F.when(F.col("ema_50").isNotNull(), (F.col("close") > F.col("ema_50")).cast("double"))).alias("xs_breadth"))
     # A row a timestamp, whatever the number of symbols: one ordered pass (a single task) finds the timestamp before.
     step = panel.select("ts", F.lag("ts").over(W.partitionBy(F.lit(0)).orderBy("ts")).alias("before"))
     before = panel.select(F.col("ts").alias("before"), "xs_n", "xs_breadth")

@@ -22,19 +22,19 @@ def smooth(rows: DataFrame, inputs: dict[str, tuple[Column | str, float, int]],
     for name, (x, _, _) in inputs.items():
         out = out.withColumn(f"_x_{name}", F.col(x) if isinstance(x, str) else x)
         out = out.withColumn(f"_n_{name}", F.count(f"_x_{name}").over(series.rowsBetween(W.unboundedPreceding, 0)))
-    carried = None
+    ends, folds = [], []
     for name, (_, a, _) in inputs.items():
         n, x = F.col(f"_n_{name}") - 1, F.col(f"_x_{name}")
         out = out.withColumn(f"_b_{name}", F.when(F.col(f"_n_{name}") > 0, F.floor(n / block).cast("int")).otherwise(0)).withColumn(f"_k_{name}", F.pmod(n, F.lit(block)))
         inside = W.partitionBy(*keys, f"_b_{name}").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
         weight = F.when(x.isNotNull(), a * x * F.pow(F.lit(1 - a), -F.col(f"_k_{name}")))
         out = out.withColumn(f"_l_{name}", F.pow(F.lit(1 - a), F.col(f"_k_{name}")) * F.sum(weight).over(inside))
-        ends = out.where(x.isNotNull() & (F.col(f"_k_{name}") == block - 1)).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(f"_b_{name}").alias("b"), F.col(f"_l_{name}").alias("l")))).alias(f"_e_{name}"))
-        first = out.where((F.col(f"_n_{name}") == 1) & x.isNotNull()).groupBy(*keys).agg(F.min(f"_x_{name}").alias(f"_f_{name}"))
+        end = F.when(x.isNotNull() & (F.col(f"_k_{name}") == block - 1), F.struct(F.col(f"_b_{name}").alias("b"), F.col(f"_l_{name}").alias("l")))
+        ends += [F.sort_array(F.collect_list(end)).alias(f"_e_{name}"), F.min(F.when((F.col(f"_n_{name}") == 1) & x.isNotNull(), x)).alias(f"_f_{name}")]
         power = (1 - a) ** block
-        fold = F.aggregate(F.coalesce(f"_e_{name}", F.array().cast("array<struct<b:int,l:double>>")), F.array(F.col(f"_f_{name}")), lambda c, e: F.concat(c, F.array(power * F.element_at(c, -1) + e["l"])))  # noqa: B023
-        one = first.join(ends, list(keys), "left").select(*keys, fold.alias(f"_c_{name}"))
-        carried = one if carried is None else carried.join(one, list(keys), "full")
+        folds.append(F.aggregate(f"_e_{name}", F.array(F.col(f"_f_{name}")), lambda c, e: F.concat(c, F.array(power * F.element_at(c, -1) + e["l"]))).alias(f"_c_{name}"))  # noqa: B023
+    # One aggregate for all inputs: the rows are read twice, however many series are smoothed.
+    carried = out.groupBy(*keys).agg(*ends).select(*keys, *folds)
     out = out.join(carried, list(keys), "left")
     for name, (_, a, least) in inputs.items():
         k = F.col(f"_k_{name}")

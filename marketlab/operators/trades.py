@@ -22,25 +22,26 @@ def candidates(bars: DataFrame, variants: DataFrame, entry: Column, leave: Colum
     bars: features with atr. variants: variant, stop_atr, target_atr (null: none), hold, and the parameters that
     the Columns ``entry`` and ``leave`` read. A rules table is small: it is crossed with the bars of a symbol.
     """
-    series = W.partitionBy("symbol").orderBy("ts")
-    rows = bars.withColumn("i", F.row_number().over(series)).withColumn("last_i", F.count("*").over(W.partitionBy("symbol")))
-    crossed = rows.crossJoin(F.broadcast(variants))
-    w = W.partitionBy("symbol", "variant").orderBy("i")
-    flagged = crossed.withColumn("enter", F.coalesce(entry, F.lit(False))).withColumn("go", F.lag("enter").over(w)).withColumn("leave", F.lag(F.coalesce(leave, F.lit(False))).over(w))
-    flagged = flagged.withColumn("atr_before", F.lag("atr").over(w))
-    entries = flagged.where("go and atr_before is not null").select("symbol", "variant", F.col("i").alias("entry_i"), F.col("ts").alias("entry_ts"), F.col("open").alias("entry_price"), (F.col("open") - F.col("stop_atr") * F.col("atr_before")).alias("stop"), (F.col("open") + F.col("target_atr") * F.col("atr_before")).alias("target"), "hold")
+    w = W.partitionBy("symbol").orderBy("ts")
+    rows = bars.withColumn("i", F.row_number().over(w)).withColumn("last_i", F.count("*").over(W.partitionBy("symbol")))
+    # What the bar after a signal opens at is found before bars meet variants, so that nothing is shuffled a variant.
+    ahead = rows.withColumn("entry_ts", F.lead("ts").over(w)).withColumn("entry_price", F.lead("open").over(w))
+    entries = ahead.crossJoin(F.broadcast(variants)).where(F.coalesce(entry, F.lit(False)) & F.col("atr").isNotNull() & F.col("entry_price").isNotNull())
+    entries = entries.select("symbol", *variants.columns, (F.col("i") + 1).alias("entry_i"), "entry_ts", "entry_price", (F.col("entry_price") - F.col("stop_atr") * F.col("atr")).alias("stop"), (F.col("entry_price") + F.col("target_atr") * F.col("atr")).alias("target"))
     # Bars meet entries in slots of SLOT rows: an entry lists the slots it may be held over.
     spread = entries.withColumn("slot", F.explode(F.sequence(F.floor(F.col("entry_i") / SLOT), F.floor((F.col("entry_i") + F.col("hold")) / SLOT))))
-    held = flagged.select("symbol", "variant", "i", "ts", "open", "high", "low", "close", "leave", "last_i", F.floor(F.col("i") / SLOT).alias("slot"))
-    pairs = spread.join(held, ["symbol", "variant", "slot"]).where("i between entry_i and entry_i + hold")
+    # A bar carries the features of the bar before it, under their own names, for ``leave``.
+    before = [F.lag(c).over(w).alias(c) for c in bars.columns if c not in ("symbol", "ts")]
+    held = rows.select("symbol", "i", F.col("ts").alias("bar_ts"), *(F.col(c).alias(f"bar_{c}") for c in ("open", "high", "low", "close")), "last_i", F.floor(F.col("i") / SLOT).alias("slot"), *before)
+    pairs = spread.join(held, ["symbol", "slot"]).where("i between entry_i and entry_i + hold").withColumn("leave", F.coalesce(leave, F.lit(False)))
     later, first = F.col("i") > F.col("entry_i"), F.col("i") == F.col("entry_i")
-    struct = lambda reason, price: F.struct(F.lit(reason).alias("reason"), price.alias("price"), F.col("ts").alias("ts"), F.col("i").alias("i"))
+    struct = lambda reason, price: F.struct(F.lit(reason).alias("reason"), price.alias("price"), F.col("bar_ts").alias("ts"), F.col("i").alias("i"))
     end = (
-        F.when(later & F.col("leave"), struct("signal", F.col("open")))
-        .when(later & (F.col("i") - F.col("entry_i") >= F.col("hold")), struct("max_holding", F.col("open")))
-        .when(F.col("low") <= F.col("stop"), struct("stop", F.when(first, F.col("stop")).otherwise(F.least("open", "stop"))))
-        .when(F.col("high") >= F.col("target"), struct("target", F.when(first, F.col("target")).otherwise(F.greatest("open", "target"))))
-        .when(F.col("i") == F.col("last_i"), struct("end_of_data", F.col("close")))
+        F.when(F.col("leave") & later, struct("signal", F.col("bar_open")))
+        .when(later & (F.col("i") - F.col("entry_i") >= F.col("hold")), struct("max_holding", F.col("bar_open")))
+        .when(F.col("bar_low") <= F.col("stop"), struct("stop", F.when(first, F.col("stop")).otherwise(F.least("bar_open", "stop"))))
+        .when(F.col("bar_high") >= F.col("target"), struct("target", F.when(first, F.col("target")).otherwise(F.greatest("bar_open", "target"))))
+        .when(F.col("i") == F.col("last_i"), struct("end_of_data", F.col("bar_close")))
     )
     ended = pairs.withColumn("end", end).where("end is not null")
     return ended.groupBy("symbol", "variant", "entry_i", "entry_ts", "entry_price").agg(F.min_by("end", "i").alias("end"))

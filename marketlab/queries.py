@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlab.functions import columns
-from marketlab.operators import bars, features, joins, trades, validation
+from marketlab.operators import bars, features, joins, research, trades, validation
 from marketlab.operators.scan import smooth
+from marketlab.plans import rules
 from marketlab.sources import views
+from marketlab.streaming.bars import drain, stream_bars
 
 #: The views of marketlab.sources.views in SQL.
 SQL_TRADES = """tr AS (SELECT event_type AS symbol, CAST(ts AS TIMESTAMP) AS ts, value + 1 AS price, coalesce(CAST(json_extract_string(props, '$.k') AS DOUBLE), 0) + 1 AS qty,
@@ -120,7 +122,7 @@ def wn18_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT b.symbol, CAST(CAST(b.ts AS DATE) AS VARCHAR) AS day, p.n AS xs_n, round(a.k, 6) AS xs_rank_ret_20, round(a.rel, 6) AS xs_rel_ret_20
   FROM b JOIN t ON b.ts = t.ts LEFT JOIN t AS p ON p.ts = t.before LEFT JOIN a ON a.ts = t.before AND a.symbol = b.symbol""")
 def wn21_cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(features.cross_section(features.averages(views.bars_1d(spark, sf_dir), (50,))), "xs_n", "xs_rank_ret_20", "xs_rel_ret_20")
+    return shown(features.cross_section(views.bars_1d(spark, sf_dir)), "xs_n", "xs_rank_ret_20", "xs_rel_ret_20")
 
 
 @query(sql_features({"body_range_ratio": "abs(close - open) / nullif(high - low, 0)", "upper_shadow": "(high - greatest(open, close)) / nullif(high - low, 0)", "lower_shadow": "(least(open, close) - low) / nullif(high - low, 0)", "close_position": "(close - low) / nullif(high - low, 0)"}))
@@ -237,6 +239,91 @@ def wn15_trend_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(features.trend_strength(views.bars_1d(spark, sf_dir)), "trend_strength")
 
 
+def _featured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars with all that the daily and swing rules read, but news."""
+    b = features.cross_section(features.all_features(views.bars_1d(spark, sf_dir))).withColumns(columns.calendar(86400))
+    up, down = rules.crosses("ema_20", "ema_50")
+    return b.withColumns({"ema_crosses_up": up, "ema_crosses_down": down})
+
+
+def _catalogue(spark: SparkSession, bars_: DataFrame, chosen: tuple[rules.Rule, ...]) -> DataFrame:
+    """Net trades of every variant of the rules, one position a symbol and variant."""
+    enter, leave = rules.conditions(chosen)
+    found = trades.candidates(bars_, rules.variant_table(spark, chosen), enter, leave)
+    return trades.net_returns(trades.single_position(found)).withColumn("rule", F.regexp_extract("variant", r"^[^\[]+", 0))
+
+
+@query()
+def pr7_daily_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trades.metrics(_catalogue(spark, _featured(spark, sf_dir), rules.DAILY), "symbol", "rule", "variant")
+
+
+@query()
+def pr7_swing_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trades.metrics(_catalogue(spark, _featured(spark, sf_dir), rules.applicable(rules.SWING, "daily", "equity")), "symbol", "rule", "variant")
+
+
+@query()
+def pr7_intraday_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trades.metrics(_catalogue(spark, features.all_features(views.bars_1h(spark, sf_dir)), rules.INTRADAY), "symbol", "rule", "variant")
+
+
+@query(f"""WITH {SQL_BARS}, h AS (SELECT *, CASE WHEN count(high) OVER w = 20 THEN max(high) OVER w END AS h20, CASE WHEN count(volume) OVER p = 20 THEN volume / nullif(avg(volume) OVER p, 0) END AS vr FROM b
+    WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING), p AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+  x AS (SELECT *, lag(h20) OVER (PARTITION BY symbol ORDER BY ts) AS prev FROM h), g(vol_th, label) AS (VALUES (1.0, '1.0'), (1.2, '1.2'), (1.5, '1.5')), st(stop_atr, slabel) AS (VALUES (1.5, '1.5'), (2.0, '2.0'), (3.0, '3.0'))
+  SELECT symbol, 'breakout[vol_th=' || label || ',stop_atr=' || slabel || ']' AS variant, {DAY} FROM x CROSS JOIN g CROSS JOIN st WHERE close > prev AND vr > vol_th""")
+def pr6_breakout_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars on which each point of the breakout grid would enter."""
+    chosen = tuple(r for r in rules.DAILY if r.name == "breakout")
+    b = features.volume_ratio(features.extremes(views.bars_1d(spark, sf_dir)))
+    signals = b.crossJoin(F.broadcast(rules.variant_table(spark, chosen))).where(rules.conditions(chosen)[0])
+    return signals.select("symbol", "variant", F.to_date("ts").cast("string").alias("day"))
+
+
+@query()
+def ag4_date_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return research.date_means(_momentum(spark, sf_dir), "variant")
+
+
+@query()
+def ag6_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return research.cost_analysis(_momentum(spark, sf_dir), "symbol", "variant")
+
+
+@query()
+def ag7_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return research.stability(trades.metrics(_momentum(spark, sf_dir), "symbol", "variant"), "symbol")
+
+
+@query()
+def rs7_monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return research.monte_carlo(_momentum(spark, sf_dir), "symbol", "variant")
+
+
+@query(f"""WITH {SQL_QUOTES}, r AS (SELECT symbol, arg_max((bid + ask) / 2, row(ts, seq)) / arg_min((bid + ask) / 2, row(ts, seq)) AS ratio FROM qu GROUP BY 1) SELECT round(avg(ratio) * 10000, 6) AS value, count(*) AS symbols FROM r""")
+def ag8_buy_and_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return research.buy_and_hold(views.quotes(spark, sf_dir), 10000.0).select(F.round("value", 6).alias("value"), "symbols")
+
+
+@query(f"""WITH {SQL_TRADES}, g AS (SELECT symbol, lag(ts) OVER w AS before, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS us FROM tr WINDOW w AS (PARTITION BY symbol ORDER BY ts)) SELECT symbol, epoch_us(before) AS from_us, round(us / 1e6, 6) AS silent_s FROM g WHERE us > 3600000000""")
+def ss11_feed_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours without a trade (the feed at hand is sparse)."""
+    return research.feed_gaps(views.trades(spark, sf_dir), 3600).select("symbol", F.unix_micros("from_ts").alias("from_us"), F.round("silent_s", 6).alias("silent_s"))
+
+
+@query("""SELECT doc_id AS id, event_type AS symbol FROM documents JOIN events ON doc_id = event_id ORDER BY (event_type = 'purchase') DESC, ts DESC, doc_id LIMIT 50""")
+def tk3_latest_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return research.latest_headlines(views.headlines(spark, sf_dir), ["purchase"], 50).select("id", F.col("symbols")[0].alias("symbol"))
+
+
+@query(f"""WITH {SQL_TRADES}, b AS (SELECT symbol, date_trunc('hour', ts) AS h, arg_min(price, row(ts, seq)) AS o, arg_max(price, row(ts, seq)) AS c, sum(qty) AS v FROM tr GROUP BY 1, 2)
+  SELECT symbol, CAST(h AS VARCHAR) AS bar, round(o, 6) AS open, round(c, 6) AS close, round(v, 6) AS volume FROM b WHERE h + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) FROM tr)""")
+def ss1_stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars of the trade stream; the bar that no later trade has closed yet is not among them."""
+    b = drain(stream_bars(views.trade_stream(spark, sf_dir), "1 hour"), "bars")
+    return b.select("symbol", F.col("ts").cast("string").alias("bar"), *(F.round(c, 6).alias(c) for c in ("open", "close", "volume")))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of the momentum rule for every symbol, also those without trades."""
     symbols = views.bars_1d(spark, sf_dir).select("symbol").distinct()

@@ -13,8 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, ts, price, qty, buyer_is_maker, seq from the event stream."""
-    e = table(spark, sf_dir, "events")
+    """symbol, ts, price, qty, buyer_is_maker, seq from the event table."""
+    return as_trades(table(spark, sf_dir, "events"))
+
+
+def trade_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream of the event files."""
+    return as_trades(spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet"))
+
+
+def as_trades(e: DataFrame) -> DataFrame:
     qty = F.coalesce(F.get_json_object("props", "$.k").cast("double"), F.lit(0.0)) + 1
     return e.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") + 1).alias("price"), qty.alias("qty"), (F.col("event_id") % 2 == 0).alias("buyer_is_maker"), F.col("event_id").alias("seq"))
 
