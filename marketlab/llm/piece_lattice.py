@@ -1,11 +1,14 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
 The text, after a space in front, is cut into units wherever no piece of the model can reach across (so at the
-spaces between words, at most punctuation and often inside a word), and inside runs of UNIT_CHARS
-characters without such a place. Each distinct unit of the corpus is encoded once:
+spaces between words, at most punctuation and often inside a word), and nowhere else, so the best paths of the
+units are the best path of the text. Each distinct unit of the corpus is encoded once:
 its substrings of bounded length are exploded and equi-joined to the piece table, the edges found are
 grouped by unit, and a fold (Spark's higher-order ``aggregate``) keeps the best-scoring path to every
-position. Characters without a piece become their UTF-8 bytes.
+position. Units of over UNIT_CHARS characters (separators, glued words) are folded in blocks of that many
+positions: from block to block go the scores of the last positions that a piece can begin at, and each
+position's best last piece, from which a second fold reads the path backwards; so the work stays in proportion
+to the length. Characters without a piece become their UTF-8 bytes.
 
 Texts then look their units up. The unit table is broadcast only in shards of at most ``shard_bytes``; with
 several shards each pass encodes the units of one, and a row's parts are put in order again.
@@ -34,6 +37,8 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, UNIT_CHARS, SHARD_BYTES, SEEN, SLICE, HASH_BITS = "▁", 64, 96 << 20, 1 << 20, 1 << 18, 22
 #: Units of one lattice task: their edges are grouped by hashing, in memory.
 LATTICE_UNITS = 6000
+#: Characters of long units in one such task, or one unit if that is longer.
+LATTICE_CHARS = 1 << 15
 
 
 class Pieces:
@@ -108,11 +113,7 @@ class Cutter:
                     inner[k : m + k] |= hit
         cut[1:-1] = ~inner[1:-1]
         cut[ends] = True
-        at = np.flatnonzero(cut)
-        long_ = np.flatnonzero(np.diff(at) > UNIT_CHARS)
-        if len(long_):
-            at = np.unique(np.concatenate([at, *(np.arange(at[i], at[i + 1], UNIT_CHARS) for i in long_.tolist())]))
-        place = np.append(chars, len(wide))[at]
+        place = np.append(chars, len(wide))[np.flatnonzero(cut)]
         start, end = place[:-1], place[1:]
         return wide, start, end, np.searchsorted(edges, start, "right") - 1, fingerprints(wide, start, end)
 
@@ -163,18 +164,33 @@ def best_paths(units: DataFrame, pieces: Pieces) -> DataFrame:
     """(key, ids): the best-scoring segmentation of every unit."""
     spark = units.sparkSession
     units = materialize(units, "distinct")
-    units = units.repartition(units.count() // LATTICE_UNITS + 1, "key")
-    least = min(s for _, _, s in pieces.rows) - 10.0
+    is_long = F.length("unit") > UNIT_CHARS
+    count = units.agg(F.count(F.when(~is_long, 1)).alias("short"), F.coalesce(F.sum(F.when(is_long, F.length("unit"))), F.lit(0)).alias("chars")).first()
     # The model file's size. Strings meet by their 64-bit hashes, and then in full.
     table = F.broadcast(spark.createDataFrame(pieces.rows, "piece string, id int, score double").withColumn("hash", F.xxhash64("piece")))
-    starts = units.select("key", F.length("unit").alias("n"), "unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("i"))
-    tails = starts.select("key", "n", "i", F.expr(f"substr(unit, i, {pieces.longest})").alias("tail"))
-    spots = tails.select("key", "n", "i", "tail", F.explode(F.sequence(F.lit(1), F.length("tail"))).alias("l"))
-    exploded = spots.select("key", "n", "i", "l", F.expr("substr(tail, 1, l)").alias("part")).withColumn("part_hash", F.xxhash64("part"))
+    short = units.where(~is_long).repartition(count["short"] // LATTICE_UNITS + 1, "key")
+    paths = _short_paths(short.select("key", "unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("i")).select("key", "i", F.expr(f"substr(unit, i, {pieces.longest})").alias("tail")), table, pieces)
+    if count["chars"]:
+        paths = paths.unionByName(_long_paths(units.where(is_long).repartition(count["chars"] // LATTICE_CHARS + 1, "key"), table, pieces))
+    bytes_of = F.array(*(F.lit(i) for i in pieces.byte_ids))
+    raw = lambda code: F.transform(_utf8(-code), lambda b: F.element_at(bytes_of, b + 1))
+    plain = F.flatten(F.transform("ids", lambda x: F.when(x >= 0, F.array(x)).otherwise(raw(x))))
+    return paths.select("key", F.when(F.exists("ids", lambda x: x < 0), plain).otherwise(F.col("ids")).alias("ids"))
+
+
+def _edges(tails: DataFrame, table: DataFrame, pieces: Pieces) -> DataFrame:
+    """(key, edge) of tails: (key, i, tail), the text from each position i on as far as a piece reaches."""
+    least = min(s for _, _, s in pieces.rows) - 10.0
+    spots = tails.select("key", "i", "tail", F.explode(F.sequence(F.lit(1), F.length("tail"))).alias("l"))
+    exploded = spots.select("key", "i", "l", F.expr("substr(tail, 1, l)").alias("part")).withColumn("part_hash", F.xxhash64("part"))
     edges = exploded.join(table, (exploded["part_hash"] == table["hash"]) & (exploded["part"] == table["piece"]), "left").where("id is not null or l = 1")
-    # A character without a piece is its code point, negative, until the bytes replace it below.
-    edge = F.struct((F.col("i") + F.col("l") - 1).alias("end"), "i", F.coalesce("score", F.lit(least)).alias("score"), F.coalesce("id", -F.ascii("part")).alias("id"))
-    grouped = edges.groupBy("key").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    # A character without a piece is its code point, negative, until the bytes replace it.
+    return edges.select("key", F.struct((F.col("i") + F.col("l") - 1).alias("end"), "i", F.coalesce("score", F.lit(least)).alias("score"), F.coalesce("id", -F.ascii("part")).alias("id")).alias("edge"))
+
+
+def _short_paths(tails: DataFrame, table: DataFrame, pieces: Pieces) -> DataFrame:
+    """(key, ids), with negative code points; tails: (key, i, tail)."""
+    grouped = _edges(tails, table, pieces).groupBy("key").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     # Edges come by their end, and every position ends one: ``done`` holds the best path (score and pieces) to each
     # position before that of ``now``. Of equal paths the one with the longer last piece stays.
     path = "struct<s: double, ids: array<int>>"
@@ -190,10 +206,45 @@ def best_paths(units: DataFrame, pieces: Pieces) -> DataFrame:
                     a)),
             a -> a.now.ids)
     """)
-    bytes_of = F.array(*(F.lit(i) for i in pieces.byte_ids))
-    raw = lambda code: F.transform(_utf8(-code), lambda b: F.element_at(bytes_of, b + 1))
-    plain = F.flatten(F.transform("ids", lambda x: F.when(x >= 0, F.array(x)).otherwise(raw(x))))
-    return grouped.select("key", fold.alias("ids")).select("key", F.when(F.exists("ids", lambda x: x < 0), plain).otherwise(F.col("ids")).alias("ids"))
+    return grouped.select("key", fold.alias("ids"))
+
+
+def _long_paths(units: DataFrame, table: DataFrame, pieces: Pieces) -> DataFrame:
+    """The same for long units: (key, unit), dealt by key."""
+    blocks = units.select("key", F.posexplode(F.expr(f"transform(sequence(1, length(unit), {UNIT_CHARS}), p -> substr(unit, p, {UNIT_CHARS + pieces.longest - 1}))")).alias("block", "text"))
+    starts = blocks.select("key", "block", "text", F.explode(F.sequence(F.lit(1), F.least(F.length("text"), F.lit(UNIT_CHARS)))).alias("j"))
+    tails = starts.select("key", (F.col("block") * UNIT_CHARS + F.col("j")).alias("i"), F.expr(f"substr(text, j, {pieces.longest})").alias("tail"))
+    found = _edges(tails, table, pieces).groupBy("key", F.expr(f"(edge.end - 1) div {UNIT_CHARS}").alias("block")).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    grouped = found.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("block", "edges"))).alias("blocks"))
+    # ``scores`` are those of the positions from ``at`` on; ``back`` is the last piece (length and id) of the best path to each
+    # position. Edges come by their end and the longer first, and of equal paths the first stays, as for short units.
+    back = "array<struct<l: int, id: int>>"
+    forward = F.expr(f"""
+        aggregate(blocks,
+            cast(named_struct('at', 0, 'scores', array(0), 'backs', array()) as struct<at: int, scores: array<double>, backs: array<{back}>>),
+            (a, block) -> aggregate(block.edges,
+                named_struct('scores', a.scores, 'back', cast(array() as {back})),
+                (x, e) -> if(e.end >= a.at + size(x.scores),
+                    named_struct('scores', array_append(x.scores, get(x.scores, e.i - 1 - a.at) + e.score), 'back', array_append(x.back, named_struct('l', e.end - e.i + 1, 'id', e.id))),
+                    if(get(x.scores, e.i - 1 - a.at) + e.score > element_at(x.scores, -1),
+                        named_struct('scores', array_append(slice(x.scores, 1, size(x.scores) - 1), get(x.scores, e.i - 1 - a.at) + e.score),
+                            'back', array_append(slice(x.back, 1, size(x.back) - 1), named_struct('l', e.end - e.i + 1, 'id', e.id))),
+                        x)),
+                x -> named_struct('at', a.at + greatest(0, size(x.scores) - {pieces.longest}), 'scores', slice(x.scores, greatest(0, size(x.scores) - {pieces.longest}) + 1, {pieces.longest}),
+                    'backs', array_append(a.backs, x.back))),
+            a -> a.backs)
+    """)
+    # ``skip`` positions lie inside the piece taken last.
+    backward = F.expr("""
+        aggregate(reverse(backs),
+            cast(named_struct('skip', 0, 'ids', array()) as struct<skip: int, ids: array<array<int>>>),
+            (a, back) -> aggregate(reverse(back),
+                named_struct('skip', a.skip, 'ids', cast(array() as array<int>)),
+                (x, b) -> if(x.skip > 0, named_struct('skip', x.skip - 1, 'ids', x.ids), named_struct('skip', b.l - 1, 'ids', array_append(x.ids, b.id))),
+                x -> named_struct('skip', x.skip, 'ids', array_append(a.ids, reverse(x.ids)))),
+            a -> flatten(reverse(a.ids)))
+    """)
+    return grouped.select("key", forward.alias("backs")).select("key", backward.alias("ids"))
 
 
 def _utf8(code):
@@ -226,6 +277,11 @@ class _Directory:
         return np.where((at <= last) & (self.keys[np.minimum(at, last)] == keys), at, -1)
 
 
+def _narrow(lengths: np.ndarray) -> np.ndarray:
+    """Lengths in two bytes each, unless a long unit has more pieces than they can tell."""
+    return lengths.astype(np.uint32 if len(lengths) and lengths.max() > 0xFFFF else np.uint16)
+
+
 def _shard_of(key, shards: int):
     return F.pmod(F.shiftright(key, 8), F.lit(shards))
 
@@ -252,7 +308,7 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_col: str
         order = np.argsort(keys, kind="stable")
         lists = arrow.column("ids").combine_chunks().take(pa.array(order))
         flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int16 if pieces.size <= 1 << 15 else np.int32)
-        units = keys[order], lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.uint16), flat
+        units = keys[order], _narrow(lists.value_lengths().to_numpy(zero_copy_only=False)), flat
         part = rows.drop("text").mapInArrow(_encoder(shared, context.broadcast(units), docs.columns.index(text_col), shards > 1), _encoded_schema(rows, shards > 1))
         del arrow, lists, units, keys, order, flat
         parts = part if parts is None else parts.union(part)

@@ -321,6 +321,38 @@ def test_piece_lattice(spark, docs, texts, no_docs):
     assert piece_lattice.encode(no_docs, pieces).count() == 0
 
 
+def test_piece_lattice_runs_without_a_cut(spark):
+    r = random.Random(3)
+    parts = ["the", "ing", "station", "under", "er", "work", "ation", "un", "less", "qu"]
+    texts = [c * n for c in "-#=*_/~" for n in (63, 64, 65, 80, 100, 200)] + ["".join(r.choice(parts) for _ in range(n)) for n in (60, 60, 400)]
+    texts += ["".join(r.choice("-=_#ab") for _ in range(1500)), "x" + "日é🙂-" * 40 + "=" * 129, " " * 300]
+    pieces = piece_lattice.Pieces.load()
+    table, least = {p: (s, i) for p, i, s in pieces.rows}, min(s for _, _, s in pieces.rows) - 10
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got, parts = by_id(piece_lattice.encode(rows, pieces)), by_id(piece_lattice.encode(rows, pieces, shard_bytes=500))
+    for k, t in enumerate(texts):
+        x = " " + t
+        best, back = [0.0] + [None] * len(x), [None] * (len(x) + 1)
+        for i in range(len(x)):
+            for n in range(1, min(pieces.longest, len(x) - i) + 1):
+                found = table.get(x[i : i + n])
+                if found or n == 1:
+                    score = best[i] + (found[0] if found else least)
+                    if best[i + n] is None or score > best[i + n]:
+                        best[i + n], back[i + n] = score, (i, [found[1]] if found else [pieces.byte_ids[b] for b in x[i].encode()])
+        want, i = [], len(x)
+        while i:
+            i, ids = back[i]
+            want = ids + want
+        assert got[k]["ids"] == want and parts[k]["ids"] == want, t[:20]
+
+
+def test_piece_lattice_unit_of_many_pieces(spark):
+    pieces = piece_lattice.Pieces([("a", 0, -1.0), ("aa", 1, -9.0), (" ", 2, -1.0)], list(range(3, 259)), 259)
+    ids = piece_lattice.encode(spark.createDataFrame([("a" * 70_000,)], "text string"), pieces).first()["ids"]
+    assert ids == [2] + [0] * 70_000
+
+
 def test_substring_dedup(docs, texts, no_docs, spark):
     got = by_id(substring_dedup.digest(substring_dedup.report(docs)))
     first = {}
