@@ -11,12 +11,10 @@ def asof(left: DataFrame, right: DataFrame, value: str, forward: bool = False, k
     """left with ``value`` of the last row of right at or before its time (forward: the first at or after)."""
     l, r = left.withColumn("_side", F.lit(1)), right.select(key, order, F.col(value), F.lit(0).alias("_side"))
     both = l.unionByName(r, allowMissingColumns=True)
-    # At equal times rows of right come before (backward), or after (forward), the rows they answer.
-    w = W.partitionBy(key).orderBy(order, F.desc("_side") if forward else F.asc("_side"))
-    if forward:
-        filled = F.first(F.when(F.col("_side") == 0, F.col(value)), ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
-    else:
-        filled = F.last(F.when(F.col("_side") == 0, F.col(value)), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
+    # Rows of right come before the rows they answer, also at equal times. Forward runs backwards in time: a frame that
+    # ends at the current row is filled in one pass, one that begins there is read anew for every row.
+    w = W.partitionBy(key).orderBy(F.desc(order) if forward else F.asc(order), F.asc("_side"))
+    filled = F.last(F.when(F.col("_side") == 0, F.col(value)), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
     return both.withColumn(value, filled).where("_side = 1").drop("_side")
 
 

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from marketlab import queries
 from marketlab.functions import columns
 from marketlab.operators import bars, features, joins, trades, validation
 from marketlab.operators.scan import smooth
@@ -111,3 +112,18 @@ def test_quiet_bars_and_reconciliation(spark):
     assert [r["close"] for r in got] == [5, 5, 5, 5, 6, 7] and sum(r["volume"] for r in got) == 3
     book = lambda *r: spark.createDataFrame(r, "symbol string, quantity double")
     assert {r["symbol"] for r in joins.reconcile(book(("A", 1.0), ("B", 2.0), ("C", 1.0)), book(("A", 1.0 + 1e-12), ("B", 2.1), ("D", 1.0))).collect()} == {"B", "C", "D"}
+
+
+def test_asof_queries_answer_every_trade(spark, tmp_path):
+    r = random.Random(4)
+    start = dt.datetime(2024, 1, 1)
+    seconds = r.sample(range(1200), 60)
+    rows = [(i, r.choice("ab"), start + dt.timedelta(seconds=s), float(r.randrange(100)), None) for i, s in enumerate(seconds)]
+    spark.createDataFrame(rows, "event_id long, event_type string, ts timestamp, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    ask = {x["seq"]: x["ask"] for x in queries.jn1_forward_asof(spark, str(tmp_path)).collect()}
+    bid = {x["seq"]: x["bid"] for x in queries.jn2_backward_asof(spark, str(tmp_path)).collect()}
+    assert len(ask) == len(bid) == len(rows)
+    for i, symbol, ts, _, _ in rows:
+        after = min(((t, v) for _, s, t, v, _ in rows if s == symbol and t >= ts + dt.timedelta(seconds=60)), default=None)
+        before = max(((t, v) for _, s, t, v, _ in rows if s == symbol and t <= ts - dt.timedelta(seconds=1)), default=None)
+        assert ask[i] == (after and pytest.approx((after[1] + 1) * 1.0005)) and bid[i] == (before and pytest.approx((before[1] + 1) * 0.9995))
