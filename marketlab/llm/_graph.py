@@ -18,8 +18,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("a <> b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, component) for every node that has an edge; a component is named by its least node."""
+def components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(node, component) for every node that has an edge; a component is named by its least node.
+
+    Ends when a round changes nothing; after ``rounds`` rounds without that it raises, as components may still be split.
+    """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     for _ in range(rounds):
@@ -28,4 +31,6 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if sign == before:
             break
         before = sign
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())

@@ -228,6 +228,13 @@ def test_components(spark):
     assert got == {x: root(x) for x in linked}
 
 
+def test_components_raise_rather_than_split(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(100)], "a long, b long")
+    with pytest.raises(RuntimeError, match="after 2 rounds"):
+        components(chain, rounds=2)
+    assert {r["component"] for r in components(chain).collect()} == {0}
+
+
 def brute_classes(rows):
     sets = {i: frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if (w := words(t, True)) else frozenset() for i, t in rows}
     name = {i: i for i in sets}
