@@ -52,7 +52,7 @@ def bars_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, created_at, headline and symbols: documents dated by the event of the same number."""
+    """id, created_at, headline (the whole text) and symbols: documents dated by the event of the same number."""
     d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "events")
     joined = d.join(e, d["doc_id"] == e["event_id"])
-    return joined.select(F.col("doc_id").alias("id"), F.col("ts").cast("timestamp").alias("created_at"), F.substring("text", 1, 120).alias("headline"), F.array("event_type").alias("symbols"))
+    return joined.select(F.col("doc_id").alias("id"), F.col("ts").cast("timestamp").alias("created_at"), F.col("text").alias("headline"), F.array("event_type").alias("symbols"))

@@ -10,6 +10,7 @@ from marketlab import queries
 from marketlab.functions import columns
 from marketlab.operators import bars, features, joins, trades, validation
 from marketlab.operators.scan import smooth
+from marketlab.sources import views
 
 
 def series(spark, closes, symbol="A"):
@@ -127,3 +128,10 @@ def test_asof_queries_answer_every_trade(spark, tmp_path):
         after = min(((t, v) for _, s, t, v, _ in rows if s == symbol and t >= ts + dt.timedelta(seconds=60)), default=None)
         before = max(((t, v) for _, s, t, v, _ in rows if s == symbol and t <= ts - dt.timedelta(seconds=1)), default=None)
         assert ask[i] == (after and pytest.approx((after[1] + 1) * 1.0005)) and bid[i] == (before and pytest.approx((before[1] + 1) * 0.9995))
+
+
+def test_headlines_keep_the_whole_text(spark, tmp_path):
+    text = "word " * 50 + "bankruptcy"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "a", dt.datetime(2024, 1, 1))], "event_id long, event_type string, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    assert views.headlines(spark, str(tmp_path)).first()["headline"] == text
