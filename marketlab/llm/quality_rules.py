@@ -1,12 +1,18 @@
 """Line labelling with a linear-chain conditional random field, and the rules built on it.
 
 Every line with a word gets bucketed features (symbols, case, digits, length, repetition, ending).
-A two-state chain (content, boilerplate) is fitted by maximum likelihood to a bounded sample of
-labelled documents, whose lines take the label of their document. Viterbi decoding then marks the
+A two-state chain (content, boilerplate) is fitted to a bounded sample of labelled documents. Their lines' labels are hidden:
+a document's label is a noisy witness of each of its lines, which agrees with the line's state with probability AGREE. The fit
+maximises the likelihood of what is witnessed, by two forward-backward passes a step (with and without the witness), so lines that
+look like the other kind's turn over within a document and the chain sees changes of state. Viterbi decoding then marks the
 lines of every document, and the share of words on content lines decides retention.
 
+The sample is bounded by two parameters: ``sample_docs`` labelled documents in hash order, and of their lines, cut into pieces of
+PIECE_LINES, ``sample_pieces`` pieces in hash order. Long documents are in it by their pieces like all others.
+
 Defined cases: a null or empty text has no words and fails the base rule; without labelled
-documents there is no chain and only the base rule decides; repeated rows are judged one by one.
+documents of both kinds there is no chain and only the base rule decides; a document with both labels counts as bad; repeated rows are
+judged one by one.
 """
 
 from __future__ import annotations
@@ -37,7 +43,7 @@ BOUNDS = (
     (0.01, 0.2, 0.5, 0.9, 1.5),  # exclamation marks a word
 )
 BUCKETS = 6
-SAMPLE_DOCS, SAMPLE_LINES = 2000, 300
+SAMPLE_DOCS, SAMPLE_PIECES, PIECE_LINES, AGREE = 2000, 4000, 64, 0.9
 _SET = {name: np.isin(np.arange(256), list(chars)) for name, chars in (("symbol", SYMBOLS), ("upper", range(65, 91)), ("lower", range(97, 123)), ("digit", range(48, 58)), ("bang", b"!"), ("stop", b".!?:"))}
 
 
@@ -143,58 +149,54 @@ def decode(chain: Chain, features: np.ndarray, lines_of: np.ndarray) -> np.ndarr
     return label
 
 
-def fit_chain(features: list[np.ndarray], labels: np.ndarray, steps: int = 120, rate: float = 0.1, ridge: float = 0.5) -> Chain | None:
-    """Maximum likelihood by forward-backward gradients; labels hold one value (1: boilerplate) a document."""
+def _posteriors(psi: np.ndarray, theta: np.ndarray, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward-backward: P(boilerplate) of every line, expected moves between states, and expected first states.
+
+    psi: boilerplate scores of all lines; steps: the lines that are t-th in their piece, for each t, longest pieces first.
+    """
+    move, start = np.exp(theta[-6:-2].reshape(2, 2)), np.exp(theta[-2:])
+    local = np.stack([np.exp(-np.maximum(psi, 0)), np.exp(np.minimum(psi, 0))], 1)
+    alpha, beta, norm = np.empty_like(local), np.ones_like(local), np.empty(len(psi))
+    for t, at in enumerate(steps):
+        a = local[at] * (start if t == 0 else alpha[at - 1] @ move)
+        norm[at] = a.sum(1)
+        alpha[at] = a / norm[at][:, None]
+    ahead = local / norm[:, None]
+    for at in steps[:0:-1]:
+        beta[at - 1] = (ahead[at] * beta[at]) @ move.T
+    both = alpha * beta
+    both /= both.sum(1, keepdims=True)
+    later = np.concatenate(steps[1:]) if len(steps) > 1 else np.zeros(0, np.int64)
+    return both[:, 1], move * (alpha[later - 1].T @ (ahead[later] * beta[later])), both[steps[0]].sum(0)
+
+
+def fit_chain(features: list[np.ndarray], labels: np.ndarray, steps: int = 80, rate: float = 0.15, ridge: float = 0.5, agree: float = AGREE) -> Chain | None:
+    """Most likely chain for pieces of lines (one column a feature) whose labels (1: boilerplate) witness each line with probability ``agree``."""
     if not features or len(set(labels.tolist())) < 2:
         return None
-    longest, docs, width = max(map(len, features)), len(features), len(BOUNDS)
-    x = np.zeros((width, longest, docs), np.int16)
-    mask = np.zeros((longest, docs), bool)
-    for i, f in enumerate(features):
-        x[:, : len(f), i], mask[: len(f), i] = f.T, True
-    x += (BUCKETS * np.arange(width)).astype(np.int16)[:, None, None]
-    y = labels.astype(int)
-    theta = np.zeros(width * BUCKETS + 6)
+    order = np.argsort([-len(f) for f in features], kind="stable")
+    size = np.array([len(features[i]) for i in order])
+    x = np.concatenate([features[i] for i in order]) + (BUCKETS * np.arange(len(BOUNDS))).astype(np.int16)
+    first = np.cumsum(size) - size
+    by_place = [first[: int(np.searchsorted(-size, -t, "left"))] + t for t in range(int(size[0]))]
+    witness = np.repeat(np.where(labels[order], 1.0, -1.0) * np.log(agree / (1 - agree)), size)
+    flat, width = x.T.ravel(), len(BOUNDS) * BUCKETS
+    theta = np.zeros(width + 6)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        emission, transition, start = theta[:-6], theta[-6:-2].reshape(2, 2), theta[-2:]
-        psi = np.zeros((longest, docs, 2))
-        for own in x:  # a feature at a time, to hold little on the driver
-            psi[:, :, 1] += emission[own]
-        move = np.exp(transition)
-        local = np.exp(psi - psi.max(2, keepdims=True))
-        alpha, beta, norm = np.zeros_like(local), np.ones_like(local), np.ones((longest, docs))
-        for t in range(longest):
-            a = local[t] * (np.exp(start) if t == 0 else alpha[t - 1] @ move)
-            norm[t] = a.sum(1)
-            alpha[t] = np.where(mask[t][:, None], a / norm[t][:, None], alpha[t - 1] if t else a)
-        for t in range(longest - 2, -1, -1):
-            b = (local[t + 1] * beta[t + 1]) @ move.T / norm[t + 1][:, None]
-            beta[t] = np.where(mask[t + 1][:, None], b, 1.0)
-        posterior = alpha * beta
-        posterior /= posterior.sum(2, keepdims=True)
-        gap = np.where(mask, y[None, :] - posterior[:, :, 1], 0.0)
-        grad = np.zeros_like(theta)
-        for own in x:
-            grad += np.bincount(own[mask], gap[mask], len(grad))
-        both = mask[1:]
-        pair = alpha[:-1, :, :, None] * move * (local[1:] * beta[1:] / norm[1:, :, None])[:, :, None, :]
-        pair /= np.maximum(pair.sum((2, 3), keepdims=True), 1e-300)
-        seen = np.zeros((2, 2))
-        stays = both.sum(0)
-        seen[0, 0], seen[1, 1] = stays[y == 0].sum(), stays[y == 1].sum()
-        grad[-6:-2] = (seen - (pair * both[:, :, None, None]).sum((0, 1))).ravel()
-        has = mask[0]
-        grad[-2:] = np.bincount(y[has], minlength=2) - posterior[0][has].sum(0)
-        grad = (grad - ridge * theta) / docs
+        psi = theta[x].sum(1)
+        free, seen = _posteriors(psi, theta, by_place), _posteriors(psi + witness, theta, by_place)
+        grad = np.concatenate([np.bincount(flat, np.tile(seen[0] - free[0], x.shape[1]), width), (seen[1] - free[1]).ravel(), seen[2] - free[2]])
+        grad = (grad - ridge * theta) / len(features)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Chain(theta[:-6], theta[-6:-2].reshape(2, 2), theta[-2:])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> Chain | None:
-    """Fit the chain on at most ``sample_docs`` labelled documents of at most ``sample_lines`` lines, in hash order."""
-    picked = labels.select(F.col(id_col).alias("id"), F.col(quality_col).alias("quality")).where("id is not null and quality in (0, 1)").dropDuplicates(["id"]).orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(sample_docs)
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", sample_docs: int = SAMPLE_DOCS, sample_pieces: int = SAMPLE_PIECES) -> Chain | None:
+    """Fit the chain on at most ``sample_docs`` labelled documents and ``sample_pieces`` pieces of their lines, in hash order."""
+    picked = labels.select(F.col(id_col).alias("id"), F.col(quality_col).alias("quality")).where("id is not null and quality in (0, 1)")
+    picked = picked.groupBy("id").agg(F.min("quality").cast("int").alias("quality")).orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(sample_docs)
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id")
 
     def extract(batches):
@@ -202,12 +204,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for lo, hi, data, off in slices(batch.column("text")):
                 lines = Lines(data, off)
                 f, of = lines.features(), lines.lines_of
-                keep = [i for i in range(hi - lo) if 0 < of[i + 1] - of[i] <= sample_lines]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo).take(pa.array(keep, pa.int64())), pa.array([f[of[i] : of[i + 1]].tobytes() for i in keep], pa.binary()), batch.column("quality").slice(lo, hi - lo).take(pa.array(keep, pa.int64())).cast(pa.int32())], ["id", "features", "quality"])
+                at = [(i, a, min(a + PIECE_LINES, of[i + 1])) for i in range(hi - lo) for a in range(of[i], of[i + 1], PIECE_LINES)]
+                own = pa.array([lo + i for i, _, _ in at], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(own), pa.array([a - of[i] for i, a, _ in at], pa.int64()), pa.array([f[a:b].tobytes() for _, a, b in at], pa.binary()), batch.column("quality").take(own)], schema.names)
 
-    schema = T.StructType([chosen.schema["id"], T.StructField("features", T.BinaryType()), T.StructField("quality", T.IntegerType())])
-    rows = sorted(((r["id"], bytes(r["features"]), r["quality"]) for r in chosen.mapInArrow(extract, schema).limit(2 * sample_docs).collect()))
-    return fit_chain([np.frombuffer(f, np.int8).reshape(-1, len(BOUNDS)) for _, f, _ in rows], np.array([q == 0 for _, _, q in rows]))
+    schema = T.StructType([chosen.schema["id"], T.StructField("line", T.LongType()), T.StructField("features", T.BinaryType()), T.StructField("quality", T.IntegerType())])
+    rows = chosen.mapInArrow(extract, schema).orderBy(F.xxhash64(F.lit(2), "id", "line"), "id", "line", "features").limit(sample_pieces).collect()
+    return fit_chain([np.frombuffer(r["features"], np.int8).reshape(-1, len(BOUNDS)) for r in rows], np.array([r["quality"] == 0 for r in rows]))
 
 
 def judge(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col: str = "text", min_share: float = 0.5) -> DataFrame:

@@ -1,23 +1,26 @@
-"""Substring dedup: words covered by a window that also starts in a document with a smaller id go.
-
-Repeated windows are the deep internal nodes of the suffix tree over words. The tree is never built as a
-whole: suffixes are split by prefixes of growing length into groups that fit memory, and only groups
-that still hold several suffixes are opened further.
-
-1. Sparse suffixes: of the ANCHOR-word prefixes inside every window one is chosen by least fingerprint,
-   so equal windows choose the same one, at the same place. Suffixes are grouped by that prefix; a prefix
-   that occurs once has no internal node below it, and goes.
-2. The surviving suffixes are grouped by the run of all words in windows that chose them. Only a run's
-   least document keeps it; in all others those windows go.
-3. Runs left open are cut to single windows (prefixes of ``window`` words) and grouped a last time: a
-   window that a smaller document has, in a run that differs elsewhere, goes too.
-
-Before each shuffle a slice settles what it can by itself: of a frequent prefix it sends one row, of a
-frequent window only its least document's rows. So one very common passage costs rows in proportion to
-the slices, not to its occurrences, and groups are streamed in sorted order without being held.
+"""Substring dedup by prefix-partitioned suffix trees: words covered by a window that also starts in a document with a smaller id go.
+
+A repeated window is an internal node of the suffix tree over words, ``window`` words deep. The tree is built
+in parts, sparse in its suffixes and partitioned by prefixes of variable length:
+
+1. Sparse suffixes. Of the PREFIX-word prefixes inside every window the one of least fingerprint is
+   chosen, so equal windows choose the same one at the same place. A prefix that occurs once has no
+   internal node below it: its suffix goes, after one narrow shuffle.
+2. Each suffix left carries its first DEPTH words and the words before it that its windows need. Suffixes
+   are grouped by their prefix. A prefix with more than GROUP_ROWS suffixes is extended, on both sides, to the whole
+   windows of its suffixes, which are settled in a stream of sorted rows and need no tree.
+3. Every other group fits memory: its suffixes are sorted, common-prefix lengths of neighbours give the
+   subtree's internal nodes at every depth, and a window (l words before the suffix, the rest after it) is
+   repeated if a node of the rest's depth holds several suffixes with equal l words before them. The least
+   document of such a node keeps the window. repeats() reads maximal repeats from the same nodes.
+
+Before the shuffle of suffixes a slice settles what it can by itself: of suffixes with equal words all around only
+the least document's stay open, so one very common passage costs rows in proportion to the slices. Whole windows are
+settled by (window, salt) first and then, for the few left, by window, so a hot one is not one task's.
 
 Defined cases: null texts have no words; texts shorter than a window lose nothing; windows repeated only
-within one document, or in rows that share one id, stay; ids are integers.
+within one document, or in rows that share one id, stay; rows are told apart by id and text, so texts under one id
+lose only their own words; rows without an id lose nothing and take nothing; ids are integers.
 """
 
 from __future__ import annotations
@@ -32,199 +35,356 @@ from pyspark.sql import functions as F
 from marketlab.llm._store import materialize
 from marketlab.llm._text import U64, Words, long, mix, slices
 
-WINDOW, ANCHOR = 13, 5
+WINDOW, PREFIX, DEPTH, GROUP_ROWS, BROADCAST_ROWS = 13, 5, 16, 1 << 15, 1 << 20
+_Q, _R = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 
 
-def anchors(w: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first word of each window, its fingerprint, first word of the prefix it chooses, that prefix's fingerprint)."""
+def anchors(w: Words, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word of each window, first word of the prefix it chooses, that prefix's fingerprint)."""
     h = w.hashes()
-    start, whole = w.windows(h, window)
+    start, _ = w.windows(h, window)
     if not len(start):
-        return start, whole, start, whole
+        return start, start, h[:0]
     short = np.full(len(h), np.iinfo(np.uint64).max, U64)
-    at, v = w.windows(h, anchor)
+    at, v = w.windows(h, prefix)
     short[at] = v
     best, place = short[start].copy(), start.copy()
-    for j in range(1, window - anchor + 1):
+    for j in range(1, window - prefix + 1):
         other = short[start + j]
         less = other < best  # the leftmost of equal ones stays
         best[less], place[less] = other[less], start[less] + j
-    return start, whole, place, best
-
-
-def _spread(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return mix(doc.view(U64) * U64(0x9E3779B97F4A7C15) + at.astype(U64)).view(np.int64)
+    return start, place, best
 
 
-def _suffixes(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(key, doc, at) of chosen suffixes. at: four times the word, plus 2 if the slice has the prefix more than once, plus 1 if the row stands for its prefix."""
+def _suffixes(docs: DataFrame, window: int, prefix: int) -> DataFrame:
+    """(key, row, at) of chosen suffixes. at: four times the word, plus 2 if the slice has the prefix more than once, plus 1 if the row stands for its prefix."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            rows = batch.column("row").to_numpy()
             for lo, _, data, off in slices(batch.column("text")):
                 w = Words(data, off)
-                _, _, place, prefix = anchors(w, window, anchor)
+                _, place, key = anchors(w, window, prefix)
                 place, first = np.unique(place, return_index=True)
-                prefix = prefix[first]
-                doc = ids[lo + w.doc[place]] if len(place) else np.zeros(0, np.int64)
+                key = key[first]
+                row = rows[lo + w.doc[place]] if len(place) else np.zeros(0, np.int64)
                 at = place - w.first[w.doc[place]] if len(place) else place
-                _, head, count = np.unique(prefix, return_index=True, return_counts=True)
-                heads = np.zeros(len(prefix), bool)
+                _, head, count = np.unique(key, return_index=True, return_counts=True)
+                heads = np.zeros(len(key), bool)
                 heads[head] = True
                 sure = ~heads
                 sure[head[count > 1]] = True
                 # Of a frequent prefix the first suffix stands for all under the prefix; the others pass on by themselves.
-                key = np.where(heads, prefix.view(np.int64), _spread(doc, at))
-                yield pa.RecordBatch.from_arrays([pa.array(key), long(doc), pa.array((4 * at + 2 * sure + heads).astype(np.int32))], ["key", "doc", "at"])
+                key = np.where(heads, key.view(np.int64), mix(row.view(U64) * _Q + at.astype(U64)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(row), pa.array((4 * at + 2 * sure + heads).astype(np.int32))], ["key", "row", "at"])
 
-    return docs.mapInArrow(run, "key long, doc long, at int")
+    return docs.mapInArrow(run, "key long, row long, at int")
 
 
-def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
-    """Columns of sorted rows, with for each row: does its key equal the row before, and the row after?
+def _shared(suffixes: DataFrame) -> DataFrame:
+    """(row, at) of suffixes whose prefix occurs again; rows are sorted by key, and one is held back from batch to batch."""
 
-    One row is held back, so runs may go on over any number of batches.
-    """
-    held, was = None, None
-    for batch in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+    def run(batches):
+        held, was = None, None
+        for batch in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held is not None:
+                cols = [np.concatenate([a, b]) for a, b in zip(held, cols)]
+            key, row, at = cols
+            if len(key):
+                same = np.append(was is not None and key[0] == was, key[1:] == key[:-1])
+                keep = (at[:-1] & 2 > 0) | ((at[:-1] & 1 > 0) & (same[:-1] | same[1:]))
+                yield pa.RecordBatch.from_arrays([pa.array(row[:-1][keep]), pa.array(at[:-1][keep] >> 2)], ["row", "at"])
+                held, was = [c[-1:] for c in cols], key[-2] if len(key) > 1 else was
         if held is not None:
-            cols = [np.concatenate([a, b]) for a, b in zip(held, cols)]
-        key = cols[0]
-        same = np.append(len(key) > 0 and was is not None and key[0] == was, key[1:] == key[:-1])
-        yield [c[:-1] for c in cols], same[:-1], same[1:]
-        held, was = [c[-1:] for c in cols], key[-2] if len(key) > 1 else was
-    if held is not None:
-        yield held, np.array([was is not None and held[0][0] == was]), np.zeros(1, bool)
+            key, row, at = held
+            keep = (at & 2 > 0) | ((at & 1 > 0) & (was is not None and key[0] == was))
+            yield pa.RecordBatch.from_arrays([pa.array(row[keep]), pa.array(at[keep] >> 2)], ["row", "at"])
 
+    return suffixes.repartition("key").sortWithinPartitions("key").mapInArrow(run, "row long, at int")
 
-def _shared_suffixes(suffixes: DataFrame) -> DataFrame:
-    """(doc, at) of suffixes whose prefix occurs again."""
 
-    def run(batches):
-        for (_, doc, at), before, after in _sorted_groups(batches):
-            keep = (at & 2 > 0) | ((at & 1 > 0) & (before | after))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(at[keep] >> 2)], ["doc", "at"])
+def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Lengths of list values (null: 0), and all their elements."""
+    return np.array(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64), column.flatten()
 
-    return suffixes.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc long, at int")
 
+def _bytes(rows: np.ndarray) -> pa.Array:
+    """A binary value a row."""
+    data = np.ascontiguousarray(rows).view(np.uint8)
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * (data.shape[1] if len(rows) else 0)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(data)])
 
-def _settle(key: np.ndarray, doc: np.ndarray, at: np.ndarray, until: np.ndarray) -> pa.RecordBatch:
-    """Rows of one slice: those of a key's least document stay open, the others are lost already (at < 0) and need no company."""
-    order = np.lexsort((doc, key))
-    head = np.ones(len(order), bool)
-    head[1:] = key[order[1:]] != key[order[:-1]]
-    least = np.empty(len(order), np.int64)
-    if len(order):
-        least[order] = doc[order[head]][np.cumsum(head) - 1]
-    lost = doc != least
-    return pa.RecordBatch.from_arrays([pa.array(np.where(lost, _spread(doc, at), key.view(np.int64))), long(doc), pa.array(np.where(lost, -1 - at, at).astype(np.int32)), pa.array(until.astype(np.int32))], ["key", "doc", "at", "until"])
 
+def _grouped(values: np.ndarray, head: np.ndarray) -> pa.Array:
+    """Lists of values that begin at each true head."""
+    return pa.ListArray.from_arrays(pa.array(np.append(np.flatnonzero(head), len(values)).astype(np.int32)), pa.array(values.astype(np.int32)))
 
-def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Lengths of list values (null: 0), and all their elements."""
-    return np.array(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64), column.flatten()
+
+TREE_ROW = "key long, id long, row long, few int, many int, around binary, ats array<int>, lost int"
 
 
-def _spans(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """For each surviving suffix (column ``places``) the run of windows that chose it, under a fingerprint of all its words."""
+def _around(docs: DataFrame, window: int, prefix: int, depth: int) -> DataFrame:
+    """TREE_ROW of each surviving suffix (column ``places``), equal ones of one document together.
+
+    few and many: the least and the largest number of words by which its windows begin before it. around: fingerprints of the
+    window - prefix words before it and of the depth words from it on. lost: a bit for each such number, of suffixes whose slice
+    has a smaller document with the same words all around; others have null there and stay open.
+    """
+    left = window - prefix
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            ids, rows = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("id", "row"))
             for lo, hi, data, off in slices(batch.column("text")):
                 w = Words(data, off)
-                start, whole, place, _ = anchors(w, window, anchor)
+                start, place, key = anchors(w, window, prefix)
+                if not len(start):
+                    continue
                 mark = np.zeros(len(w.start) + 1, bool)
                 count, flat = _lists(batch.column("places").slice(lo, hi - lo))
-                mark[np.minimum(np.repeat(w.first[:-1], count) + flat.to_numpy(zero_copy_only=False), len(w.start))] = True
-                first = np.flatnonzero(np.append(len(place) > 0, place[1:] != place[:-1]))  # windows of one suffix follow each other
+                mark[np.repeat(w.first[:-1], count) + flat.to_numpy(zero_copy_only=False)] = True
+                first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))  # windows of one suffix follow each other
                 last = np.append(first[1:], len(place)) - 1
                 keep = mark[place[first]]
                 first, last = first[keep], last[keep]
-                # The first window and the last one hold every word of the run.
-                key = mix(whole[first] * U64(0x9E3779B97F4A7C15) + mix(whole[last] + (last - first).astype(U64) * U64(1 << 20) + (place[first] - start[first]).astype(U64)))
-                doc = ids[lo + w.doc[start[first]]] if len(first) else np.zeros(0, np.int64)
-                base = w.first[w.doc[start[first]]] if len(first) else first
-                yield _settle(key, doc, start[first] - base, start[last] + 1 - base)
+                p, doc = place[first], w.doc[place[first]]
+                few, many = p - start[last], p - start[first]
+                spot = p[:, None] + np.arange(-left, depth)
+                inside = (spot >= w.first[doc][:, None]) & (spot < w.first[doc + 1][:, None])
+                around = np.where(inside, w.hashes()[np.where(inside, spot, 0)], U64(0))
+                print_ = few.astype(U64) * U64(64) + many.astype(U64)
+                for c in range(around.shape[1]):
+                    print_ = print_ * _R + around[:, c]
+                print_ = mix(print_)
+                order = np.lexsort((p, doc, ids[lo + doc], print_))
+                print_, doc = print_[order], doc[order]
+                id_, row, at = ids[lo + doc], rows[lo + doc], p[order] - w.first[doc]
+                fresh = np.append(len(order) > 0, print_[1:] != print_[:-1])
+                head = fresh | np.append(False, row[1:] != row[:-1])
+                least = id_[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+                lost = (id_ > least)[head]
+                pick = order[head]
+                bits = (2 << many[pick]) - (1 << few[pick])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[first[pick]].view(np.int64), mask=lost), long(id_[head]), long(row[head]), pa.array(few[pick].astype(np.int32)), pa.array(many[pick].astype(np.int32)), _bytes(around[pick]), _grouped(at, head), pa.array(bits.astype(np.int32), mask=~lost)],
+                    ["key", "id", "row", "few", "many", "around", "ats", "lost"],
+                )
+
+    return docs.mapInArrow(run, TREE_ROW)
+
+
+class Subtree:
+    """The part of the suffix tree below some prefixes: suffixes in order, and how many words neighbours share."""
+
+    def __init__(self, key: np.ndarray, around: np.ndarray, left: int):
+        self.order = np.lexsort((*around[:, :left - 1:-1].T, key))
+        before, after, key = around[self.order, :left], around[self.order, left:], key[self.order]
+        same = after[1:] == after[:-1]
+        same[:, 0] &= key[1:] == key[:-1]
+        same &= after[1:] > 0  # beyond a text's end nothing is shared
+        self.shared = np.append(0, np.cumprod(same, 1).sum(1)) if len(key) else np.zeros(0, np.int64)
+        # Fingerprints of the 0, 1, .. words before each suffix.
+        self.before = [np.zeros(len(key), U64)]
+        for l in range(left):
+            self.before.append(mix(self.before[-1] * _R + before[:, left - 1 - l] + U64(1)))
+        self.begun = np.concatenate([np.zeros((len(key), 1), bool), before[:, ::-1] > 0], 1) if len(key) else np.zeros((0, left + 1), bool)
+
+    def nodes(self, depth: int) -> np.ndarray:
+        """The node of that depth (or leaf) that each suffix lies below, in order."""
+        return np.cumsum(self.shared < depth)
+
+    def lost(self, id_: np.ndarray, few: np.ndarray, many: np.ndarray, window: int) -> np.ndarray:
+        """For each suffix as given, a bit l for each window, l words before it, that a smaller document has."""
+        id_, few, many = id_[self.order], few[self.order], many[self.order]
+        out = np.zeros(len(id_), np.int64)
+        for l in range(len(self.before)):
+            node, at = self.nodes(window - l), np.flatnonzero((few <= l) & (l <= many))
+            at = at[np.bincount(node[at], minlength=len(node) + 1)[node[at]] > 1]
+            group, own = mix(node[at].astype(U64) * _Q + self.before[l][at]), id_[at]
+            order = np.lexsort((own, group))
+            fresh = np.append(len(order) > 0, group[order[1:]] != group[order[:-1]])[: len(order)]
+            least = own[order[fresh]][np.cumsum(fresh) - 1]
+            gone = at[order[own[order] > least]]
+            out[gone] |= 1 << l
+        back = np.empty_like(out)
+        back[self.order] = out
+        return back
+
+    def repeats(self, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(words, words before the suffix, rows of the node) of deep internal nodes, as long as their suffixes agree on both sides."""
+        depth = int(self.shared.max()) if len(self.shared) else 0
+        for d in range(1, depth + 1):
+            node = self.nodes(d)
+            edge = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+            size = np.diff(np.append(edge, len(node)))
+            # Internal at this very depth: several suffixes that part right below it.
+            least = np.minimum.reduceat(np.where(np.append(True, node[1:] != node[:-1]), depth + 1, self.shared), edge)
+            for a, n in zip(edge[(size > 1) & (least == d)].tolist(), size[(size > 1) & (least == d)].tolist()):
+                l = 0
+                while l + 1 < len(self.before) and self.begun[a : a + n, l + 1].all() and (self.before[l + 1][a : a + n] == self.before[l + 1][a]).all():
+                    l += 1
+                if d + l >= window:
+                    yield d + l, l, self.order[a : a + n]
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Sorted rows in tables of about ``rows`` rows (a group at least), cut between keys."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= rows:
+            all_ = pa.Table.from_batches(held)
+            key = all_.column("key").to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut:
+                yield all_.slice(0, cut)
+            held = all_.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _subtrees(batches, rows: int, left: int) -> Iterator[tuple[pa.Table, Subtree]]:
+    for group in _whole_groups(batches, rows):
+        group = group.combine_chunks()
+        raw = group.column("around").combine_chunks()
+        raw = raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw
+        n = len(group)
+        ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + n + 1]
+        around = np.frombuffer(raw.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(U64).reshape(n, -1) if n else np.zeros((0, left + 1), U64)
+        yield group, Subtree(group.column("key").to_numpy(), around, left)
+
+
+def _judged(rows: DataFrame, *keys: str) -> DataFrame:
+    """Adds ``gone``: does a smaller document have the same keys? Rows stream in order, none is held."""
+
+    def run(batches):
+        least, was = None, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            cols = np.stack([batch.column(k).to_numpy() for k in keys])
+            id_ = batch.column("id").to_numpy()
+            head = np.append(was is None or (cols[:, 0] != was).any(), (cols[:, 1:] != cols[:, :-1]).any(0))
+            first = id_[head] if head[0] else np.concatenate([np.array([least], np.int64), id_[head]])
+            first = first[np.cumsum(head) - bool(head[0])]
+            least, was = first[-1], cols[:, -1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(id_ > first)], [*batch.schema.names, "gone"])
 
-    return docs.mapInArrow(run, "key long, doc long, at int, until int")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", gone boolean")
 
 
-def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """Every window of the ranges in column ``open``, under its fingerprint."""
+def _by_windows(rows: DataFrame, window: int, prefix: int) -> DataFrame:
+    """(row, ats, lost) of suffixes below frequent prefixes: their windows one by one, by salt first."""
+    left = window - prefix
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            for lo, hi, data, off in slices(batch.column("text")):
-                w = Words(data, off)
-                start, whole = w.windows(w.hashes(), window)
-                inside = _ranges(w, batch.column("open").slice(lo, hi - lo), 0)[start]
-                start, whole = start[inside], whole[inside]
-                doc = ids[lo + w.doc[start]] if len(start) else np.zeros(0, np.int64)
-                at = start - w.first[w.doc[start]] if len(start) else start
-                yield _settle(whole, doc, at, at + 1)
+            around = np.frombuffer(b"".join(batch.column("around").to_pylist()), U64).reshape(len(batch), -1)
+            few, many = (batch.column(n).to_numpy() for n in ("few", "many"))
+            for l in range(left + 1):
+                at = np.flatnonzero((few <= l) & (l <= many))
+                key = np.zeros(len(at), U64)
+                for c in range(left - l, left - l + window):
+                    key = key * _R + around[at, c]
+                own = batch.select(["id", "row", "ats"]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(mix(key).view(np.int64)), *own.columns, pa.array(np.full(len(at), 1 << l, np.int32))], ["key", "id", "row", "ats", "lost"])
+
+    salts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    open_ = rows.select("id", "row", "few", "many", "around", "ats").mapInArrow(run, "key long, id long, row long, ats array<int>, lost int")
+    once = materialize(_judged(open_.withColumn("salt", F.pmod("row", F.lit(salts))), "key", "salt").drop("salt"), "salted")
+    twice = _judged(once.where("not gone").drop("gone"), "key")
+    return once.where("gone").unionByName(twice.where("gone")).select("row", "ats", "lost")
+
+
+def _rows(docs: DataFrame, window: int, prefix: int, depth: int) -> DataFrame:
+    """TREE_ROW of all suffixes whose prefix occurs again; docs: (id, row, text)."""
+    places = _shared(_suffixes(docs, window, prefix)).groupBy("row").agg(F.collect_set("at").alias("places"))
+    found = docs.join(places.withColumnRenamed("row", "of").hint("shuffle_hash"), F.col("row") == F.col("of"))
+    return materialize(_around(found.select("id", "row", "text", "places"), window, prefix, depth), "suffixes", "zstd")
+
+
+def _frequent(rows: DataFrame, group_rows: int) -> tuple[DataFrame, bool]:
+    """Keys of more than ``group_rows`` open rows, and whether there are any; broadcast only when they are few."""
+    keys = materialize(rows.where("key is not null").groupBy("key").count().where(F.col("count") > group_rows).select("key"), "frequent")
+    n = keys.limit(BROADCAST_ROWS + 1).count()
+    return (F.broadcast(keys) if n <= BROADCAST_ROWS else keys), n > 0
+
+
+def lost_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, depth: int = DEPTH, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """docs: (id, row, text), ids not null. (row, at, lost): bit l of lost says that the window l words before word ``at`` goes."""
+    left = window - prefix
+    depth = max(depth, window)
+    rows = _rows(docs, window, prefix, depth)
+    open_ = rows.where("lost is null")
+    frequent, any_ = _frequent(open_, group_rows)
 
-    return docs.mapInArrow(run, "key long, doc long, at int, until int")
+    def run(batches):
+        for group, tree in _subtrees(batches, group_rows, left):
+            lost = tree.lost(*(group.column(n).to_numpy() for n in ("id", "few", "many")), window)
+            own = group.select(["row", "ats"]).append_column("lost", pa.array(lost.astype(np.int32))).filter(pa.array(lost > 0))
+            yield from own.to_batches()
 
+    trees = open_.join(frequent, "key", "left_anti") if any_ else open_
+    trees = trees.select("key", "id", "row", "few", "many", "around", "ats").repartition("key").sortWithinPartitions("key").mapInArrow(run, "row long, ats array<int>, lost int")
+    out = rows.where("lost is not null").select("row", "ats", "lost").unionByName(trees)
+    if any_:
+        out = out.unionByName(_by_windows(open_.join(frequent, "key", "left_semi"), window, prefix))
+    return out.select("row", F.explode("ats").alias("at"), "lost")
 
-def _judged(rows: DataFrame) -> DataFrame:
-    """(doc, at, until, lost): a range is lost if its key occurs in a smaller document."""
 
-    def run(batches):
-        least = None
-        for (_, doc, at, until), before, _ in _sorted_groups(batches):
-            if not len(doc):
-                continue
-            head = doc[~before]
-            if before[0]:
-                head = np.append(least, head)
-            head = head[np.cumsum(~before) - (not before[0])]
-            least = head[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.where(at < 0, -1 - at, at).astype(np.int32)), pa.array(until), pa.array((at < 0) | (doc > head))], ["doc", "at", "until", "lost"])
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, depth: int = DEPTH, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Maximal repeats of at least ``window`` words, read from deep internal nodes: ``words``, ``suffixes`` below, and the least id with the word it starts at.
 
-    return rows.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(run, "doc long, at int, until int, lost boolean")
+    A node knows window - PREFIX words before its suffixes and ``depth`` from them on; a longer repeat shows as the nodes of its
+    several suffixes, which overlap. Prefixes of more than ``group_rows`` suffixes have no subtree and are left out here.
+    """
+    left = window - PREFIX
+    rows = _rows(_identified(docs, id_col, text_col).where("id is not null"), window, PREFIX, max(depth, window)).where("lost is null")
+    frequent, any_ = _frequent(rows, group_rows)
 
+    def run(batches):
+        for group, tree in _subtrees(batches, group_rows, left):
+            ids, ats = group.column("id").to_numpy(), group.column("ats").combine_chunks()
+            out = []
+            for n, l, at in tree.repeats(window):
+                k = at[np.argmin(ids[at])]
+                out.append((n, len(at), ids[k], ats[int(k)][0].as_py() - l))
+            cols = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["words", "suffixes", "id", "at"])
 
-def lost_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """docs: (id, text). Adds ``lost``, the ranges of first words (at, until) of the windows that go; null: none."""
-    rows, docs = docs.where("id is null"), docs.where("id is not null")
+    rows = rows.join(frequent, "key", "left_anti") if any_ else rows
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "words long, suffixes long, id long, at long")
 
-    def of(found: DataFrame, name: str) -> DataFrame:
-        return found.groupBy("doc").agg(F.collect_list(F.struct("at", "until")).alias(name)).hint("shuffle_hash")
 
-    places = _shared_suffixes(_suffixes(docs, window, anchor)).groupBy("doc").agg(F.collect_set("at").alias("places")).hint("shuffle_hash")
-    spans = materialize(_judged(_spans(docs.join(places, docs["id"] == places["doc"]).select("id", "text", "places"), window, anchor)), "spans")
-    unsettled = of(spans.where("not lost"), "open")
-    windows = _judged(_windows(docs.join(unsettled, docs["id"] == unsettled["doc"]).select("id", "text", "open"), window))
-    lost = of(spans.where("lost").unionByName(windows.where("lost")), "lost")
-    found = docs.join(lost, docs["id"] == lost["doc"], "left").select("id", "text", "lost")
-    return found.unionByName(rows.withColumn("lost", F.lit(None).cast(found.schema["lost"].dataType)))
+def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.select("id", F.xxhash64("id", "text").alias("row"), "text")
 
 
-def _ranges(w: Words, ranges: pa.Array, more: int) -> np.ndarray:
-    """Words in one of the ranges (at, until + more) of their document."""
-    count, flat = _lists(ranges)
+def _covered(w: Words, windows: pa.Array, window: int) -> np.ndarray:
+    """Words in one of the windows (at, lost) of their document."""
+    count, flat = _lists(windows)
     base = np.repeat(w.first[:-1], count)
     cover = np.zeros(len(w.start) + 1, np.int64)
     if len(flat):
-        at, until = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("at", "until"))
-        np.add.at(cover, np.minimum(base + at, len(w.start)), 1)
-        np.add.at(cover, np.minimum(base + until + more, len(w.start)), -1)
+        at, lost = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("at", "lost"))
+        for l in range(int(lost.max()).bit_length()):
+            start = (base + at - l)[lost >> l & 1 > 0]
+            np.add.at(cover, start, 1)
+            np.add.at(cover, start + window, -1)
     return np.cumsum(cover[:-1]) > 0
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, depth: int = DEPTH, group_rows: int = GROUP_ROWS) -> DataFrame:
     """One row per document: id, ``n_words``, ``n_removed`` and ``kept``, the kept words joined by one space."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = _identified(docs, id_col, text_col)
 
     def run(batches):
         for batch in batches:
             for lo, hi, data, off in slices(batch.column("text")):
                 w = Words(data, off)
-                gone = _ranges(w, batch.column("lost").slice(lo, hi - lo), window - 1)
+                gone = _covered(w, batch.column("windows").slice(lo, hi - lo), window)
                 removed = np.add.reduceat(np.append(gone, False), np.minimum(w.first[:-1], len(gone))) * (w.per_doc > 0)
                 keep = ~gone
                 size = (w.end - w.start + 1)[keep]  # with the space that follows
@@ -236,7 +396,11 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
                 texts = [out[a : max(a, b - 1)].tobytes() for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), long(w.per_doc), long(removed), pa.array(texts, pa.binary()).cast(pa.string())], [id_col, "n_words", "n_removed", "kept"])
 
-    return lost_ranges(rows, window).mapInArrow(run, f"`{id_col}` long, n_words long, n_removed long, kept string")
+    known = rows.where("id is not null")
+    lost = lost_windows(known, window, depth=depth, group_rows=group_rows).groupBy("row").agg(F.collect_set(F.struct("at", "lost")).alias("windows")).withColumnRenamed("row", "of").hint("shuffle_hash")
+    found = known.join(lost, F.col("row") == F.col("of"), "left").select("id", "text", "windows")
+    found = found.unionByName(rows.where("id is null").select("id", "text", F.lit(None).cast(found.schema["windows"].dataType).alias("windows")))
+    return found.mapInArrow(run, f"`{id_col}` long, n_words long, n_removed long, kept string")
 
 
 def _ramp(sizes: np.ndarray) -> np.ndarray:
@@ -249,4 +413,4 @@ def digest(kept: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return kept.select(id_col, "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-__all__ = ["anchors", "digest", "lost_ranges", "report"]
+__all__ = ["Subtree", "anchors", "digest", "lost_windows", "repeats", "report"]

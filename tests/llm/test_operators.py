@@ -81,6 +81,38 @@ def test_chain_learns_planted_lines():
     assert sum((quality_rules.decode(chain, f, np.array([0, len(f)])).mean() > 0.5) == bad for f, bad in zip(rows, y)) >= 198
 
 
+def test_chain_finds_blocks_within_documents():
+    """Good documents hold blocks of boilerplate and bad ones blocks of content; only documents are labelled."""
+    r = np.random.default_rng(6)
+    rows, lines, y = [], [], r.random(400) < 0.4
+    for bad in y:
+        n = int(r.integers(8, 30))
+        a = int(r.integers(0, n - 3))
+        label = np.full(n, bad)
+        label[a : a + 4] = not bad  # a block of the other kind
+        f = r.integers(0, 2, (n, len(quality_rules.BOUNDS))).astype(np.int8)
+        f[:, 0] = np.where(r.random(n) < 0.9, 4 * label, 4 * ~label)
+        rows.append(f)
+        lines.append(label)
+    chain = quality_rules.fit_chain(rows, y)
+    got = [quality_rules.decode(chain, f, np.array([0, len(f)])) for f in rows]
+    assert np.mean(np.concatenate(got) == np.concatenate(lines)) > 0.93
+    assert np.mean([0 < g.sum() < len(g) for g in got]) > 0.8  # labels vary within most documents
+
+
+def test_quality_rules_fit_long_documents_by_their_pieces(spark):
+    good, bad = "the river ran past old stones and the town slept .", "BUY $$$ NOW ### !!! FREE %%% 123 456"
+    text = lambda line, n: "\n".join(f"{line} {i}" for i in range(n))
+    rows = [(i, text(good if i % 2 else bad, 1000)) for i in range(8)] + [(8, text(bad, 400) + "\n" + text(good, 200))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)] + [(3, 1), (2, 1), (99, 1)], "doc_id long, quality int")
+    chain = quality_rules.train(docs, labels)
+    got = by_id(quality_rules.judge(docs, chain))
+    assert [got[i]["content_share"] for i in range(8)] == [i % 2 for i in range(8)] and 0.25 < got[8]["content_share"] < 0.5
+    small = quality_rules.train(docs, labels, sample_pieces=40)
+    assert small is not None and np.array_equal(small.emission, quality_rules.train(docs.repartition(5), labels.repartition(2), sample_pieces=40).emission)
+
+
 def test_quality_classifier(spark, no_docs):
     r = random.Random(2)
     good, bad = ["the", "of", "stone", "river", "and"], ["BUY!!", "win$$", "FREE!!", "the"]
@@ -99,18 +131,37 @@ def test_quality_classifier(spark, no_docs):
     assert by_id(quality_classifier.score(docs, quality_classifier.train(docs, labels.limit(0))))[5]["score"] == 0.5
 
 
+def topk_by_brute_force(rows, k=10):
+    """(query, rank, id, score) with Python's integers; shorter vectors are padded with zeros."""
+    fine = [(i, [math.floor(1024 * float(np.float32(v))) for v in x]) for i, x in rows if i is not None and x is not None and all(v is not None and math.isfinite(v) for v in x)]
+    out = []
+    for q, x in fine:
+        if q % 100 == 0:
+            found = sorted((-sum(a * b for a, b in zip(x, y)), j) for j, y in fine if j != q)[:k]
+            out += [(q, r + 1, j, -s) for r, (s, j) in enumerate(found)]
+    return sorted(out)
+
+
 def test_topk(spark):
     r = np.random.default_rng(0)
     rows = [(int(i), [float(v) for v in r.normal(size=8).round(1)]) for i in range(0, 640, 2)]
-    rows += [(2, rows[1][1]), (701, None), (703, [None] + [1.0] * 7), (705, [float("nan")] * 8), (707, [float("inf")] * 8)]
-    got = [tuple(x) for x in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), lambda i: i % 100 == 0, block=60, query_block=3).collect()]
-    use = [(i, np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if i < 700]
-    want = [(q, k + 1, j, -s) for q, x in use if q % 100 == 0 for k, (s, j) in enumerate(sorted((-int(x @ y), j) for j, y in use if j != q)[:10])]
-    assert sorted(got) == sorted(want)
+    rows += [(2, rows[1][1]), (701, None), (703, [None] + [1.0] * 7), (705, [float("nan")] * 8), (707, [float("inf")] * 8), (None, [1.0] * 8)]
+    rows += [(100, [9.0] * 8), (711, [3.0, 4.0]), (800, [2.0]), (713, [])]  # a repeated query id, and other lengths
+    got = [tuple(x) for x in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("x", F.lit(1)), lambda i: i % 100 == 0, block=60, query_block=3).collect()]
+    assert sorted(got) == topk_by_brute_force(rows)
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>")
     assert topk.search(few, lambda i: i % 100 == 0).count() == 2 and topk.search(few.limit(0), lambda i: i % 100 == 0).count() == 0
 
 
+def test_topk_of_large_numbers(spark):
+    r = np.random.default_rng(1)
+    rows = [(i, [float(np.float32(v)) for v in r.integers(-(1 << 18), 1 << 18, 4)]) for i in range(90)] + [(200 + i, [262143.0, 0.0, float(i), -0.25]) for i in range(9)]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), lambda i: i % 100 == 0, block=40)
+    assert sorted(map(tuple, got.collect())) == topk_by_brute_force(rows)  # sums above 2^53
+    with pytest.raises(ValueError, match="long integer"):
+        topk.search(spark.createDataFrame([(0, [1e20]), (1, [1e20])], "vec_id long, embedding array<float>"), lambda i: i % 100 == 0)
+
+
 def test_context_tree(spark, docs, texts, no_docs):
     train = lambda i: zlib.crc32(str(i).encode()) % 10 != 0
     column = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
@@ -360,18 +411,61 @@ def test_piece_lattice_unit_of_many_pieces(spark):
     assert ids == [2] + [0] * 70_000
 
 
-def test_substring_dedup(docs, texts, no_docs, spark):
-    got = by_id(substring_dedup.digest(substring_dedup.report(docs)))
+def dedup_by_brute_force(rows, window=13):
+    """(id, text) -> (words, removed, digest), rows of one id apart."""
     first = {}
-    for i, t in texts:
+    for i, t in rows:
         w = words(t)
-        for j in range(len(w) - 12):
-            first.setdefault(tuple(w[j : j + 13]), i)
-    for i, t in texts:
+        for j in range(len(w) - window + 1):
+            key = tuple(w[j : j + window])
+            first[key] = min(first.get(key, i), i)
+    out = []
+    for i, t in rows:
         w = words(t)
-        gone = {k for j in range(len(w) - 12) if first[tuple(w[j : j + 13])] < i for k in range(j, j + 13)}
-        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
-        assert tuple(got[i])[1:] == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()), i
-    assert substring_dedup.report(docs).count() == docs.count() and substring_dedup.report(no_docs).count() == 0
+        gone = {k for j in range(len(w) - window + 1) if first[tuple(w[j : j + window])] < i for k in range(j, j + window)}
+        out.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("group_rows", [1 << 15, 2])
+def test_substring_dedup(docs, texts, no_docs, spark, group_rows):
+    want = dedup_by_brute_force([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert sorted(map(tuple, substring_dedup.digest(substring_dedup.report(docs, group_rows=group_rows)).collect())) == want
+    assert sum(w[2] for w in want) and substring_dedup.report(no_docs, group_rows=group_rows).count() == 0
     odd = spark.createDataFrame([(None, " ".join(map(str, range(20)))), (1, " ".join(map(str, range(20))))], "doc_id long, text string")
-    assert [r["n_removed"] for r in substring_dedup.report(odd).collect()] == [0, 0]
+    assert [r["n_removed"] for r in substring_dedup.report(odd, group_rows=group_rows).collect()] == [0, 0]
+
+
+def test_substring_dedup_keeps_rows_of_one_id_apart(spark):
+    r = random.Random(8)
+    a, b, c = (" ".join(f"{x}{r.randrange(50)}" for _ in range(30)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (5, a + " " + b), (7, c + " " + a), (9, b), (-3, c), (1, a)]
+    got = substring_dedup.digest(substring_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sorted(map(tuple, got.collect())) == dedup_by_brute_force(rows)
+
+
+def test_substring_dedup_over_slices_and_hot_passages(spark, monkeypatch):
+    from marketlab.llm import _text
+
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(3000)}"
+    hot, warm = [" ".join(word() for _ in range(n)) for n in (60, 14)]
+    rows = []
+    for i in range(300):
+        own = [word() for _ in range(r.randint(5, 60))]
+        at = r.randrange(len(own))
+        rows.append((1000 - i, " ".join(own[:at] + [hot if i % 3 else warm] + own[at:]) + (" " + " ".join(hot.split()[20:45]) if i % 7 == 0 else "")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(_text.slices, "__defaults__", (4000,))
+    for group_rows in (1 << 15, 40, 3):
+        assert sorted(map(tuple, substring_dedup.digest(substring_dedup.report(docs, group_rows=group_rows)).collect())) == dedup_by_brute_force(rows)
+
+
+def test_maximal_repeats(spark):
+    r = random.Random(3)
+    word = lambda: f"w{r.randrange(10**6)}"
+    shared = [word() for _ in range(16)]
+    rows = [(i, " ".join([word() for _ in range(9 + i)] + shared[: 16 if i < 4 else 13] + [word() for _ in range(9)])) for i in range(2, 6)]
+    got = {(x["words"], x["suffixes"], x["id"], x["at"]) for x in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # A node whose suffix begins late in the passage sees fewer words before it.
+    assert {(16, 2, 2, 11), (13, 4, 2, 11)} <= got and all(11 <= at and at + n <= 27 and k == (2 if n > 13 else k) for n, k, _, at in got)
