@@ -7,17 +7,20 @@ similarity reaches ``percent``. Work goes in steps, none of which loses a link:
    parity bitmap of each, and counts shingles into a sketch of fixed size.
 2. Shingles are ordered rare first by the sketch. Any two similar sets share ``LEVEL`` shingles among
    the first n - ceil(t n) + LEVEL of each, so only those prefixes enter index lists.
-3. Index lists are sorted by set size. Short lists emit pairs, skipping by size and by position what can
-   no longer reach the overlap; a pair needs LEVEL common lists. Long lists are compared block by block
-   by bitmaps, whose distance bounds the overlap from above, and emit a spanning forest of what is left.
-4. Components of these candidates are groups. In a group sets are probed against an index of the
-   group's shingles. A set that a probe has already put among its highly similar neighbours inherits
-   their answer (its component) and is not probed at all; only sets outside the largest component are.
+3. Index lists are sorted by set size and position, and blocks of entries that share both are skipped or taken
+   as a whole: short lists emit the pairs of blocks whose sizes and positions can still reach the overlap; a pair needs
+   LEVEL common lists. Long lists are compared block by block by bitmaps, whose distance bounds the overlap from above,
+   and emit a spanning forest of what is left.
+4. Components of these candidates are groups. In a group a few sets are probed in full against an index of the
+   group's shingles, whose lists are skipped to the sizes that can link. The answer of a set that is highly similar to a
+   probed one (its overlaps with all sets) is derived from that answer: lists of the shingles that only one of both has are
+   subtracted and added. Sets of the largest component need no answer of their own, as any other link has an end outside it.
    Large groups are dealt out in pairs of blocks.
 5. Links that hold form the components; their names are least document ids.
 
 Defined cases: null or empty texts (no words) have empty sets that link with nothing; texts with fewer
-words than a shingle are one shingle; repeated rows share a class; all rows are returned once each.
+words than a shingle are one shingle; repeated rows share a class; all rows are returned once each; texts under one id are sets of
+their own; a null id counts after all others and names a class only where no other id does.
 Shingles and sets are identified by 64-bit fingerprints.
 """
 
@@ -39,7 +42,7 @@ from marketlab.llm._text import U64, Words, mix, slices
 
 SHINGLE, PERCENT, LEVEL = 5, 80, 3
 SKETCH_BITS, SKETCH_BLOCKS = 21, 32
-LONG_LIST, LIST_BLOCK, GROUP_BYTES, PROBE_ROWS = 32, 4096, 8 << 20, 4 << 20
+LONG_LIST, LIST_BLOCK, GROUP_BYTES, PROBE_ROWS, PIVOTS, BROADCAST_ROWS = 32, 4096, 8 << 20, 4 << 20, 16, 1 << 20
 _I64 = np.int64
 
 
@@ -89,7 +92,7 @@ def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def _summaries(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(id, key, n, bits) of every row, and the class of rarity of each sketch cell."""
+    """(id, tag, key, n, bits) of every row, and the class of rarity of each sketch cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << SKETCH_BITS, _I64)
@@ -99,28 +102,34 @@ def _summaries(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 cells += np.bincount((window >> U64(64 - SKETCH_BITS)).astype(_I64), minlength=len(cells))
                 bits = [bitmap(window[a:b]) if b > a else b"" for a, b in zip(edges[:-1], edges[1:])]
                 m = hi - lo
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, m), pa.array(set_keys(window, edges)), pa.array(np.diff(edges).astype(_I64)), pa.array(bits, pa.binary()), pa.nulls(m, pa.int32())], names)
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, m), batch.column("tag").slice(lo, m), pa.array(set_keys(window, edges)), pa.array(np.diff(edges).astype(_I64)), pa.array(bits, pa.binary()), pa.nulls(m, pa.int32())], names)
         if cells.any():
             m = SKETCH_BLOCKS
             parts = [p.tobytes() for p in cells.astype(np.uint32).reshape(m, -1)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(parts, pa.binary()), pa.array(np.arange(m, dtype=np.int32))], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(parts, pa.binary()), pa.array(np.arange(m, dtype=np.int32))], names)
 
     id_type = to_arrow_type(docs.schema["id"].dataType)
-    names = ["id", "key", "n", "bits", "block"]
-    schema = T.StructType([docs.schema["id"], T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("block", T.IntegerType())])
+    names = ["id", "tag", "key", "n", "bits", "block"]
+    schema = T.StructType([docs.schema["id"], T.StructField("tag", T.LongType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("block", T.IntegerType())])
     table = materialize(docs.mapInArrow(run, schema), "sets")
 
-    def add(key, frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(b, np.uint32).astype(_I64) for b in frame["bits"])
-        return pd.DataFrame({"block": [key[0]], "bits": [total.tobytes()]})
-
-    sketch = table.where("block is not null").select("block", "bits").groupBy("block").applyInPandas(add, "block int, bits binary")
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, bits in zip(batch.column("block").to_pylist(), batch.column("bits").to_pylist()):
+                x = np.frombuffer(bits, np.uint32).astype(_I64) if len(bits) * 8 == (1 << SKETCH_BITS) // SKETCH_BLOCKS * 32 else np.frombuffer(bits, _I64)
+                total[k] = total.get(k, 0) + x
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "bits"])
+
+    # Sums stream through two levels, by part of a block and by block; a task holds one array a block.
+    sketch = table.where("block is not null").select("block", "bits")
+    parts = sketch.repartition("block", F.pmod(F.xxhash64("bits"), F.lit(SKETCH_BLOCKS))).mapInArrow(add, "block int, bits binary")
     cells = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), _I64)
-    for r in sketch.collect():  # a fixed number of fixed-size blocks
+    for r in parts.repartition("block").mapInArrow(add, "block int, bits binary").collect():  # a fixed number of fixed-size blocks
         cells[r["block"]] = np.frombuffer(r["bits"], _I64)
     cells = cells.ravel()
     rarity = np.clip(np.floor(2 * np.log2(np.maximum(cells, 1) / (2.0 * max(1.0, cells.mean())))) + 1, 0, 15)
-    return table.where("block is null").select("id", "key", "n", "bits"), rarity.astype(np.uint8)
+    return table.where("block is null").select("id", "tag", "key", "n", "bits"), rarity.astype(np.uint8)
 
 
 def _postings(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
@@ -168,7 +177,7 @@ def _runs(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[list[n
 
 def _lists(postings: DataFrame) -> DataFrame:
     """From index lists: pairs (a, b, need) of short ones, and members (token, a) of long ones."""
-    placed = postings.repartition("token").sortWithinPartitions("token", "n", "key")
+    placed = postings.repartition("token").sortWithinPartitions("token", "n", "pos", "key")
 
     def run(batches):
         for token, key, n, pos in _runs(batches, "token"):
@@ -184,20 +193,28 @@ def _lists(postings: DataFrame) -> DataFrame:
             pick = fresh & ~long_run
             t, k, m, p = token[pick], key[pick], n[pick].astype(_I64), pos[pick].astype(_I64)
             a_out, b_out, need_out = [], [], []
-            for step in range(1, LONG_LIST):
-                if len(t) <= step:
+            # Blocks of entries of one list that share size and position: what rules out two of them rules out all their pairs.
+            head = np.flatnonzero(np.append(len(t) > 0, (t[1:] != t[:-1]) | (m[1:] != m[:-1]) | (p[1:] != p[:-1]))[: len(t)])
+            many = np.diff(np.append(head, len(t)))
+            for step in range(LONG_LIST):
+                x = np.arange(max(0, len(head) - step))
+                x = x[t[head[x]] == t[head[x + step]]]
+                if not len(x):
                     break
-                same = t[step:] == t[:-step]
-                if not same.any():
-                    break
-                i = np.flatnonzero(same)
-                j = i + step
-                need = least_overlap(m[i] + m[j])
-                fit = (100 * m[i] >= PERCENT * m[j]) & (1 + np.minimum(m[i] - p[i], m[j] - p[j]) - 1 >= need - np.minimum(p[i], p[j]))
-                i, j, need = i[fit], j[fit], need[fit]
+                y = x + step
+                (mx, px), (my, py) = ((m[head[z]], p[head[z]]) for z in (x, y))
+                need = least_overlap(mx + my)
+                fit = (100 * mx >= PERCENT * my) & (np.minimum(mx - px, my - py) >= need - np.minimum(px, py)) & ((step > 0) | (many[x] > 1))
+                x, y, need = x[fit], y[fit], np.minimum(need[fit], LEVEL)
+                pairs = many[x] * many[y]
+                of = np.repeat(np.arange(len(x)), pairs)
+                nth = np.arange(len(of)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+                i, j = head[x[of]] + nth // many[y[of]], head[y[of]] + nth % many[y[of]]
+                if step == 0:
+                    i, j, of = i[i < j], j[i < j], of[i < j]
                 a_out.append(np.minimum(k[i], k[j]))
                 b_out.append(np.maximum(k[i], k[j]))
-                need_out.append(np.minimum(need, LEVEL))
+                need_out.append(need[of])
             if a_out:
                 a, b, need = np.concatenate(a_out), np.concatenate(b_out), np.concatenate(need_out)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()), pa.array(need.astype(np.int32))], names)
@@ -253,7 +270,9 @@ def _forest(left: pd.DataFrame, right: pd.DataFrame | None) -> list[tuple[int, i
 def _dealt(rows: DataFrame, group: str, weight, limit: int) -> DataFrame:
     """Columns to group by: small groups share buckets of about ``limit``; a large one is dealt into pairs of blocks."""
     total = rows.agg(F.sum(weight)).first()[0] or 0
-    sizes = rows.groupBy(group).agg(F.ceil(F.sum(weight) / limit).cast("int").alias("blocks")).where("blocks > 1")
+    sizes = materialize(rows.groupBy(group).agg(F.ceil(F.sum(weight) / limit).cast("int").alias("blocks")).where("blocks > 1"), "sizes")
+    if sizes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # so that a large group's rows need not meet in one task
+        sizes = F.broadcast(sizes)
     dealt = rows.join(sizes, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(9), "key"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")))
@@ -286,23 +305,46 @@ def _candidates(postings: DataFrame, sets: DataFrame) -> DataFrame:
 def _true_links(keys: np.ndarray, tokens: list[np.ndarray], block: np.ndarray, x: int, y: int) -> list[tuple[int, int]]:
     """Spanning forest of the links of one group (or between two of its blocks)."""
     n = np.array([len(t) for t in tokens])
-    doc = np.repeat(np.arange(len(keys)), n)
+    order = np.argsort(n, kind="stable")
+    keys, tokens, block, n, many = keys[order], [tokens[i] for i in order], block[order], n[order], len(n)
+    doc = np.repeat(np.arange(many), n)
     flat, inverse = np.unique(np.concatenate(tokens), return_inverse=True)
-    order = np.argsort(inverse, kind="stable")
-    listed, edge = doc[order], np.searchsorted(inverse[order], np.arange(len(flat) + 1))
     at = np.concatenate([[0], np.cumsum(n)])
-    popular = np.add.reduceat(np.diff(edge)[inverse], at[:-1]) / n
-    label = np.arange(len(keys))
-    edges = []
-
-    def probe(i: int) -> None:
-        own, overlap = inverse[at[i] : at[i + 1]], np.zeros(len(keys), np.int64)
-        lengths = edge[own + 1] - edge[own]
+    # All lists one after the other, each by rising size.
+    entry = np.sort(inverse * many + doc)
+    listed, length = entry % many, np.bincount(inverse)
+    popular = np.add.reduceat(length[inverse], at[:-1]) / n
+    label = np.arange(many)
+    edges: list[tuple[int, int]] = []
+    answers: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def overlaps(own: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """How many of own each set has, read from the part of every list that holds sets lo to hi."""
+        out = np.zeros(many, np.int64)
+        begin = np.searchsorted(entry, own * many + lo)
+        lengths = np.searchsorted(entry, own * many + hi) - begin
         for part in np.split(np.arange(len(own)), np.flatnonzero(np.diff(np.cumsum(lengths) // PROBE_ROWS)) + 1):
             size = lengths[part]
-            places = np.repeat(edge[own[part]] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-            overlap += np.bincount(listed[places], minlength=len(keys))
+            places = np.repeat(begin[part] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            out += np.bincount(listed[places], minlength=many)
+        return out
+
+    def probe(i: int, pivot: bool) -> None:
+        own = inverse[at[i] : at[i + 1]]
+        lo, hi = int(np.searchsorted(n, -(-PERCENT * n[i] // 100))), int(np.searchsorted(n, 100 * n[i] // PERCENT, "right"))
+        if pivot:
+            overlap = overlaps(own, 0, many)
+            if len(answers) < PIVOTS:
+                answers.append((own, overlap))
+        else:
+            near, answer = max(answers, key=lambda a: a[1][i])
+            gone, new = np.setdiff1d(near, own, assume_unique=True), np.setdiff1d(own, near, assume_unique=True)
+            if len(gone) + len(new) < len(own):
+                overlap = answer - overlaps(gone, lo, hi) + overlaps(new, lo, hi)
+            else:
+                overlap = overlaps(own, lo, hi)
         link = (100 * overlap >= PERCENT * (n + n[i] - overlap)) & ((block != block[i]) | (x == y)) & (label != label[i])
+        link[:lo] = link[hi:] = False
         for j in np.flatnonzero(link).tolist():
             if label[j] != label[i]:
                 label[label == label[j]] = label[i]
@@ -311,12 +353,12 @@ def _true_links(keys: np.ndarray, tokens: list[np.ndarray], block: np.ndarray, x
     todo = np.argsort(-popular, kind="stable")
     pivots = todo[: max(1, len(todo) // 64)]
     for i in pivots.tolist():
-        probe(i)
+        probe(i, True)
     # Sets of the largest component inherit its answers: any other link has an end outside it, and that end is probed.
     outside = label != np.bincount(label).argmax()
     outside[pivots] = False
     for i in todo[outside[todo]].tolist():
-        probe(i)
+        probe(i, False)
     return edges
 
 
@@ -348,9 +390,9 @@ def _links(docs: DataFrame, members: DataFrame) -> DataFrame:
     return dealt.groupBy(*BUCKET).applyInPandas(check, "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, ``n_shingles`` and ``component_id``, the least id that its links reach."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, tag (a hash of the text), n and component_id of every row."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
     sets, rarity = _summaries(rows)
     distinct = materialize(sets.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
     edges = _candidates(_postings(rows, rarity), distinct.select("key", "n", "bits"))
@@ -362,11 +404,25 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     answer = named.select("key", "component").join(least, "component").select("key", "component_id")
     answer = materialize(answer, "answer")
     out = sets.join(answer, sets["key"] == answer["key"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return out.select("id", "tag", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: id, ``n_shingles`` and ``component_id``, the least id that its links reach."""
+    return _classes(docs, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _unused(name: str, columns: list[str]) -> str:
+    while name in columns:
+        name = f"_{name}"
+    return name
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component (the one whose id names it), and all without words, columns as they were."""
-    lead = classes(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_lead")).distinct()
-    kept = docs.join(lead, F.col(id_col).eqNullSafe(F.col("_lead")), "left_semi")
-    return kept.withColumn("_text_key", F.xxhash64(text_col)).dropDuplicates([id_col, "_text_key"]).drop("_text_key")  # repeated rows
+    """One document of each component (a row of the id that names it), and all without words, columns as they were; rows that repeat id and text go."""
+    lead, tag, own = (_unused(c, docs.columns) for c in ("_lead", "_tag", "_own_tag"))
+    named = _classes(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component_id")))
+    leads = named.groupBy("id", "component_id", "n").agg(F.min("tag").alias("tag")).where("n > 0").unionByName(named.where("n = 0").select("id", "component_id", "n", "tag")).select(F.col("id").alias(lead), F.col("tag").alias(tag)).distinct()
+    tagged = docs.withColumn(own, F.xxhash64(F.col(text_col).cast("string")))
+    kept = tagged.join(leads, F.col(id_col).eqNullSafe(F.col(lead)) & (F.col(own) == F.col(tag)), "left_semi")
+    return kept.dropDuplicates([id_col, own]).drop(own)

@@ -2,10 +2,11 @@
 
 Every line with a word gets bucketed features (symbols, case, digits, length, repetition, ending).
 A two-state chain (content, boilerplate) is fitted to a bounded sample of labelled documents. Their lines' labels are hidden:
-a document's label is a noisy witness of each of its lines, which agrees with the line's state with probability AGREE. The fit
-maximises the likelihood of what is witnessed, by two forward-backward passes a step (with and without the witness), so lines that
-look like the other kind's turn over within a document and the chain sees changes of state. Viterbi decoding then marks the
-lines of every document, and the share of words on content lines decides retention.
+a document's label is a noisy witness of each of its lines, which agrees with the line's state with probability AGREE. First
+the lines' scores are fitted by the likelihood of what is witnessed, line by line, so that lines of the other kind's look turn over
+within a document; then the moves between states, and the first states, by expectation maximisation with forward-backward passes over
+those scores, without the witness. (Fitted together, the chain would explain a document's constant witness by never changing state.)
+Viterbi decoding then marks the lines of every document, and the share of words on content lines decides retention.
 
 The sample is bounded by two parameters: ``sample_docs`` labelled documents in hash order, and of their lines, cut into pieces of
 PIECE_LINES, ``sample_pieces`` pieces in hash order. Long documents are in it by their pieces like all others.
@@ -43,7 +44,7 @@ BOUNDS = (
     (0.01, 0.2, 0.5, 0.9, 1.5),  # exclamation marks a word
 )
 BUCKETS = 6
-SAMPLE_DOCS, SAMPLE_PIECES, PIECE_LINES, AGREE = 2000, 4000, 64, 0.9
+SAMPLE_DOCS, SAMPLE_PIECES, PIECE_LINES, AGREE = 2000, 4000, 64, 0.8
 _SET = {name: np.isin(np.arange(256), list(chars)) for name, chars in (("symbol", SYMBOLS), ("upper", range(65, 91)), ("lower", range(97, 123)), ("digit", range(48, 58)), ("bang", b"!"), ("stop", b".!?:"))}
 
 
@@ -149,12 +150,12 @@ def decode(chain: Chain, features: np.ndarray, lines_of: np.ndarray) -> np.ndarr
     return label
 
 
-def _posteriors(psi: np.ndarray, theta: np.ndarray, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _posteriors(psi: np.ndarray, moves: np.ndarray, starts: np.ndarray, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward: P(boilerplate) of every line, expected moves between states, and expected first states.
 
     psi: boilerplate scores of all lines; steps: the lines that are t-th in their piece, for each t, longest pieces first.
     """
-    move, start = np.exp(theta[-6:-2].reshape(2, 2)), np.exp(theta[-2:])
+    move, start = np.exp(moves), np.exp(starts)
     local = np.stack([np.exp(-np.maximum(psi, 0)), np.exp(np.minimum(psi, 0))], 1)
     alpha, beta, norm = np.empty_like(local), np.ones_like(local), np.empty(len(psi))
     for t, at in enumerate(steps):
@@ -170,27 +171,33 @@ def _posteriors(psi: np.ndarray, theta: np.ndarray, steps: list[np.ndarray]) ->
     return both[:, 1], move * (alpha[later - 1].T @ (ahead[later] * beta[later])), both[steps[0]].sum(0)
 
 
-def fit_chain(features: list[np.ndarray], labels: np.ndarray, steps: int = 80, rate: float = 0.15, ridge: float = 0.5, agree: float = AGREE) -> Chain | None:
-    """Most likely chain for pieces of lines (one column a feature) whose labels (1: boilerplate) witness each line with probability ``agree``."""
+def fit_chain(features: list[np.ndarray], labels: np.ndarray, steps: int = 120, rounds: int = 8, rate: float = 0.1, ridge: float = 0.5, agree: float = AGREE) -> Chain | None:
+    """Chain for pieces of lines (one column a feature) whose labels (1: boilerplate) witness each line with probability ``agree``."""
     if not features or len(set(labels.tolist())) < 2:
         return None
     order = np.argsort([-len(f) for f in features], kind="stable")
     size = np.array([len(features[i]) for i in order])
     x = np.concatenate([features[i] for i in order]) + (BUCKETS * np.arange(len(BOUNDS))).astype(np.int16)
-    first = np.cumsum(size) - size
-    by_place = [first[: int(np.searchsorted(-size, -t, "left"))] + t for t in range(int(size[0]))]
     witness = np.repeat(np.where(labels[order], 1.0, -1.0) * np.log(agree / (1 - agree)), size)
     flat, width = x.T.ravel(), len(BOUNDS) * BUCKETS
-    theta = np.zeros(width + 6)
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    emission, m, v = np.zeros(width), np.zeros(width), np.zeros(width)
+    chance = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, steps + 1):
-        psi = theta[x].sum(1)
-        free, seen = _posteriors(psi, theta, by_place), _posteriors(psi + witness, theta, by_place)
-        grad = np.concatenate([np.bincount(flat, np.tile(seen[0] - free[0], x.shape[1]), width), (seen[1] - free[1]).ravel(), seen[2] - free[2]])
-        grad = (grad - ridge * theta) / len(features)
+        psi = emission[x].sum(1)
+        grad = (np.bincount(flat, np.tile(chance(psi + witness) - chance(psi), x.shape[1]), width) - ridge * emission) / len(features)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Chain(theta[:-6], theta[-6:-2].reshape(2, 2), theta[-2:])
+        emission = emission + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+
+    first = np.cumsum(size) - size
+    by_place = [first[: int(np.searchsorted(-size, -t, "left"))] + t for t in range(int(size[0]))]
+    psi, move, start = emission[x].sum(1), np.zeros((2, 2)), np.zeros(2)
+    for _ in range(rounds):
+        line, pairs, begin = _posteriors(psi, move, start, by_place)
+        # The lines' scores hold how common a state is: moves and first states are ratios to that.
+        share = np.array([1 - line.mean(), line.mean()]) + 1e-6
+        move = np.log((pairs + 0.5) / (pairs + 0.5).sum(1, keepdims=True) / share)
+        start = np.log((begin + 0.5) / (begin + 0.5).sum() / share)
+    return Chain(emission, move, start)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", sample_docs: int = SAMPLE_DOCS, sample_pieces: int = SAMPLE_PIECES) -> Chain | None:

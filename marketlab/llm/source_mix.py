@@ -28,8 +28,11 @@ from marketlab.llm._store import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, MAX_REPEATS, BUCKETS, SEED = (5, 2, 1), 3, 16384, 17
-#: Costs of the first, second and third taking of a word.
-REPEAT_COSTS = (0, 1, 3)
+
+
+def repeat_costs(times: int) -> tuple[int, ...]:
+    """Convex costs of the first, second, .. taking of a word: 0, 1, 3, 6, .."""
+    return tuple(k * (k + 1) // 2 for k in range(times))
 
 
 def targets(sizes: dict, weights: dict, total: int | None = None, cap: float = MAX_REPEATS) -> dict:
@@ -49,7 +52,7 @@ def targets(sizes: dict, weights: dict, total: int | None = None, cap: float = M
     return out
 
 
-def min_cost_flow(capacity: dict, quotas: dict, costs: tuple[int, ...] = REPEAT_COSTS) -> dict:
+def min_cost_flow(capacity: dict, quotas: dict, costs: tuple[int, ...] = repeat_costs(MAX_REPEATS)) -> dict:
     """Words (pattern, source) -> flow. Successive shortest paths over pattern -> source -> sink; patterns are tuples of sources.
 
     A pattern offers its capacity once for each entry of ``costs``, at that entry's cost a word.
@@ -123,7 +126,7 @@ def plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int
     weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
     size = {s: sum(n for p, n in totals.items() if s in p) for s in names}
     goal = targets(size, weight, sum(totals.values()) if total is None else total, max_repeats)
-    flow = min_cost_flow(totals, goal, REPEAT_COSTS[:max_repeats])
+    flow = min_cost_flow(totals, goal, repeat_costs(max_repeats))
     return [(p, s, f) for (p, s), f in flow.items()], goal, size
 
 
