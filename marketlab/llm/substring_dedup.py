@@ -6,16 +6,18 @@ in parts, sparse in its suffixes and partitioned by prefixes of variable length:
 1. Sparse suffixes. Of the PREFIX-word prefixes inside every window the one of least fingerprint is
    chosen, so equal windows choose the same one at the same place. A prefix that occurs once has no
    internal node below it: its suffix goes, after one narrow shuffle.
-2. Each suffix left carries its first DEPTH words and the words before it that its windows need. Suffixes
+2. Leaves that are equal. Suffixes whose windows are all the same word for word (copies, whole passages) are settled by one
+   fingerprint: the least document's stay, the others' windows go. So is a prefix below which nothing else is left.
+3. Each suffix left carries its first DEPTH words and the words before it that its windows need. Suffixes
    are grouped by their prefix. A prefix with more than GROUP_ROWS suffixes is extended, on both sides, to the whole
    windows of its suffixes, which are settled in a stream of sorted rows and need no tree.
-3. Every other group fits memory: its suffixes are sorted, common-prefix lengths of neighbours give the
+4. Every other group fits memory: its suffixes are sorted, common-prefix lengths of neighbours give the
    subtree's internal nodes at every depth, and a window (l words before the suffix, the rest after it) is
    repeated if a node of the rest's depth holds several suffixes with equal l words before them. The least
    document of such a node keeps the window. repeats() reads maximal repeats from the same nodes.
 
-Before the shuffle of suffixes a slice settles what it can by itself: of suffixes with equal words all around only
-the least document's stay open, so one very common passage costs rows in proportion to the slices. Whole windows are
+Before a shuffle a slice settles what it can by itself: of a frequent prefix it sends one row, and of equal suffixes
+only the least document's, so one very common passage costs rows in proportion to the slices. Whole windows are
 settled by (window, salt) first and then, for the few left, by window, so a hot one is not one task's.
 
 Defined cases: null texts have no words; texts shorter than a window lose nothing; windows repeated only
@@ -35,16 +37,16 @@ from pyspark.sql import functions as F
 from marketlab.llm._store import materialize
 from marketlab.llm._text import U64, Words, long, mix, slices
 
-WINDOW, PREFIX, DEPTH, GROUP_ROWS, BROADCAST_ROWS = 13, 5, 16, 1 << 15, 1 << 20
+WINDOW, PREFIX, DEPTH, GROUP_ROWS = 13, 5, 16, 1 << 15
 _Q, _R = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 
 
-def anchors(w: Words, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word of each window, first word of the prefix it chooses, that prefix's fingerprint)."""
+def anchors(w: Words, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word of each window, its fingerprint, first word of the prefix it chooses, that prefix's fingerprint)."""
     h = w.hashes()
-    start, _ = w.windows(h, window)
+    start, whole = w.windows(h, window)
     if not len(start):
-        return start, start, h[:0]
+        return start, whole, start, whole
     short = np.full(len(h), np.iinfo(np.uint64).max, U64)
     at, v = w.windows(h, prefix)
     short[at] = v
@@ -53,7 +55,7 @@ def anchors(w: Words, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray,
         other = short[start + j]
         less = other < best  # the leftmost of equal ones stays
         best[less], place[less] = other[less], start[less] + j
-    return start, place, best
+    return start, whole, place, best
 
 
 def _suffixes(docs: DataFrame, window: int, prefix: int) -> DataFrame:
@@ -64,7 +66,7 @@ def _suffixes(docs: DataFrame, window: int, prefix: int) -> DataFrame:
             rows = batch.column("row").to_numpy()
             for lo, _, data, off in slices(batch.column("text")):
                 w = Words(data, off)
-                _, place, key = anchors(w, window, prefix)
+                _, _, place, key = anchors(w, window, prefix)
                 place, first = np.unique(place, return_index=True)
                 key = key[first]
                 row = rows[lo + w.doc[place]] if len(place) else np.zeros(0, np.int64)
@@ -116,60 +118,63 @@ def _bytes(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(data)])
 
 
-def _grouped(values: np.ndarray, head: np.ndarray) -> pa.Array:
-    """Lists of values that begin at each true head."""
-    return pa.ListArray.from_arrays(pa.array(np.append(np.flatnonzero(head), len(values)).astype(np.int32)), pa.array(values.astype(np.int32)))
+def _marked(w: Words, window: int, prefix: int, places: pa.Array) -> tuple[np.ndarray, ...]:
+    """Of the suffixes at the given words of each document: their first words, documents, prefixes, and first and last windows with fingerprints."""
+    start, whole, place, key = anchors(w, window, prefix)
+    mark = np.zeros(len(w.start) + 1, bool)
+    count, flat = _lists(places)
+    mark[np.repeat(w.first[:-1], count) + flat.to_numpy(zero_copy_only=False)] = True
+    first = np.flatnonzero(np.append(len(place) > 0, place[1:] != place[:-1])[: len(place)])  # windows of one suffix follow each other
+    last = np.append(first[1:], len(place))[: len(first)] - 1
+    keep = mark[place[first]]
+    first, last = first[keep], last[keep]
+    return place[first], w.doc[place[first]] if len(first) else first, key[first], start[first], start[last], whole[first], whole[last]
 
 
-TREE_ROW = "key long, id long, row long, few int, many int, around binary, ats array<int>, lost int"
+def _leaves(docs: DataFrame, window: int, prefix: int) -> DataFrame:
+    """One row for each suffix in column ``places``: print (a fingerprint of all words of its windows), key, id, row, at, span, settled.
 
+    span: 64 times the least, plus the largest, number of words by which its windows begin before it. settled: its slice has the
+    same words in a smaller document.
+    """
 
-def _around(docs: DataFrame, window: int, prefix: int, depth: int) -> DataFrame:
-    """TREE_ROW of each surviving suffix (column ``places``), equal ones of one document together.
+    def run(batches):
+        for batch in batches:
+            ids, rows = (batch.column(n).to_numpy() for n in ("id", "row"))
+            for lo, hi, data, off in slices(batch.column("text")):
+                w = Words(data, off)
+                p, doc, key, begin, end, head, tail = _marked(w, window, prefix, batch.column("places").slice(lo, hi - lo))
+                span = 64 * (p - end) + p - begin
+                print_ = mix(head * _Q + mix(tail + span.astype(U64)))
+                id_ = ids[lo + doc]
+                order = np.lexsort((id_, print_))
+                fresh = np.append(len(order) > 0, print_[order[1:]] != print_[order[:-1]])[: len(order)]
+                settled = np.zeros(len(p), bool)
+                settled[order] = id_[order] > id_[order[fresh]][np.cumsum(fresh) - 1]
+                # Settled rows need no company: they are spread by themselves.
+                print_ = np.where(settled, mix(rows[lo + doc].view(U64) + p.astype(U64) * _Q), print_)
+                yield pa.RecordBatch.from_arrays([pa.array(print_.view(np.int64)), pa.array(key.view(np.int64)), pa.array(id_), pa.array(rows[lo + doc]), pa.array((p - w.first[doc]).astype(np.int32)), pa.array(span.astype(np.int32)), pa.array(settled)], ["print", "key", "id", "row", "at", "span", "settled"])
 
-    few and many: the least and the largest number of words by which its windows begin before it. around: fingerprints of the
-    window - prefix words before it and of the depth words from it on. lost: a bit for each such number, of suffixes whose slice
-    has a smaller document with the same words all around; others have null there and stay open.
-    """
+    return docs.mapInArrow(run, "print long, key long, id long, row long, at int, span int, settled boolean")
+
+
+TREE_ROW = "key long, id long, row long, at int, span int, around binary"
+
+
+def _around(docs: DataFrame, window: int, prefix: int, depth: int) -> DataFrame:
+    """TREE_ROW of each suffix in column ``places``; around: fingerprints of the window - prefix words before it and of the depth words from it on."""
     left = window - prefix
 
     def run(batches):
         for batch in batches:
-            ids, rows = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("id", "row"))
+            ids, rows = (batch.column(n).to_numpy() for n in ("id", "row"))
             for lo, hi, data, off in slices(batch.column("text")):
                 w = Words(data, off)
-                start, place, key = anchors(w, window, prefix)
-                if not len(start):
-                    continue
-                mark = np.zeros(len(w.start) + 1, bool)
-                count, flat = _lists(batch.column("places").slice(lo, hi - lo))
-                mark[np.repeat(w.first[:-1], count) + flat.to_numpy(zero_copy_only=False)] = True
-                first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))  # windows of one suffix follow each other
-                last = np.append(first[1:], len(place)) - 1
-                keep = mark[place[first]]
-                first, last = first[keep], last[keep]
-                p, doc = place[first], w.doc[place[first]]
-                few, many = p - start[last], p - start[first]
+                p, doc, key, begin, end, _, _ = _marked(w, window, prefix, batch.column("places").slice(lo, hi - lo))
                 spot = p[:, None] + np.arange(-left, depth)
                 inside = (spot >= w.first[doc][:, None]) & (spot < w.first[doc + 1][:, None])
-                around = np.where(inside, w.hashes()[np.where(inside, spot, 0)], U64(0))
-                print_ = few.astype(U64) * U64(64) + many.astype(U64)
-                for c in range(around.shape[1]):
-                    print_ = print_ * _R + around[:, c]
-                print_ = mix(print_)
-                order = np.lexsort((p, doc, ids[lo + doc], print_))
-                print_, doc = print_[order], doc[order]
-                id_, row, at = ids[lo + doc], rows[lo + doc], p[order] - w.first[doc]
-                fresh = np.append(len(order) > 0, print_[1:] != print_[:-1])
-                head = fresh | np.append(False, row[1:] != row[:-1])
-                least = id_[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-                lost = (id_ > least)[head]
-                pick = order[head]
-                bits = (2 << many[pick]) - (1 << few[pick])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[first[pick]].view(np.int64), mask=lost), long(id_[head]), long(row[head]), pa.array(few[pick].astype(np.int32)), pa.array(many[pick].astype(np.int32)), _bytes(around[pick]), _grouped(at, head), pa.array(bits.astype(np.int32), mask=~lost)],
-                    ["key", "id", "row", "few", "many", "around", "ats", "lost"],
-                )
+                around = np.where(inside, np.append(w.hashes(), U64(0))[np.where(inside, spot, 0)], U64(0))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[lo + doc]), pa.array(rows[lo + doc]), pa.array((p - w.first[doc]).astype(np.int32)), pa.array((64 * (p - end) + p - begin).astype(np.int32)), _bytes(around)], ["key", "id", "row", "at", "span", "around"])
 
     return docs.mapInArrow(run, TREE_ROW)
 
@@ -194,9 +199,9 @@ class Subtree:
         """The node of that depth (or leaf) that each suffix lies below, in order."""
         return np.cumsum(self.shared < depth)
 
-    def lost(self, id_: np.ndarray, few: np.ndarray, many: np.ndarray, window: int) -> np.ndarray:
+    def lost(self, id_: np.ndarray, span: np.ndarray, window: int) -> np.ndarray:
         """For each suffix as given, a bit l for each window, l words before it, that a smaller document has."""
-        id_, few, many = id_[self.order], few[self.order], many[self.order]
+        id_, few, many = id_[self.order], span[self.order] // 64, span[self.order] % 64
         out = np.zeros(len(id_), np.int64)
         for l in range(len(self.before)):
             node, at = self.nodes(window - l), np.flatnonzero((few <= l) & (l <= many))
@@ -275,62 +280,59 @@ def _judged(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def _by_windows(rows: DataFrame, window: int, prefix: int) -> DataFrame:
-    """(row, ats, lost) of suffixes below frequent prefixes: their windows one by one, by salt first."""
+    """(row, at, lost) of suffixes below frequent prefixes: their windows one by one, by salt first."""
     left = window - prefix
 
     def run(batches):
         for batch in batches:
             around = np.frombuffer(b"".join(batch.column("around").to_pylist()), U64).reshape(len(batch), -1)
-            few, many = (batch.column(n).to_numpy() for n in ("few", "many"))
+            few, many = np.divmod(batch.column("span").to_numpy(), 64)
             for l in range(left + 1):
                 at = np.flatnonzero((few <= l) & (l <= many))
                 key = np.zeros(len(at), U64)
                 for c in range(left - l, left - l + window):
                     key = key * _R + around[at, c]
-                own = batch.select(["id", "row", "ats"]).take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(mix(key).view(np.int64)), *own.columns, pa.array(np.full(len(at), 1 << l, np.int32))], ["key", "id", "row", "ats", "lost"])
+                own = batch.select(["id", "row", "at"]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(mix(key).view(np.int64)), *own.columns, pa.array(np.full(len(at), 1 << l, np.int32))], ["key", "id", "row", "at", "lost"])
 
     salts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    open_ = rows.select("id", "row", "few", "many", "around", "ats").mapInArrow(run, "key long, id long, row long, ats array<int>, lost int")
+    open_ = rows.select("id", "row", "at", "span", "around").mapInArrow(run, "key long, id long, row long, at int, lost int")
     once = materialize(_judged(open_.withColumn("salt", F.pmod("row", F.lit(salts))), "key", "salt").drop("salt"), "salted")
     twice = _judged(once.where("not gone").drop("gone"), "key")
-    return once.where("gone").unionByName(twice.where("gone")).select("row", "ats", "lost")
+    return once.where("gone").unionByName(twice.where("gone")).select("row", "at", "lost")
 
 
-def _rows(docs: DataFrame, window: int, prefix: int, depth: int) -> DataFrame:
-    """TREE_ROW of all suffixes whose prefix occurs again; docs: (id, row, text)."""
-    places = _shared(_suffixes(docs, window, prefix)).groupBy("row").agg(F.collect_set("at").alias("places"))
-    found = docs.join(places.withColumnRenamed("row", "of").hint("shuffle_hash"), F.col("row") == F.col("of"))
-    return materialize(_around(found.select("id", "row", "text", "places"), window, prefix, depth), "suffixes", "zstd")
-
-
-def _frequent(rows: DataFrame, group_rows: int) -> tuple[DataFrame, bool]:
-    """Keys of more than ``group_rows`` open rows, and whether there are any; broadcast only when they are few."""
-    keys = materialize(rows.where("key is not null").groupBy("key").count().where(F.col("count") > group_rows).select("key"), "frequent")
-    n = keys.limit(BROADCAST_ROWS + 1).count()
-    return (F.broadcast(keys) if n <= BROADCAST_ROWS else keys), n > 0
+def _at_places(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(id, row, text, places) of the documents with places (row, at)."""
+    listed = places.groupBy("row").agg(F.collect_set("at").alias("places")).withColumnRenamed("row", "of").hint("shuffle_hash")
+    return docs.join(listed, F.col("row") == F.col("of")).select("id", "row", "text", "places")
 
 
 def lost_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, depth: int = DEPTH, group_rows: int = GROUP_ROWS) -> DataFrame:
     """docs: (id, row, text), ids not null. (row, at, lost): bit l of lost says that the window l words before word ``at`` goes."""
     left = window - prefix
     depth = max(depth, window)
-    rows = _rows(docs, window, prefix, depth)
-    open_ = rows.where("lost is null")
-    frequent, any_ = _frequent(open_, group_rows)
+    leaves = _leaves(_at_places(docs, _shared(_suffixes(docs, window, prefix))), window, prefix)
+    leaves = materialize(_judged(leaves, "print"), "leaves", "zstd")
+    out = leaves.where("gone or settled").select("row", "at", F.expr("(shiftleft(2, cast(span % 64 as int)) - shiftleft(1, cast(span div 64 as int)))").cast("int").alias("lost"))
+
+    # Below a prefix with one leaf left there is no node.
+    open_ = leaves.where("not gone and not settled")
+    keys = open_.groupBy("key").agg(F.count("*").alias("n"), F.min("print").alias("a"), F.max("print").alias("b")).where("a <> b")
+    open_ = materialize(open_.join(keys.select(F.col("key").alias("of"), "n"), F.col("key") == F.col("of")).select("row", "at", (F.col("n") > group_rows).alias("frequent")), "open")
+    frequent = open_.where("frequent").limit(1).count() > 0
 
     def run(batches):
         for group, tree in _subtrees(batches, group_rows, left):
-            lost = tree.lost(*(group.column(n).to_numpy() for n in ("id", "few", "many")), window)
-            own = group.select(["row", "ats"]).append_column("lost", pa.array(lost.astype(np.int32))).filter(pa.array(lost > 0))
+            lost = tree.lost(group.column("id").to_numpy(), group.column("span").to_numpy(), window)
+            own = group.select(["row", "at"]).append_column("lost", pa.array(lost.astype(np.int32))).filter(pa.array(lost > 0))
             yield from own.to_batches()
 
-    trees = open_.join(frequent, "key", "left_anti") if any_ else open_
-    trees = trees.select("key", "id", "row", "few", "many", "around", "ats").repartition("key").sortWithinPartitions("key").mapInArrow(run, "row long, ats array<int>, lost int")
-    out = rows.where("lost is not null").select("row", "ats", "lost").unionByName(trees)
-    if any_:
-        out = out.unionByName(_by_windows(open_.join(frequent, "key", "left_semi"), window, prefix))
-    return out.select("row", F.explode("ats").alias("at"), "lost")
+    rows = _around(_at_places(docs, open_.where("not frequent")), window, prefix, depth)
+    out = out.unionByName(rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "row long, at int, lost int"))
+    if frequent:
+        out = out.unionByName(_by_windows(_around(_at_places(docs, open_.where("frequent")), window, prefix, depth), window, prefix))
+    return out
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, depth: int = DEPTH, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -340,20 +342,20 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     several suffixes, which overlap. Prefixes of more than ``group_rows`` suffixes have no subtree and are left out here.
     """
     left = window - PREFIX
-    rows = _rows(_identified(docs, id_col, text_col).where("id is not null"), window, PREFIX, max(depth, window)).where("lost is null")
-    frequent, any_ = _frequent(rows, group_rows)
+    rows = _identified(docs, id_col, text_col).where("id is not null")
+    rows = materialize(_around(_at_places(rows, _shared(_suffixes(rows, window, PREFIX))), window, PREFIX, max(depth, window)), "suffixes", "zstd")
+    rows = rows.join(rows.groupBy(F.col("key").alias("of")).count().where(F.col("count") <= group_rows), F.col("key") == F.col("of"), "left_semi")
 
     def run(batches):
         for group, tree in _subtrees(batches, group_rows, left):
-            ids, ats = group.column("id").to_numpy(), group.column("ats").combine_chunks()
+            ids, ats = group.column("id").to_numpy(), group.column("at").to_numpy()
             out = []
             for n, l, at in tree.repeats(window):
-                k = at[np.argmin(ids[at])]
-                out.append((n, len(at), ids[k], ats[int(k)][0].as_py() - l))
+                k = at[np.lexsort((ats[at], ids[at]))[0]]
+                out.append((n, len(at), ids[k], ats[k] - l))
             cols = list(zip(*out)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["words", "suffixes", "id", "at"])
 
-    rows = rows.join(frequent, "key", "left_anti") if any_ else rows
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "words long, suffixes long, id long, at long")
 
 
