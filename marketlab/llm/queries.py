@@ -73,5 +73,52 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+#: Words in SQL, and texts with A-Z lowered.
+WORDS = r"'[^\x20\x09-\x0D]+'"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL_OP3 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * CAST(c AS DOUBLE))) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+  p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p QUALIFY rank <= 10"""
+
+
+def _escaped_length(column: str) -> str:
+    return rf"length(replace(replace(replace({column}, '\', '\\'), '[', '[\'), '<', '<\'))"
+
+
+SQL_OP5 = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '{HOSTILE}' UNION ALL SELECT -1, 1, 'assistant', '{HOSTILE}')
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(21 + {_escaped_length("role")} + {_escaped_length("text")}) AS BIGINT) AS formatted_chars FROM t GROUP BY 1"""
+
+
+def _matches(k: int, rule: secret_scan.Rule) -> str:
+    pattern = "'" + rule.pattern.replace("'", "''") + "'"
+    return f"SELECT doc_id, {k} AS k, '{rule.kind}' AS kind, string_split_regex(t, {pattern}) AS gaps, regexp_extract_all(t, {pattern}) AS found, regexp_extract_all(t, {pattern}, {rule.group}) AS own, {rule.least} AS least FROM d"
+
+
+SQL_OP6 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({" UNION ALL ".join(_matches(k, r) for k, r in enumerate(secret_scan.BASE + secret_scan.EXTRA))}),
+  s AS (SELECT doc_id, k, kind, length(array_to_string(gaps[1:i], '')) + length(array_to_string(found[1:i - 1], '')) AS a, length(found[i]) AS n FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m) WHERE length(own[i]) >= least),
+  x AS (SELECT doc_id, k, a, kind, kind || ':' || a || ':' || (a + n) AS span FROM s)
+  SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    sha256(coalesce(string_agg(span, ',' ORDER BY a, k) FILTER (k < {len(secret_scan.BASE)}), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY a, k), '') AS spans FROM d LEFT JOIN x ON x.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+SQL_OP7 = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, {WORDS}) AS w FROM documents),
+  s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1) + 1))) AS i FROM w)),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+  l AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s AS x JOIN s AS y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2) JOIN n AS p ON p.doc_id = a JOIN n AS q ON q.doc_id = b WHERE 100 * shared >= 80 * (p.n + q.n - shared)),
+  e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+  r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.c)
+  SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, d.c AS component_id FROM (SELECT doc_id, min(c) AS c FROM r GROUP BY 1) AS d LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+SQL_OP10 = f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WORDS}) AS w FROM documents),
+  s AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w)),
+  m AS (SELECT s, min(doc_id) AS least FROM s GROUP BY 1 HAVING count(*) > 1),
+  g AS (SELECT DISTINCT doc_id, i + k AS j FROM s JOIN m ON s.s = m.s AND doc_id > least CROSS JOIN range(13) AS r(k)),
+  a AS (SELECT o.doc_id, o.j, o.word, g.j IS NOT NULL AS gone FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM w) AS o LEFT JOIN g ON g.doc_id = o.doc_id AND g.j = o.j),
+  k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (NOT gone) AS kept FROM a GROUP BY 1)
+  SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that it can express over whole tables; the others are tested in tests/llm against brute force."""
+    return {"op3_exact_topk": SQL_OP3, "op5_chat_format": SQL_OP5, "op6_secret_scan": SQL_OP6, "op7_jaccard_join": SQL_OP7, "op10_substring_dedup": SQL_OP10}
