@@ -10,11 +10,6 @@ from pyspark.sql import functions as F
 Z95 = 1.959963984540054
 
 
-def ratio(a, b) -> Column:
-    """a / b, null where b is zero."""
-    return F.try_divide(a, F.nullif(b, F.lit(0.0)) if isinstance(b, Column) else b)
-
-
 def candle_shape() -> dict[str, Column]:
     """Geometry of a bar; null where the range (or body) is zero."""
     o, h, low, c = (F.col(x) for x in ("open", "high", "low", "close"))
@@ -27,7 +22,7 @@ def candle_shape() -> dict[str, Column]:
 
 def quote_values() -> dict[str, Column]:
     mid = (F.col("bid") + F.col("ask")) / 2
-    return {"mid": mid, "spread_pct": F.when(mid > 0, (F.col("ask") - F.col("bid")) / mid), "valid": (F.col("bid") > 0) & (F.col("ask") >= F.col("bid"))}
+    return {"mid": mid, "spread_pct": F.when(mid > 0, (F.col("ask") - F.col("bid")) / mid).otherwise(float("inf")), "valid": (F.col("bid") > 0) & (F.col("ask") >= F.col("bid"))}
 
 
 def normal_cdf(z: Column) -> Column:
@@ -53,7 +48,20 @@ def effective_sell(price: Column, fee: float, spread: float, slippage: float) ->
     return price * (1 - spread / 2 - slippage) * (1 - fee)
 
 
-def headline_kind(text: Column, kinds: list[tuple[str, str]]) -> Column:
+#: Kinds of headlines and their patterns, the first that occurs counts (fixed values).
+HEADLINE_KINDS = (
+    ("ipo", r"\b(ipo|initial public offering|goes public|public debut|lock-?up expir\w*)\b"),
+    ("earnings", r"\b(earnings|eps|quarterly (results|profit|revenue)|(q[1-4]|fiscal (q[1-4]|quarter)) (results|revenue|sales|profit|loss))\b"),
+    ("guidance", r"\b(guidance|outlook|(raises|lowers|cuts|boosts|reaffirms) (its |full-year |fy )?(forecast|view))\b"),
+    ("rating", r"\b(upgrade[sd]?|downgrade[sd]?|price target|initiates coverage|(maintains|reiterates) (buy|hold|sell|overweight|underweight|neutral|outperform))\b"),
+    ("m&a", r"\b(acquire[sd]?|acquisition|merger|takeover|buyout|to buy \w+ for)\b"),
+    ("fda", r"\b(fda|clinical trial|phase (1|2|3|i|ii|iii) (trial|data|study))\b"),
+    ("legal", r"\b(lawsuit|sues|sued|probe|antitrust|subpoena|settles?|settlement)\b"),
+    ("macro", r"\b(fed|fomc|cpi|inflation|jobs report|nonfarm payrolls|gdp|interest rates?|treasury yields?|tariffs?)\b"),
+)
+
+
+def headline_kind(text: Column, kinds: tuple[tuple[str, str], ...] = HEADLINE_KINDS) -> Column:
     """First kind whose pattern occurs, else other."""
     out = F.lit("other")
     for kind, pattern in reversed(kinds):

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+#: Slack of the checks on highs and lows.
+TOLERANCE = 1e-9
 
 
 def resample_trades(trades: DataFrame, rule: str) -> DataFrame:
@@ -27,7 +29,7 @@ def resample_bars(bars: DataFrame, rule: str) -> DataFrame:
 
 def tick_bars(quotes: DataFrame, trades: DataFrame, rule: str) -> DataFrame:
     """Bars of quote mids with traded volume by side; crossed quotes and trades before the first quote do not count."""
-    good = quotes.where("bid > 0 and ask > bid").select("symbol", "ts", "seq", ((F.col("bid") + F.col("ask")) / 2).alias("mid"), "bid", "ask")
+    good = quotes.where("bid > 0 and ask >= bid").select("symbol", "ts", "seq", ((F.col("bid") + F.col("ask")) / 2).alias("mid"), "bid", "ask")
     first = good.groupBy("symbol").agg(F.min("ts").alias("first_ts"))
     done = trades.join(first, "symbol").where("ts >= first_ts").select("symbol", "ts", "seq", "qty", "buyer_is_maker")
     both = good.unionByName(done, allowMissingColumns=True)
@@ -60,10 +62,10 @@ def violations(bars: DataFrame) -> DataFrame:
     rules = {
         "missing": missing,
         "not_positive": F.least(*price) <= 0,
-        "high_below_body": F.col("high") < F.greatest("open", "close"),
-        "low_above_body": F.col("low") > F.least("open", "close"),
+        "high_too_low": F.col("high") < F.greatest("open", "close", "low") - TOLERANCE,
+        "low_too_high": F.col("low") > F.least("open", "close") + TOLERANCE,
         "negative_volume": F.col("volume") < 0,
-        "not_increasing": F.lag("ts").over(w) >= F.col("ts"),
+        "repeated_time": F.lag("ts").over(w) >= F.col("ts"),
     }
     found = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in rules.items())))
     return bars.withColumn("rule", found).select(F.explode("rule").alias("rule"), "symbol", "ts")

@@ -110,10 +110,13 @@ def candles(bars: DataFrame) -> DataFrame:
     out = bars.withColumns(candle_shape())
     o, c = F.col("open"), F.col("close")
     po, pc = F.lag("open").over(series()), F.lag("close").over(series())
-    body, up, down = F.col("body_range_ratio"), F.col("upper_shadow"), F.col("lower_shadow")
+    # Shadows of a hammer or shooting star: one at least twice the body, the other at most 0.3 of it (of a tenth of the range without a body).
+    span = F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
+    body, up, down = F.abs(c - o), F.col("high") - F.greatest(o, c), F.least(o, c) - F.col("low")
+    short, tall = 0.3 * F.when(body > 0, body).otherwise(span * 0.1), body / span > 0.05
     found = {
         "pat_bullish_engulfing": (pc < po) & (c > o) & (o <= pc) & (c >= po), "pat_bearish_engulfing": (pc > po) & (c < o) & (o >= pc) & (c <= po),
-        "pat_hammer": (down >= 2 * body) & (up <= 0.1) & (body > 0), "pat_shooting_star": (up >= 2 * body) & (down <= 0.1) & (body > 0), "pat_doji": body <= 0.1,
+        "pat_hammer": (down >= 2 * body) & (up <= short) & tall, "pat_shooting_star": (up >= 2 * body) & (down <= short) & tall, "pat_doji": body / span < 0.1,
     }
     return out.withColumns({name: F.coalesce(test, F.lit(False)).cast("int") for name, test in found.items()})
 
@@ -145,7 +148,7 @@ def regime(bars: DataFrame) -> DataFrame:
     seen = F.collect_list("volatility").over(last(252))
     less, same = F.size(F.filter("_seen", lambda v: v < F.col("volatility"))), F.size(F.filter("_seen", lambda v: v == F.col("volatility")))
     out = bars.withColumn("_seen", seen).withColumn("_rank", F.when(F.col("volatility").isNotNull() & (F.size("_seen") >= 60), (less + (same + 1) / 2) / F.size("_seen")))
-    level = F.when(F.col("_rank") > 2 / 3, "high_vol").when(F.col("_rank") > 1 / 3, "mid_vol").when(F.col("_rank").isNotNull(), "low_vol")
+    level = F.when(F.col("_rank") < 1 / 3, "low_vol").when(F.col("_rank") < 2 / 3, "medium_vol").when(F.col("_rank").isNotNull(), "high_vol")
     return out.withColumns({"trend": trend, "vol_rank": F.col("_rank"), "vol_regime": level}).withColumn("regime", F.concat_ws("/", F.when(level.isNotNull(), F.col("trend")), F.when(F.col("trend").isNotNull(), F.col("vol_regime")))).drop("_seen", "_rank")
 
 

@@ -26,22 +26,25 @@ def stability(metrics: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("score", F.col("fraction_positive") * share)
 
 
-def monte_carlo(trades: DataFrame, *keys: str, sims: int = 1000, seed: int = 7, loss: float = -0.2) -> DataFrame:
+def monte_carlo(trades: DataFrame, *keys: str, sims: int = 5000, seed: int = 7, loss: float = -0.2) -> DataFrame:
     """Bootstrap of each group's trades: percentiles of the final return and of the worst drawdown, and their risks.
 
-    A draw is a hash of seed, group, simulation and position, so reruns and any partitioning agree; draws meet trades in an
-    equi-join. Groups without trades have no row.
+    A draw is a hash of seed, group, simulation and position, so reruns and any partitioning agree. A simulation is one fold over
+    its group's returns; the group's trades are one row. Groups without trades have no row.
     """
-    order = W.partitionBy(*keys).orderBy("entry_ts", "exit_ts", "net_return")
-    own = trades.select(*keys, F.log1p("net_return").alias("r"), (F.row_number().over(order) - 1).cast("long").alias("at"))
-    size = own.groupBy(*keys).agg(F.count("*").alias("n"))
-    draws = size.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1)))).withColumn("pos", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    draws = draws.withColumn("at", F.pmod(F.xxhash64(F.lit(seed), *keys, "sim", "pos"), F.col("n")))
-    path = W.partitionBy(*keys, "sim").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    walked = draws.join(own, [*keys, "at"]).withColumn("equity", F.sum("r").over(path)).withColumn("peak", F.greatest(F.lit(0.0), F.max("equity").over(path)))
-    ends = walked.groupBy(*keys, "sim").agg(F.expm1(F.sum("r")).alias("final"), F.min(F.expm1(F.col("equity") - F.col("peak"))).alias("drawdown"))
+    own = trades.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("entry_ts", "exit_ts", "net_return"))).alias("_t")).select(*keys, F.transform("_t", lambda t: t["net_return"]).alias("_r"))
+    runs = own.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
+    zero = F.struct(F.lit(1.0).alias("equity"), F.lit(1.0).alias("peak"), F.lit(0.0).alias("worst"))
+
+    def step(s, i):
+        r = F.get("_r", F.pmod(F.xxhash64(F.lit(seed), *keys, "sim", i), F.size("_r")).cast("int"))
+        equity = s["equity"] * (1 + r)
+        return F.struct(equity.alias("equity"), F.greatest(s["peak"], equity).alias("peak"), F.least(s["worst"], equity / F.greatest(s["peak"], equity) - 1).alias("worst"))
+
+    ends = runs.withColumn("_e", F.aggregate(F.sequence(F.lit(1), F.size("_r")), zero, step)).select(*keys, (F.col("_e.equity") - 1).alias("final"), F.col("_e.worst").alias("drawdown"))
     return ends.groupBy(*keys).agg(
-        *(F.percentile("final", q / 100).alias(f"final_p{q}") for q in (5, 50, 95)), F.percentile("drawdown", 0.05).alias("drawdown_p95"), F.avg((F.col("final") < 0).cast("double")).alias("p_loss"), F.avg((F.col("drawdown") <= loss).cast("double")).alias("p_drawdown"),
+        *(F.percentile("final", q / 100).alias(f"final_p{q}") for q in (5, 50, 95)), F.percentile("drawdown", 0.5).alias("drawdown_p50"), F.percentile("drawdown", 0.05).alias("drawdown_p95"),
+        F.avg((F.col("final") < 0).cast("double")).alias("p_loss"), F.avg((F.col("drawdown") < loss).cast("double")).alias("p_drawdown"),
     )
 
 

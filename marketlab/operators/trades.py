@@ -1,12 +1,13 @@
 """Trades from signals on bars: one position at a time for a symbol and variant.
 
 The exit of an entry depends on its entry row alone, so every candidate's exit is found in parallel (a join of
-entries to the bars they may be held over, and the first row that ends them); a fold over the candidates of
+entries to the bars they may be held over, and the first row that ends them); a pass over the candidates of
 a (symbol, variant) in order of entry then keeps those that start after the trade before has ended.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -19,7 +20,7 @@ SLOT = 32
 def candidates(bars: DataFrame, variants: DataFrame, entry: Column, leave: Column) -> DataFrame:
     """One row per possible entry with its exit.
 
-    bars: features with atr. variants: variant, stop_atr, target_atr (null: none), hold, and the parameters that
+    bars: features with atr. variants: variant, stop_atr, target_atr (null: none), hold (null: as long as the bars last), and the parameters that
     the Columns ``entry`` and ``leave`` read. A rules table is small: it is crossed with the bars of a symbol.
     """
     w = W.partitionBy("symbol").orderBy("ts")
@@ -27,13 +28,13 @@ def candidates(bars: DataFrame, variants: DataFrame, entry: Column, leave: Colum
     # What the bar after a signal opens at is found before bars meet variants, so that nothing is shuffled a variant.
     ahead = rows.withColumn("entry_ts", F.lead("ts").over(w)).withColumn("entry_price", F.lead("open").over(w))
     entries = ahead.crossJoin(F.broadcast(variants)).where(F.coalesce(entry, F.lit(False)) & F.col("atr").isNotNull() & F.col("entry_price").isNotNull())
-    entries = entries.select("symbol", *variants.columns, (F.col("i") + 1).alias("entry_i"), "entry_ts", "entry_price", (F.col("entry_price") - F.col("stop_atr") * F.col("atr")).alias("stop"), (F.col("entry_price") + F.col("target_atr") * F.col("atr")).alias("target"))
+    entries = entries.select("symbol", "last_i", *variants.columns, (F.col("i") + 1).alias("entry_i"), "entry_ts", "entry_price", (F.col("entry_price") - F.col("stop_atr") * F.col("atr")).alias("stop"), (F.col("entry_price") + F.col("target_atr") * F.col("atr")).alias("target"))
     # Bars meet entries in slots of SLOT rows: an entry lists the slots it may be held over.
-    spread = entries.withColumn("slot", F.explode(F.sequence(F.floor(F.col("entry_i") / SLOT), F.floor((F.col("entry_i") + F.col("hold")) / SLOT))))
+    spread = entries.withColumn("slot", F.explode(F.sequence(F.floor(F.col("entry_i") / SLOT), F.floor(F.least(F.coalesce(F.col("entry_i") + F.col("hold"), F.col("last_i")), F.col("last_i")) / SLOT))))
     # A bar carries the features of the bar before it, under their own names, for ``leave``.
     before = [F.lag(c).over(w).alias(c) for c in bars.columns if c not in ("symbol", "ts")]
-    held = rows.select("symbol", "i", F.col("ts").alias("bar_ts"), *(F.col(c).alias(f"bar_{c}") for c in ("open", "high", "low", "close")), "last_i", F.floor(F.col("i") / SLOT).alias("slot"), *before)
-    pairs = spread.join(held, ["symbol", "slot"]).where("i between entry_i and entry_i + hold").withColumn("leave", F.coalesce(leave, F.lit(False)))
+    held = rows.select("symbol", "i", F.col("ts").alias("bar_ts"), *(F.col(c).alias(f"bar_{c}") for c in ("open", "high", "low", "close")), F.floor(F.col("i") / SLOT).alias("slot"), *before)
+    pairs = spread.join(held, ["symbol", "slot"]).where("i >= entry_i and (hold is null or i <= entry_i + hold)").withColumn("leave", F.coalesce(leave, F.lit(False)))
     later, first = F.col("i") > F.col("entry_i"), F.col("i") == F.col("entry_i")
     struct = lambda reason, price: F.struct(F.lit(reason).alias("reason"), price.alias("price"), F.col("bar_ts").alias("ts"), F.col("i").alias("i"))
     end = (
@@ -48,14 +49,25 @@ def candidates(bars: DataFrame, variants: DataFrame, entry: Column, leave: Colum
 
 
 def single_position(found: DataFrame) -> DataFrame:
-    """Keep a candidate when it enters after the exit of the one kept before; the exit row takes no new entry."""
-    row = F.struct("entry_i", "entry_ts", "entry_price", "end")
-    grouped = found.groupBy("symbol", "variant").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    kind = grouped.schema["rows"].dataType.simpleString()
-    start = F.struct(F.lit(0).alias("until"), F.array().cast(kind).alias("kept"))
-    step = lambda s, x: F.when(x["entry_i"] > s["until"], F.struct(x["end"]["i"].alias("until"), F.array_append(s["kept"], x).alias("kept"))).otherwise(s)
-    kept = grouped.select("symbol", "variant", F.explode(F.aggregate("rows", start, step, lambda s: s["kept"])).alias("t"))
-    return kept.select("symbol", "variant", "t.entry_i", "t.entry_ts", "t.entry_price", F.col("t.end.i").alias("exit_i"), F.col("t.end.ts").alias("exit_ts"), F.col("t.end.price").alias("exit_price"), F.col("t.end.reason").alias("reason"))
+    """Keep a candidate when it enters after the exit of the one kept before; the exit row takes no new entry.
+
+    Candidates stream through in order, and a task holds only where the last kept one of the series at hand ended.
+    """
+    rows = found.select("symbol", "variant", "entry_i", "entry_ts", "entry_price", F.col("end.i").alias("exit_i"), F.col("end.ts").alias("exit_ts"), F.col("end.price").alias("exit_price"), F.col("end.reason").alias("reason"))
+
+    def run(batches):
+        series, until = None, 0
+        for batch in batches:
+            keep = []
+            for k, (symbol, variant, entry, exit_) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("symbol", "variant", "entry_i", "exit_i")))):
+                if (symbol, variant) != series:
+                    series, until = (symbol, variant), 0
+                if entry > until:
+                    keep.append(k)
+                    until = exit_
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    return rows.repartition("symbol", "variant").sortWithinPartitions("symbol", "variant", "entry_i").mapInArrow(run, rows.schema)
 
 
 def net_returns(trades: DataFrame, fee: float = 0.001, spread: float = 0.0005, slippage: float = 0.0005) -> DataFrame:

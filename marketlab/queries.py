@@ -5,6 +5,8 @@ Keys begin with the item of the operator inventory that they cover.
 
 from __future__ import annotations
 
+from importlib import import_module
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -330,9 +332,19 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.join(trades.metrics(_momentum(spark, sf_dir).where("variant = 'momentum'"), "symbol"), "symbol", "left")
 
 
+#: Further modules of registered queries.
+MODULES = ("marketlab.queries_books",)
+
+
+def _all() -> dict[str, tuple]:
+    for module in MODULES:
+        import_module(module)
+    return _registered
+
+
 def queries() -> dict:
-    return {name: f for name, (f, _) in _registered.items()}
+    return {name: f for name, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _registered.items() if sql}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
