@@ -117,19 +117,26 @@ def _summaries(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, bits in zip(batch.column("block").to_pylist(), batch.column("bits").to_pylist()):
-                x = np.frombuffer(bits, np.uint32).astype(_I64) if len(bits) * 8 == (1 << SKETCH_BITS) // SKETCH_BLOCKS * 32 else np.frombuffer(bits, _I64)
+                x = np.frombuffer(bits, np.uint32).astype(_I64) if len(bits) == 4 * width else np.frombuffer(bits, _I64)
                 total[k] = total.get(k, 0) + x
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "bits"])
 
-    # Sums stream through two levels, by part of a block and by block; a task holds one array a block.
+    def rarities(batches):
+        for batch in add(batches):
+            for k, bits in zip(batch.column("block").to_pylist(), batch.column("bits").to_pylist()):
+                cells = np.maximum(np.frombuffer(bits, _I64), 1)
+                level = np.clip(np.floor(2 * np.log2(cells / (2.0 * max(1.0, mean)))) + 1, 0, 15).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["block", "bits"])
+
+    # Sums stream through two levels, by part of a block and by block; a task holds one array a block, and the driver gets a byte a cell.
+    width = (1 << SKETCH_BITS) // SKETCH_BLOCKS
+    mean = (table.agg(F.sum("n")).first()[0] or 0) / (1 << SKETCH_BITS)
     sketch = table.where("block is not null").select("block", "bits")
     parts = sketch.repartition("block", F.pmod(F.xxhash64("bits"), F.lit(SKETCH_BLOCKS))).mapInArrow(add, "block int, bits binary")
-    cells = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), _I64)
-    for r in parts.repartition("block").mapInArrow(add, "block int, bits binary").collect():  # a fixed number of fixed-size blocks
-        cells[r["block"]] = np.frombuffer(r["bits"], _I64)
-    cells = cells.ravel()
-    rarity = np.clip(np.floor(2 * np.log2(np.maximum(cells, 1) / (2.0 * max(1.0, cells.mean())))) + 1, 0, 15)
-    return table.where("block is null").select("id", "tag", "key", "n", "bits"), rarity.astype(np.uint8)
+    rarity = np.zeros((SKETCH_BLOCKS, width), np.uint8)
+    for r in parts.repartition("block").mapInArrow(rarities, "block int, bits binary").collect():  # a fixed number of fixed-size blocks
+        rarity[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    return table.where("block is null").select("id", "tag", "key", "n", "bits"), rarity.ravel()
 
 
 def _postings(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
@@ -269,9 +276,10 @@ def _forest(left: pd.DataFrame, right: pd.DataFrame | None) -> list[tuple[int, i
 
 def _dealt(rows: DataFrame, group: str, weight, limit: int) -> DataFrame:
     """Columns to group by: small groups share buckets of about ``limit``; a large one is dealt into pairs of blocks."""
-    total = rows.agg(F.sum(weight)).first()[0] or 0
-    sizes = materialize(rows.groupBy(group).agg(F.ceil(F.sum(weight) / limit).cast("int").alias("blocks")).where("blocks > 1"), "sizes")
-    if sizes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # so that a large group's rows need not meet in one task
+    sums = materialize(rows.groupBy(group).agg(F.sum(weight).alias("w")), "sizes")
+    total, large = sums.agg(F.coalesce(F.sum("w"), F.lit(0)), F.count(F.when(F.col("w") > limit, 1))).first()
+    sizes = sums.where(F.col("w") > limit).select(group, F.ceil(F.col("w") / limit).cast("int").alias("blocks"))
+    if large <= BROADCAST_ROWS:  # so that a large group's rows need not meet in one task
         sizes = F.broadcast(sizes)
     dealt = rows.join(sizes, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(9), "key"), F.col("blocks")).cast("int"))
