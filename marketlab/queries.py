@@ -152,16 +152,16 @@ def ag2_tick_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("symbol", F.col("ts").cast("string").alias("bar"), F.round("open", 6).alias("open"), F.round("close", 6).alias("close"), F.round("volume", 6).alias("volume"), "n_trades")
 
 
-@query(f"""WITH {SQL_QUOTES}, x AS (SELECT symbol, ts, seq FROM tr WHERE seq % 7 = 0) SELECT x.symbol, x.seq, round((SELECT arg_min(ask, qu.ts) FROM qu WHERE qu.symbol = x.symbol AND qu.ts >= x.ts + INTERVAL 60 SECOND), 6) AS ask FROM x""")
+@query(f"""WITH {SQL_QUOTES} SELECT t.symbol, t.seq, round(q.ask, 6) AS ask FROM (SELECT symbol, ts + INTERVAL 60 SECOND AS ts, seq FROM tr) AS t ASOF LEFT JOIN (SELECT symbol, ts, ask FROM qu) AS q ON t.symbol = q.symbol AND t.ts <= q.ts""")
 def jn1_forward_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ask of the first quote at least a minute after every trade (the SQL answers only every seventh)."""
+    """The ask of the first quote at least a minute after every trade."""
     signals = views.trades(spark, sf_dir).select("symbol", F.expr("ts + interval 60 seconds").alias("ts"), "seq")
     return joins.asof(signals, views.quotes(spark, sf_dir), "ask", forward=True).select("symbol", "seq", F.round("ask", 6).alias("ask"))
 
 
-@query(f"""WITH {SQL_QUOTES} SELECT t.symbol, t.seq, round(q.bid, 6) AS bid FROM (SELECT symbol, ts, seq FROM tr WHERE seq % 7 = 0) AS t ASOF LEFT JOIN (SELECT symbol, ts + INTERVAL 1 SECOND AS ts, bid FROM qu) AS q ON t.symbol = q.symbol AND t.ts >= q.ts""")
+@query(f"""WITH {SQL_QUOTES} SELECT t.symbol, t.seq, round(q.bid, 6) AS bid FROM tr AS t ASOF LEFT JOIN (SELECT symbol, ts + INTERVAL 1 SECOND AS ts, bid FROM qu) AS q ON t.symbol = q.symbol AND t.ts >= q.ts""")
 def jn2_backward_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bid known for at least a second when a trade comes, for every trade (the SQL answers only every seventh)."""
+    """The bid known for at least a second when a trade comes, for every trade."""
     quotes = views.quotes(spark, sf_dir).withColumn("ts", F.expr("ts + interval 1 second"))
     return joins.asof(views.trades(spark, sf_dir).select("symbol", "ts", "seq"), quotes, "bid").select("symbol", "seq", F.round("bid", 6).alias("bid"))
 
