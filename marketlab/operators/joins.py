@@ -31,17 +31,6 @@ def range_counts(bars: DataFrame, events: DataFrame, days: tuple[int, ...], key:
     upto = F.count(F.when(F.col("end").isNull(), 1)).over(W.partitionBy(key).orderBy("at").rangeBetween(W.unboundedPreceding, 0))
     wide = both.withColumn("_c", upto).where("end is not null").groupBy(key, F.col("_of").alias("ts")).agg(*(F.max(F.when(F.col("end") == n, F.col("_c"))).alias(n) for n, _ in ends))
     counts = wide.select(key, "ts", *((F.col("_n") - F.col(f"_n_{d}")).alias(f"n_{d}d") for d in days))
-    return bars.join(counts, [key, "ts"], "left")
-
-
-def range_counts(bars: DataFrame, events: DataFrame, days: tuple[int, ...], key: str = "symbol") -> DataFrame:
-    """Events of a bar's symbol in (ts - d days, ts], for each d; an equi-join on symbol and day bounds the pairs."""
-    longest = max(days)
-    spread = bars.select(key, "ts").withColumn("day", F.explode(F.sequence(F.date_sub(F.to_date("ts"), longest), F.to_date("ts"))))
-    own = events.select(key, F.col("ts").alias("event_ts"), F.to_date("ts").alias("day"))
-    age = F.unix_micros("ts") - F.unix_micros("event_ts")
-    pairs = spread.join(own, [key, "day"]).where((age >= 0) & (age < longest * 86_400_000_000))
-    counts = pairs.groupBy(key, "ts").agg(*(F.count(F.when(age < d * 86_400_000_000, 1)).alias(f"n_{d}d") for d in days))
     return bars.join(counts, [key, "ts"], "left").fillna(0, [f"n_{d}d" for d in days])
 
 

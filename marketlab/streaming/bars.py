@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketlab.sources.store import shared_path
+
 
 def stream_bars(trades: DataFrame, rule: str, delay: str = "0 seconds") -> DataFrame:
     """Tumbling bars; one is final once a trade at or after its end plus ``delay`` has come, and later rows of it are dropped."""
@@ -21,7 +20,6 @@ def stream_bars(trades: DataFrame, rule: str, delay: str = "0 seconds") -> DataF
 def drain(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over what its source holds now, into a table of the shared folder, and read that."""
     spark: SparkSession = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="marketlab-")
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
