@@ -12,6 +12,8 @@ from pyspark.sql.window import Window as W
 
 from marketlab.functions.columns import candle_shape
 from marketlab.operators.scan import smooth
+from marketlab.sources.store import settled
+
 
 def series():
     """Bars of a symbol in time order (needs a session, so it is not a constant)."""
@@ -132,11 +134,12 @@ def smoothed(bars: DataFrame) -> DataFrame:
     up, down = F.when(F.col("_d").isNotNull(), F.greatest("_d", F.lit(0.0))), F.when(F.col("_d").isNotNull(), F.greatest(-F.col("_d"), F.lit(0.0)))
     inputs = {f"ema_{n}": ("close", 2 / (n + 1), n) for n in (20, 50, 200)} | {"atr": ("true_range", 1 / 14, 14), "_fast": ("close", 2 / 13, 12), "_slow": ("close", 2 / 27, 26)}
     inputs |= {f"_{side}_{n}": (x, 1 / n, n) for n in (14, 2) for side, x in (("gain", up), ("loss", down))}
-    out = smooth(out, inputs)
+    # Smoothing reads its rows twice, so what comes before it is written once.
+    out = smooth(settled(out, "ranges"), inputs)
     rsi = lambda g, k: F.when(k > 0, 100 - 100 / (1 + g / F.nullif(k, F.lit(0.0)))).when(g > 0, 100.0).when(g.isNotNull(), 50.0)
     out = out.withColumns({"rsi": rsi(F.col("_gain_14"), F.col("_loss_14")), "rsi_2": rsi(F.col("_gain_2"), F.col("_loss_2")), "atr_pct": F.col("atr") / F.col("close"), "macd": F.col("_fast") - F.col("_slow")})
     out = out.withColumns({f"dist_ema_{n}": F.col("close") / F.col(f"ema_{n}") - 1 for n in (20, 50, 200)})
-    out = smooth(out, {"macd_signal": ("macd", 0.2, 9)}).withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+    out = smooth(settled(out, "smoothed"), {"macd_signal": ("macd", 0.2, 9)}).withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
     return out.drop("_d", "_fast", "_slow", "_gain_14", "_loss_14", "_gain_2", "_loss_2")
 
 
@@ -160,7 +163,8 @@ def cross_section(bars: DataFrame) -> DataFrame:
         out = out.withColumn(f"_r{n}", change(n))
         rank, ties = F.rank().over(at.orderBy(F.col(f"_r{n}").asc_nulls_last())), F.count("*").over(W.partitionBy("ts", f"_r{n}"))
         out = out.withColumn(f"_xs_rank_ret_{n}", F.when(F.col(f"_r{n}").isNotNull(), (rank + (ties - 1) / 2) / F.count(f"_r{n}").over(at)))
-    out = out.withColumn("_rel", F.col("_r20") - F.median("_r20").over(at))
+    # Read three times below.
+    out = settled(out.withColumn("_rel", F.col("_r20") - F.median("_r20").over(at)), "ranks")
     panel = out.groupBy("ts").agg(F.count("*").alias("xs_n"), F.avg(F.when(F.col("ema_50").isNotNull(), (F.col("close") > F.col("ema_50")).cast("double"))).alias("xs_breadth"))
     # A row a timestamp, whatever the number of symbols: one ordered pass (a single task) finds the timestamp before.
     step = panel.select("ts", F.lag("ts").over(W.partitionBy(F.lit(0)).orderBy("ts")).alias("before"))
@@ -173,4 +177,4 @@ def all_features(bars: DataFrame) -> DataFrame:
     out = bars
     for step in (returns, volatility, averages, bollinger, volume_ratio, vwap_deviation, gap, streaks, drawdown, trend_strength, extremes, flow, candles, smoothed, regime):
         out = step(out)
-    return out
+    return settled(out, "features")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+#: Simulations that one task row draws.
+SIMS_A_BLOCK = 500
+
 
 def date_means(trades: DataFrame, *keys: str) -> DataFrame:
     """One observation per entry time: the mean net return of the trades entered then."""
@@ -29,19 +35,31 @@ def stability(metrics: DataFrame, *keys: str) -> DataFrame:
 def monte_carlo(trades: DataFrame, *keys: str, sims: int = 5000, seed: int = 7, loss: float = -0.2) -> DataFrame:
     """Bootstrap of each group's trades: percentiles of the final return and of the worst drawdown, and their risks.
 
-    A draw is a hash of seed, group, simulation and position, so reruns and any partitioning agree. A simulation is one fold over
-    its group's returns; the group's trades are one row. Groups without trades have no row.
+    Simulations are drawn in blocks, each with a generator seeded by a hash of seed, group and block, so reruns and any partitioning
+    agree; a group's trades are one row a block. Groups without trades have no row.
     """
     own = trades.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("entry_ts", "exit_ts", "net_return"))).alias("_t")).select(*keys, F.transform("_t", lambda t: t["net_return"]).alias("_r"))
-    runs = own.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
-    zero = F.struct(F.lit(1.0).alias("equity"), F.lit(1.0).alias("peak"), F.lit(0.0).alias("worst"))
-
-    def step(s, i):
-        r = F.get("_r", F.pmod(F.xxhash64(F.lit(seed), *keys, "sim", i), F.size("_r")).cast("int"))
-        equity = s["equity"] * (1 + r)
-        return F.struct(equity.alias("equity"), F.greatest(s["peak"], equity).alias("peak"), F.least(s["worst"], equity / F.greatest(s["peak"], equity) - 1).alias("worst"))
-
-    ends = runs.withColumn("_e", F.aggregate(F.sequence(F.lit(1), F.size("_r")), zero, step)).select(*keys, (F.col("_e.equity") - 1).alias("final"), F.col("_e.worst").alias("drawdown"))
+    blocks = own.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((sims - 1) // SIMS_A_BLOCK))))
+    blocks = blocks.withColumn("_seed", F.xxhash64(F.lit(seed), *keys, "_block")).withColumn("_sims", F.least(F.lit(SIMS_A_BLOCK), F.lit(sims) - F.col("_block") * SIMS_A_BLOCK))
+    schema = T.StructType([*blocks.select(*keys).schema.fields, T.StructField("final", T.DoubleType()), T.StructField("drawdown", T.DoubleType())])
+
+    def draw(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = batch.column("_r")[k].values.to_numpy(zero_copy_only=False)
+                rng, left = np.random.default_rng(batch.column("_seed")[k].as_py() % 2**63), batch.column("_sims")[k].as_py()
+                while left:
+                    m = min(left, max(1, 1_000_000 // len(r)))
+                    # In logarithms: long runs of gains would overflow.
+                    with np.errstate(divide="ignore", over="ignore"):
+                        grown = np.cumsum(np.log1p(np.maximum(r, -1.0))[rng.integers(0, len(r), (m, len(r)))], axis=1)
+                        worst = np.expm1(grown - np.maximum(np.maximum.accumulate(grown, axis=1), 0.0)).min(axis=1)
+                        final = np.expm1(grown[:, -1])
+                    same = [pa.array([batch.column(c)[k].as_py()] * m, batch.schema.field(c).type) for c in keys]
+                    yield pa.record_batch([*same, pa.array(final), pa.array(worst)], names=[*keys, "final", "drawdown"])
+                    left -= m
+
+    ends = blocks.repartition(*keys, "_block").select(*keys, "_r", "_seed", "_sims").mapInArrow(draw, schema)
     return ends.groupBy(*keys).agg(
         *(F.percentile("final", q / 100).alias(f"final_p{q}") for q in (5, 50, 95)), F.percentile("drawdown", 0.5).alias("drawdown_p50"), F.percentile("drawdown", 0.05).alias("drawdown_p95"),
         F.avg((F.col("final") < 0).cast("double")).alias("p_loss"), F.avg((F.col("drawdown") < loss).cast("double")).alias("p_drawdown"),
