@@ -28,7 +28,8 @@ def bulk_volume(bars: DataFrame, n: int = 50, least: int = 10) -> DataFrame:
     rows = bars.withColumn("_r", F.col("close") / F.lag("close").over(w) - 1)
     frame = w.rowsBetween(-(n - 1), 0)
     sd = F.when(F.count("_r").over(frame) >= least, F.stddev_samp("_r").over(frame))
-    z = F.least(F.greatest(F.col("_r") / F.nullif(sd, F.lit(0.0)), F.lit(-10.0)), F.lit(10.0))
+    z = F.col("_r") / F.nullif(sd, F.lit(0.0))
+    z = F.when(z.isNotNull(), F.least(F.greatest(z, F.lit(-10.0)), F.lit(10.0)))
     return rows.withColumn("taker_buy_volume", F.col("volume") * F.coalesce(normal_cdf(z), F.lit(0.5))).drop("_r")
 
 
@@ -93,7 +94,7 @@ def bar_path(bars: DataFrame, seconds: int) -> DataFrame:
     up = F.col("close") >= F.col("open")
     prices = F.array("open", F.when(up, F.col("low")).otherwise(F.col("high")), F.when(up, F.col("high")).otherwise(F.col("low")), "close")
     rows = bars.select("symbol", "ts", F.posexplode(prices).alias("step", "price"))
-    return rows.select("symbol", F.timestamp_micros(F.unix_micros("ts") + (F.col("step") * seconds * 1_000_000 / 4).cast("long")).alias("ts"), "step", "price")
+    return rows.select("symbol", F.timestamp_micros(F.unix_micros("ts") + (F.col("step") * F.lit(seconds * 250_000).cast("long"))).alias("ts"), "step", "price")
 
 
 def shadow_trades(signals: DataFrame, quotes: DataFrame, latency_s: float = 0.25, fee: float = 0.001, slot_s: int = 3600) -> DataFrame:
