@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlab.llm import chat_format, context_tree, near_dup, piece_lattice, quality_classifier, quality_rules, secret_scan, source_mix, substring_dedup, topk
+from marketlab.llm import chat_format, context_tree, merkle, near_dup, piece_lattice, quality_classifier, quality_rules, secret_scan, sharding, source_mix, substring_dedup, topk, whitening
 from marketlab.llm._store import materialize, table
 
 
@@ -69,6 +69,29 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.report(table(spark, sf_dir, "documents")))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"))
+    return sharding.shuffle(docs).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+A_Z, LOW_A_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    tampered = F.when(touched, merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), F.translate("text", A_Z, LOW_A_Z)))
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), also={"tampered": F.unhex(tampered)})
+    presented = F.coalesce(F.lower(F.hex("tampered")), F.col("leaf"))
+    rows = rows.withColumns({"proof_sha256": F.sha2("siblings", 256), "folded_root": merkle.fold(presented, "siblings", "places")})
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -119,6 +142,37 @@ SQL_OP10 = f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''),
   SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id"""
 
 
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)) + ")"
+
+
+def _tree(name: str) -> str:
+    """From the nodes of level 0: all nodes, each one's siblings, and each leaf's folded root and proof."""
+    return f"""{name} AS (SELECT g, 0 AS lvl, pos, n, h FROM {name}_0 UNION ALL SELECT g, lvl + 1, pos >> 3, (n + 7) >> 3, sha256(string_agg(h, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY g, lvl, pos >> 3, n),
+  {name}_s AS (SELECT a.g, a.lvl, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+    FROM {name} AS a JOIN {name} AS b ON a.g = b.g AND a.lvl = b.lvl AND a.pos >> 3 = b.pos >> 3 WHERE a.n > 1 GROUP BY 1, 2, 3),
+  {name}_f AS (SELECT g, pos, pos AS node, 0 AS lvl, t AS f, '' AS proof FROM {name}_0 UNION ALL SELECT f.g, f.pos, node >> 3, f.lvl + 1, sha256(l || f || r), proof || l || r FROM {name}_f AS f JOIN {name}_s AS s ON s.g = f.g AND s.lvl = f.lvl AND s.pos = f.node),
+  {name}_p AS (SELECT g, pos, arg_max(f, lvl) AS f, arg_max(proof, lvl) AS proof FROM {name}_f GROUP BY 1, 2)"""
+
+
+#: crc32 of the decimal doc_id, bit by bit: each of its bytes is folded into the remainder by a table of 256 entries.
+_CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t"
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda c, b: xor(crc.t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
+SQL_OP12 = f"""WITH RECURSIVE crc AS ({_CRC_TABLE}),
+  d AS (SELECT doc_id, coalesce('=' || lang, '-') AS g, {_leaf("text")} AS h, {_leaf(f"translate(text, '{A_Z}', '{LOW_A_Z}')")} AS low, {_CRC} % 3 = 0 AS hit FROM documents, crc),
+  leaf_0 AS (SELECT doc_id, g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n, h, CASE WHEN hit THEN low ELSE h END AS t FROM d),
+  {_tree("leaf")},
+  root AS (SELECT g AS lang, h FROM leaf WHERE n = 1),
+  folded AS (SELECT l.g AS lang, l.pos AS leaf_pos, dense_rank() OVER (ORDER BY l.g) - 1 AS pos, (SELECT count(*) FROM root) AS n, p.f, p.proof FROM leaf_0 AS l JOIN leaf_p AS p ON p.g = l.g AND p.pos = l.pos),
+  lang_0 AS (SELECT 'all' AS g, row_number() OVER (ORDER BY lang) - 1 AS pos, count(*) OVER () AS n, h, h AS t, lang FROM root),
+  {_tree("lang")},
+  whole AS (SELECT h FROM lang WHERE n = 1),
+  up AS (SELECT lang, leaf_pos, pos AS node, 0 AS lvl, f, proof FROM folded UNION ALL SELECT u.lang, leaf_pos, node >> 3, u.lvl + 1, sha256(l || f || r), proof || l || r FROM up AS u JOIN lang_s AS s ON s.lvl = u.lvl AND s.pos = u.node),
+  done AS (SELECT lang, leaf_pos, arg_max(f, lvl) AS f, arg_max(proof, lvl) AS proof FROM up GROUP BY 1, 2)
+  SELECT doc_id, l.h AS leaf, r.h AS subroot, w.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = w.h AS verified FROM leaf_0 AS l JOIN root AS r ON r.lang = l.g JOIN done AS x ON x.lang = l.g AND x.leaf_pos = l.pos, whole AS w"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express over whole tables; the others are tested in tests/llm against brute force."""
-    return {"op3_exact_topk": SQL_OP3, "op5_chat_format": SQL_OP5, "op6_secret_scan": SQL_OP6, "op7_jaccard_join": SQL_OP7, "op10_substring_dedup": SQL_OP10}
+    return {"op3_exact_topk": SQL_OP3, "op5_chat_format": SQL_OP5, "op6_secret_scan": SQL_OP6, "op7_jaccard_join": SQL_OP7, "op10_substring_dedup": SQL_OP10, "op12_merkle_manifest": SQL_OP12}
