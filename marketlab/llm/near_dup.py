@@ -371,9 +371,11 @@ def _true_links(keys: np.ndarray, tokens: list[np.ndarray], block: np.ndarray, x
 
 
 def _links(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """True edges (a, b) within groups; members: (id, key, component)."""
-    rows = docs.join(members.hint("shuffle_hash"), "id").select("key", "component", "text")
-    dealt = _dealt(materialize(rows, "members"), "component", F.octet_length("text"), GROUP_BYTES).withColumns({"x": F.col("pair.x"), "y": F.col("pair.y")})
+    """True edges (a, b) within groups; members: (id, tag, key, component)."""
+    named = docs.join(members.where("id is not null").drop("tag").hint("shuffle_hash"), "id").select("key", "component", "text")
+    # A set that only rows without an id have is found by its text, of which one row is enough.
+    nameless = docs.where("id is null").dropDuplicates(["tag"]).join(members.where("id is null").drop("id"), "tag").select("key", "component", "text")
+    dealt = _dealt(materialize(named.unionByName(nameless), "members"), "component", F.octet_length("text"), GROUP_BYTES).withColumns({"x": F.col("pair.x"), "y": F.col("pair.y")})
 
     def check(frame: pd.DataFrame) -> pd.DataFrame:
         edges = [e for _, rows in frame.groupby("component") for e in check_group(rows)]
@@ -399,20 +401,20 @@ def _links(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, tag (a hash of the text), n and component_id of every row."""
+    """id, tag (a hash of the text), n, component (a key that tells components without any id apart) and component_id of every row."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
     sets, rarity = _summaries(rows)
-    distinct = materialize(sets.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
+    distinct = materialize(sets.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.min("tag").alias("tag"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
     edges = _candidates(_postings(rows, rarity), distinct.select("key", "n", "bits"))
     groups = materialize(components(edges).withColumnRenamed("node", "key"), "groups")
-    members = distinct.select("id", "key").join(groups, "key")
+    members = distinct.select("id", "tag", "key").join(groups, "key")
     true = components(_links(rows, members))
     named = distinct.select("key", "id").join(true, distinct["key"] == true["node"], "left").withColumn("component", F.coalesce("component", "key"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    answer = named.select("key", "component").join(least, "component").select("key", "component_id")
+    answer = named.select("key", "component").join(least, "component").select("key", "component", "component_id")
     answer = materialize(answer, "answer")
     out = sets.join(answer, sets["key"] == answer["key"], "left")
-    return out.select("id", "tag", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return out.select("id", "tag", "n", "component", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -430,7 +432,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One document of each component (a row of the id that names it), and all without words, columns as they were; rows that repeat id and text go."""
     lead, tag, own = (_unused(c, docs.columns) for c in ("_lead", "_tag", "_own_tag"))
     named = _classes(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component_id")))
-    leads = named.groupBy("id", "component_id", "n").agg(F.min("tag").alias("tag")).where("n > 0").unionByName(named.where("n = 0").select("id", "component_id", "n", "tag")).select(F.col("id").alias(lead), F.col("tag").alias(tag)).distinct()
+    first = named.where("n > 0").groupBy("component").agg(F.min(F.struct("id", "tag")).alias("row")).select("row.*")
+    leads = first.unionByName(named.where("n = 0").select("id", "tag")).select(F.col("id").alias(lead), F.col("tag").alias(tag)).distinct()
     tagged = docs.withColumn(own, F.xxhash64(F.col(text_col).cast("string")))
     kept = tagged.join(leads, F.col(id_col).eqNullSafe(F.col(lead)) & (F.col(own) == F.col(tag)), "left_semi")
     return kept.dropDuplicates([id_col, own]).drop(own)

@@ -369,6 +369,22 @@ def test_near_dup_of_texts_under_one_id(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 5]
 
 
+def test_near_dup_links_over_rows_without_an_id(spark):
+    """The middle of a chain, and whole components, have no id."""
+    base = [f"w{i}" for i in range(60)]
+    left, right = ["x"] * 5 + base[5:], base[:-5] + ["y"] * 5
+    other = lambda name: " ".join(f"{name}{i}" for i in range(30))
+    rows = [(None, " ".join(base)), (1, " ".join(left)), (2, " ".join(right)), (None, " ".join(base))]
+    rows += [(None, other("p")), (None, other("q")), (None, other("q") + " more"), (None, other("q")), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {c for _, c in brute_classes(list(enumerate([" ".join(left), " ".join(base), " ".join(right)]))).values()} == {0}
+    assert {c for _, c in brute_classes([(1, " ".join(left)), (2, " ".join(right))]).values()} == {1, 2}
+    got = collections.Counter((r["doc_id"], r["component_id"]) for r in near_dup.classes(docs).collect())
+    assert got == {(None, 1): 2, (1, 1): 1, (2, 1): 1, (None, None): 5}
+    kept = [(r["doc_id"], (r["text"] or "").split(" ")[0]) for r in near_dup.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == [(1, "x"), (None, ""), (None, "p0"), (None, "q0")]
+
+
 def test_source_mix(spark, docs, texts, no_docs):
     taken, goals = source_mix.mix(docs)
     got, goal = taken.collect(), {r["source"]: r for r in goals.collect()}
