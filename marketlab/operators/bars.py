@@ -28,28 +28,39 @@ def resample_bars(bars: DataFrame, rule: str) -> DataFrame:
 
 
 def tick_bars(quotes: DataFrame, trades: DataFrame, rule: str) -> DataFrame:
-    """Bars of quote mids with traded volume by side; crossed quotes and trades before the first quote do not count."""
-    good = quotes.where("bid > 0 and ask >= bid").select("symbol", "ts", "seq", ((F.col("bid") + F.col("ask")) / 2).alias("mid"), "bid", "ask")
-    first = good.groupBy("symbol").agg(F.min("ts").alias("first_ts"))
-    done = trades.join(first, "symbol").where("ts >= first_ts").select("symbol", "ts", "seq", "qty", "buyer_is_maker")
+    """Bars of quote mids with traded volume by side and the last book.
+
+    Crossed and empty quotes do not count, nor trades before a symbol's first quote. A bar in which only trades came stays at the close and the book before it.
+    """
+    good = quotes.where("bid > 0 and ask >= bid").select("symbol", "ts", "seq", ((F.col("bid") + F.col("ask")) / 2).alias("mid"), "bid", "ask", "bid_qty", "ask_qty")
+    first = good.groupBy("symbol").agg(F.min(F.struct("ts", "seq")).alias("first"))
+    done = trades.join(first, "symbol").where(F.struct("ts", "seq") >= F.col("first")).select("symbol", "ts", "seq", "qty", "buyer_is_maker")
     both = good.unionByName(done, allowMissingColumns=True)
-    has_mid = F.col("mid").isNotNull()
-    order = F.when(has_mid, F.struct("ts", "seq"))
-    return both.groupBy("symbol", F.window("ts", rule)["start"].alias("bar")).agg(
+    order = F.when(F.col("mid").isNotNull(), F.struct("ts", "seq"))
+    traded = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
+    found = both.groupBy("symbol", F.window("ts", rule)["start"].alias("bar")).agg(
         F.min_by("mid", order).alias("open"), F.max("mid").alias("high"), F.min("mid").alias("low"), F.max_by("mid", order).alias("close"),
-        F.coalesce(F.sum("qty"), F.lit(0.0)).alias("volume"), F.coalesce(F.sum(F.when(~F.col("buyer_is_maker"), F.col("qty"))), F.lit(0.0)).alias("buy_volume"),
-        F.coalesce(F.sum(F.when(F.col("buyer_is_maker"), F.col("qty"))), F.lit(0.0)).alias("sell_volume"), F.count("qty").alias("n_trades"), F.max_by("bid", order).alias("last_bid"), F.max_by("ask", order).alias("last_ask"),
-    ).where(F.col("open").isNotNull()).withColumnRenamed("bar", "ts")
+        traded("qty").alias("volume"), traded(F.when(~F.col("buyer_is_maker"), F.col("qty"))).alias("buy_volume"), traded(F.when(F.col("buyer_is_maker"), F.col("qty"))).alias("sell_volume"), F.count("qty").alias("n_trades"),
+        *(F.max_by(of, order).alias(name) for of, name in (("bid", "last_bid"), ("ask", "last_ask"), ("bid_qty", "bid_qty"), ("ask_qty", "ask_qty"))),
+    ).withColumnRenamed("bar", "ts")
+    carried = lambda c: F.last(c, ignorenulls=True).over(W.partitionBy("symbol").orderBy("ts").rowsBetween(W.unboundedPreceding, 0))
+    close = carried("close")
+    return found.withColumns({**{c: F.coalesce(c, close) for c in ("open", "high", "low", "close")}, **{c: carried(c) for c in ("last_bid", "last_ask", "bid_qty", "ask_qty")}})
 
 
 def fill_quiet(bars: DataFrame, seconds: int, most: int = 120) -> DataFrame:
-    """Flat bars (previous close, no volume) for quiet intervals; outages of more than ``most`` bars stay open."""
+    """Flat bars (previous close and book, no volume) for quiet intervals.
+
+    Outages of more than ``most`` bars stay open; ``outages`` counts those of a symbol that lie before a bar.
+    """
     w = W.partitionBy("symbol").orderBy("ts")
-    gap = (F.unix_timestamp(F.lead("ts").over(w)) - F.unix_timestamp("ts")) / seconds - 1
-    quiet = bars.withColumn("missing", gap.cast("int")).where(F.col("missing").between(1, most))
-    flat = quiet.select("symbol", F.explode(F.sequence(F.lit(1), "missing")).alias("k"), "ts", "close")
-    flat = flat.select("symbol", F.timestamp_seconds(F.unix_timestamp("ts") + F.col("k") * seconds).alias("ts"), *(F.col("close").alias(c) for c in ("open", "high", "low", "close")), F.lit(0.0).alias("volume"))
-    return bars.select(*flat.columns).unionByName(flat)
+    missing = lambda a, b: ((F.unix_timestamp(b) - F.unix_timestamp(a)) / seconds - 1).cast("int")
+    out = F.coalesce(missing(F.lag("ts").over(w), "ts"), F.lit(0)) > most
+    known = bars.withColumns({"outages": F.sum(out.cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0)), "_missing": missing("ts", F.lead("ts").over(w))})
+    flat = known.where(F.col("_missing").between(1, most)).withColumn("_k", F.explode(F.sequence(F.lit(1), "_missing"))).withColumn("ts", F.timestamp_seconds(F.unix_timestamp("ts") + F.col("_k") * seconds))
+    zero = {c: F.lit(0).cast(t) for c, t in known.dtypes if c in ("volume", "buy_volume", "sell_volume", "taker_buy_volume", "n_trades")}
+    flat = flat.withColumns({**{c: F.col("close") for c in ("open", "high", "low")}, **zero})
+    return known.drop("_missing").unionByName(flat.drop("_missing", "_k"))
 
 
 def violations(bars: DataFrame) -> DataFrame:

@@ -33,15 +33,18 @@ def bulk_volume(bars: DataFrame, n: int = 50, least: int = 10) -> DataFrame:
     return rows.withColumn("taker_buy_volume", F.col("volume") * F.coalesce(normal_cdf(z), F.lit(0.5))).drop("_r")
 
 
-def stream_features(bars: DataFrame, interval_s: float, fast: int = 12, slow: int = 48, vol: int = 60, zscore: int = 60, flow: int = 12, momentum: int = 12, breakout: int = 24, volume: int = 60, warmup: int = 60) -> DataFrame:
-    """The feature set of the event stream, in batch: bars carry volume, buy_volume, sell_volume and the last book."""
+def stream_features(bars: DataFrame, interval_s: float, fast: int = 12, slow: int = 48, vol: int = 60, zscore: int = 60, flow: int = 12, momentum: int = 12, breakout: int = 24, volume: int = 720) -> DataFrame:
+    """The feature set of the event stream, in batch: bars carry volume, buy_volume, sell_volume and the last book; a bar is ready after the longest span but the volume's."""
+    warmup = max(slow, vol, zscore, breakout) + 1
     w = W.partitionBy("symbol").orderBy("ts")
     last = lambda n: w.rowsBetween(-(n - 1), 0)
     before = F.lag("close").over(w)
     rows = bars.withColumn("_r2", F.when(before > 0, F.pow(F.log(F.col("close") / before), 2)))
     rows = smooth(rows, {"ema_fast": ("close", 2 / (fast + 1), 1), "ema_slow": ("close", 2 / (slow + 1), 1), "_var": ("_r2", 2 / (vol + 1), 1)})
     w_var = F.last("_var", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    spread, mean = F.stddev_pop("close").over(last(zscore)), F.avg("close").over(last(zscore))
+    mean = F.avg("close").over(last(zscore))
+    # Equal closes have no spread, whatever their average is rounded to.
+    spread = F.when(F.max("close").over(last(zscore)) > F.min("close").over(last(zscore)), F.stddev_pop("close").over(last(zscore))).otherwise(0.0)
     prior = F.coalesce(F.max("high").over(w.rowsBetween(-breakout, -1)), F.col("close"))
     total = F.sum("volume").over(last(flow))
     depth, mid = F.col("bid_qty") + F.col("ask_qty"), (F.col("last_bid") + F.col("last_ask")) / 2
@@ -50,7 +53,7 @@ def stream_features(bars: DataFrame, interval_s: float, fast: int = 12, slow: in
     return rows.withColumns({
         "sigma": F.sqrt(F.coalesce("_v", zero)), "rolling_mean": mean, "zscore": F.when(spread > 0, (F.col("close") - mean) / F.nullif(spread, zero)).otherwise(0.0), "momentum": F.coalesce(F.col("close") / F.lag("close", momentum).over(w) - 1, zero),
         "prior_high": prior, "breakout": (F.col("_n") > breakout) & (F.col("close") > prior), "order_flow_imbalance": F.when(total > 0, F.sum(F.col("buy_volume") - F.col("sell_volume")).over(last(flow)) / F.nullif(total, zero)).otherwise(0.0),
-        "book_imbalance": F.when(depth > 0, (F.col("bid_qty") - F.col("ask_qty")) / F.nullif(depth, zero)).otherwise(0.0), "spread_pct": F.when(mid > 0, (F.col("last_ask") - F.col("last_bid")) / F.nullif(mid, zero)),
+        "book_imbalance": F.when(depth > 0, (F.col("bid_qty") - F.col("ask_qty")) / F.nullif(depth, zero)).otherwise(0.0), "spread_pct": F.when(mid > 0, (F.col("last_ask") - F.col("last_bid")) / F.nullif(mid, zero)).otherwise(float("inf")), "bars_seen": F.col("_n").cast("long"),
         "volume_per_second": F.sum("volume").over(last(volume)) / (F.count("*").over(last(volume)) * interval_s), "ready": (F.col("_n") >= warmup) & F.coalesce(F.col("_v") > 0, F.lit(False)),
     }).drop("_r2", "_var", "_v", "_n")
 
@@ -111,7 +114,7 @@ def shadow_trades(signals: DataFrame, quotes: DataFrame, latency_s: float = 0.25
     book = quotes.withColumn("_q", F.struct("ts", "seq", "bid", "ask"))
     entered = asof(signals.withColumn("signal_ts", c("ts")).withColumn("ts", late("ts")), book, "_q", forward=True).where("_q is not null")
     entered = entered.select("strategy", "symbol", "signal_ts", "stop_pct", "target_pct", "hold_s", c("_q.ts").alias("entry_ts"), c("_q.seq").alias("entry_seq"), c("_q.ask").alias("entry_price"))
-    until = F.unix_micros("entry_ts") + c("hold_s") * us
+    until = F.unix_micros("entry_ts") + c("hold_s").cast("long") * us
     slot = lambda x: F.floor(x / (slot_s * us))
     spread = entered.withColumn("_slot", F.explode(F.sequence(slot(F.unix_micros("entry_ts")), slot(until))))
     own = quotes.select("symbol", c("ts").alias("q_ts"), c("seq").alias("q_seq"), "bid", slot(F.unix_micros("ts")).alias("_slot"))
@@ -123,10 +126,11 @@ def shadow_trades(signals: DataFrame, quotes: DataFrame, latency_s: float = 0.25
     ended = entered.join(hit, [entered[k] == c(f"_k_{k}") for k in key], "left")
     trigger = F.coalesce(c("_h.q_ts"), F.timestamp_micros(until))
     ended = ended.select(*key, "entry_ts", "entry_price", F.coalesce(c("_h._r"), F.lit("time")).alias("reason"), late(trigger).alias("ts"))
-    filled = asof(ended, book, "_q", forward=True).where("_q is not null")
+    filled = asof(ended, book, "_q", forward=True)
     # One series a strategy and symbol: microseconds stand for bar numbers.
-    found = filled.select("symbol", c("strategy").alias("variant"), F.unix_micros("signal_ts").alias("entry_i"), "entry_ts", "entry_price", F.struct("reason", c("_q.bid").alias("price"), c("_q.ts").alias("ts"), F.unix_micros("_q.ts").alias("i")).alias("end"))
-    kept = single_position(found)
+    found = filled.select("symbol", c("strategy").alias("variant"), F.unix_micros("signal_ts").alias("entry_i"), "entry_ts", "entry_price", F.struct("reason", c("_q.bid").alias("price"), c("_q.ts").alias("ts"), F.coalesce(F.unix_micros("_q.ts"), F.lit((1 << 63) - 1)).alias("i")).alias("end"))
+    # A trade that no quote has ended yet still keeps later signals out.
+    kept = single_position(found).where("exit_ts is not null")
     return kept.select("symbol", c("variant").alias("strategy"), F.timestamp_micros("entry_i").alias("signal_ts"), "entry_ts", "entry_price", "exit_ts", "exit_price", "reason", (c("exit_price") * (1 - fee) / (c("entry_price") * (1 + fee)) - 1).alias("net_return"))
 
 

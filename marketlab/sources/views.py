@@ -34,6 +34,16 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("symbol", "ts", (F.col("price") * 0.9995).alias("bid"), size.alias("bid_qty"), (F.col("price") * 1.0005).alias("ask"), size.alias("ask_qty"), "seq")
 
 
+def rough_quotes(trades_: DataFrame) -> DataFrame:
+    """Quotes around trades, some missing, some late by a second, crossed, locked, without a bid or without any size."""
+    c, seq = F.col, F.col("seq")
+    late = F.when(seq % 5 == 0, F.expr("interval 1 second")).otherwise(F.expr("interval 0 seconds"))
+    over = F.when(seq % 11 == 0, 0.999).when(seq % 11 == 5, 0.9995).otherwise(1.0005)
+    bid = F.when(seq % 97 == 1, 0.0).otherwise(c("price") * 0.9995)
+    q = trades_.where(seq % 7 != 3)
+    return q.select("symbol", (c("ts") + late).alias("ts"), bid.alias("bid"), (seq % 10).cast("double").alias("bid_qty"), (c("price") * over).alias("ask"), (seq * 7 % 10).cast("double").alias("ask_qty"), "seq")
+
+
 def bars_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample_trades(trades(spark, sf_dir), "1 hour").withColumn("timeframe", F.lit("1h"))
 
