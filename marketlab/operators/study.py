@@ -34,7 +34,8 @@ def fold_bounds(bars: DataFrame, out_of_sample: float = 0.3, windows: int = 5, a
 def select_variant(scored: DataFrame, least: int, *keys: str) -> DataFrame:
     """The variant with the greatest t among those with ``least`` trades, the first of equal ones, the first of all where none has enough."""
     t = F.when(F.col("n") >= least, F.when((F.col("sd") == 0) & (F.col("mean") > 0), float("inf")).otherwise(F.coalesce("t", F.lit(0.0))))
-    best = F.row_number().over(W.partitionBy(*keys).orderBy(F.coalesce(t, F.lit(float("-inf"))).desc(), "idx"))
+    # Variants with the same trades tie, in whatever order their returns were summed.
+    best = F.row_number().over(W.partitionBy(*keys).orderBy(F.coalesce(F.round(t, 9), F.lit(float("-inf"))).desc(), "idx"))
     return scored.withColumns({"score": t, "_k": best}).where("_k = 1").drop("_k")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from marketlab.functions import columns
-from marketlab.operators import features, research, study, trades
+from marketlab.operators import features, panel, research, study, trades
 from marketlab.operators.scan import smooth
 from marketlab.plans import rules
 from marketlab.queries import DAY, SQL_BARS, _catalogue, _featured, full, query, shown, sql_features
@@ -85,13 +85,13 @@ SQL_STUDY = f"""{SQL_BARS}, {SQL_GRID}, n AS MATERIALIZED (SELECT *, row_number(
   td AS MATERIALIZED (SELECT sf.*, exit_price / entry_price - 1 AS gross_return, (exit_price {EFFECTIVE_SELL}) / (entry_price {EFFECTIVE_BUY}) - 1 AS net_return FROM sf JOIN wk USING (symbol, idx, fold, entry_i))"""
 
 
-def _breakout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _breakout(spark: SparkSession, sf_dir: str, bounds=study.fold_bounds) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Bars, folds and net trades of the breakout grid in every fold."""
     b = features.volume_ratio(features.extremes(smooth(features.true_range(views.bars_1d(spark, sf_dir)), {"atr": ("true_range", 1 / 14, 14)})))
     b = settled(b, "bars")
     enter, leave = rules.conditions(BREAKOUT)
     found = trades.candidates(b, rules.variant_table(spark, BREAKOUT), enter, leave)
-    folds = study.fold_bounds(b)
+    folds = bounds(b)
     kept = trades.net_returns(trades.single_position(trades.in_folds(found, folds, b)))
     return b, folds, settled(kept.withColumn("rule", F.lit("breakout")), "trades")
 
@@ -167,7 +167,7 @@ def ag7_breakout_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_WALK = """pf AS (SELECT symbol, idx, fold, count(*) AS n, avg(net_return) AS mean, avg(net_return) / (stddev_samp(net_return) / sqrt(count(*))) AS t FROM td GROUP BY 1, 2, 3),
   tn AS (SELECT z.symbol, k, g.idx, g.variant, mean, CASE WHEN n >= 5 THEN t END AS score FROM z CROSS JOIN g CROSS JOIN range(1, 6) AS r(k) LEFT JOIN pf ON pf.symbol = z.symbol AND pf.idx = g.idx AND fold = 'train_' || k),
-  bt AS (SELECT *, row_number() OVER (PARTITION BY symbol, k ORDER BY score DESC NULLS LAST, idx) AS place FROM tn),
+  bt AS (SELECT *, row_number() OVER (PARTITION BY symbol, k ORDER BY round(score, 9) DESC NULLS LAST, idx) AS place FROM tn),
   wf AS (SELECT bt.symbol, CAST(k AS INTEGER) AS k, variant AS selected, CASE WHEN score IS NULL THEN 0 ELSE bt.mean END AS is_ev, coalesce(pf.mean, 0) AS oos_ev, coalesce(pf.n, 0) AS oos_trades FROM bt LEFT JOIN pf ON pf.symbol = bt.symbol AND pf.idx = bt.idx AND fold = 'test_' || k WHERE place = 1)"""
 
 
@@ -202,3 +202,80 @@ def _study(spark: SparkSession, sf_dir: str, chosen: tuple[rules.Rule, ...]) ->
 def rs9_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every symbol with every daily rule: choice, frozen test, walk-forward, resampling, study-wide control, checks and decision (RS-6, RS-8, RS-9)."""
     return _study(spark, sf_dir, rules.DAILY)
+
+
+# Verdicts in SQL, with tails in closed form: Student's for whole degrees of freedom, Beta's for whole parameters. Resampling has no SQL.
+
+
+def _student_sql(t: str, df: str) -> str:
+    """One-sided p of t, as a finite sum of powers of the angle's cosine."""
+    c2 = f"(CAST({df} AS DOUBLE) / ({df} + ({t}) * ({t})))"
+    even = f"sqrt(1 - {c2}) * sign({t}) * list_sum(list_transform(range(0, CAST({df} // 2 AS BIGINT)), lambda j: exp(lgamma(2 * j + 1) - 2 * lgamma(j + 1) - j * ln(4) + j * ln({c2}))))"
+    odd = f"2 / pi() * (atan(({t}) / sqrt({df})) + coalesce(sqrt(1 - {c2}) * sign({t}) * sqrt({c2}) * list_sum(list_transform(range(0, CAST(({df} - 1) // 2 AS BIGINT)), lambda j: exp(j * ln(4) + 2 * lgamma(j + 1) - lgamma(2 * j + 2) + j * ln({c2})))), 0))"
+    return f"(1 - CASE WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END) / 2"
+
+
+def _p_sql(n: str = "n", mean: str = "mean", sd: str = "sd") -> str:
+    return f"CASE WHEN {n} < 2 THEN 1 WHEN {sd} = 0 THEN CASE WHEN {mean} > 0 THEN 0 ELSE 1 END ELSE {_student_sql(f'{mean} / ({sd} / sqrt({n}))', f'({n} - 1)')} END"
+
+
+#: P(Beta(1 + wins, 1 + n - wins) > x), a sum of binomial terms.
+BETA_SQL = "CASE WHEN x <= 0 THEN 1 WHEN x >= 1 THEN 0 ELSE list_sum(list_transform(range(0, CAST(wins + 1 AS BIGINT)), lambda j: exp(lgamma(n + 2) - lgamma(j + 1) - lgamma(n + 2 - j) + j * ln(x) + (n + 1 - j) * ln(1 - x)))) END"
+
+
+def _verdict_sql(trades_: str, symbols: str) -> str:
+    """CTEs from trades (symbol, idx, fold, gross_return, net_return) and the grid g to vd, a row a symbol."""
+    return f"""py AS MATERIALIZED (SELECT symbol, idx, fold, count(*) AS n, count(*) FILTER (net_return > 0) AS wins, avg(net_return) AS mean, stddev_samp(net_return) AS sd, coalesce(avg(net_return) FILTER (net_return > 0), 0) AS avg_win, coalesce(avg(-net_return) FILTER (net_return <= 0), 0) AS avg_loss, avg(gross_return) AS gross FROM {trades_} GROUP BY 1, 2, 3),
+  hy AS (SELECT s.symbol, g.idx, g.variant FROM ({symbols}) AS s CROSS JOIN g),
+  sw AS MATERIALIZED (SELECT *, {_p_sql()} AS p, CASE WHEN n >= 10 THEN CASE WHEN sd = 0 AND mean > 0 THEN 'inf'::DOUBLE ELSE coalesce(mean / nullif(sd / sqrt(n), 0), 0) END END AS score FROM (SELECT hy.*, coalesce(n, 0) AS n, mean, sd FROM hy LEFT JOIN py ON py.symbol = hy.symbol AND py.idx = hy.idx AND fold = 'is')),
+  rw AS (SELECT *, p * count(*) OVER (PARTITION BY symbol) / count(*) OVER (PARTITION BY symbol ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r1, p * count(*) OVER () / count(*) OVER (ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r2 FROM sw),
+  aj AS (SELECT *, least(1, min(r1) OVER (PARTITION BY symbol ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS p_adjusted, least(1, min(r2) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS p_global FROM rw),
+  bs AS (SELECT * FROM aj QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(score, 9) DESC NULLS LAST, idx) = 1),
+  sb AS (SELECT symbol, count(*) AS n_variants, avg(CASE WHEN mean > 0 THEN 1.0 ELSE 0 END) AS fraction_positive FROM sw GROUP BY 1),
+  tq AS (SELECT hy.symbol, k, hy.idx, hy.variant, mean, CASE WHEN n >= 5 THEN CASE WHEN sd = 0 AND mean > 0 THEN 'inf'::DOUBLE ELSE coalesce(mean / nullif(sd / sqrt(n), 0), 0) END END AS score FROM hy CROSS JOIN range(1, 6) AS r(k) LEFT JOIN py ON py.symbol = hy.symbol AND py.idx = hy.idx AND fold = 'train_' || k),
+  bq AS (SELECT * FROM tq QUALIFY row_number() OVER (PARTITION BY symbol, k ORDER BY round(score, 9) DESC NULLS LAST, idx) = 1),
+  wq AS (SELECT bq.symbol, avg(CASE WHEN score IS NULL THEN 0 ELSE bq.mean END) AS is_ev, avg(coalesce(py.mean, 0)) AS oos_ev, sum(coalesce(py.n, 0)) AS wf_trades, sum(py.mean * py.n) / nullif(sum(py.n), 0) AS wf_mean FROM bq LEFT JOIN py ON py.symbol = bq.symbol AND py.idx = bq.idx AND fold = 'test_' || k GROUP BY 1),
+  oq AS (SELECT b.symbol, coalesce(p.n, 0) AS n, coalesce(wins, 0) AS wins, p.mean, p.sd, coalesce(avg_win, 0) AS avg_win, coalesce(avg_loss, 0) AS avg_loss FROM bs AS b LEFT JOIN py AS p ON p.symbol = b.symbol AND p.idx = b.idx AND fold = 'oos'),
+  oo AS (SELECT *, {_p_sql()} AS p, {BETA_SQL} AS p_positive FROM (SELECT *, CASE WHEN avg_win + avg_loss > 0 THEN avg_loss / (avg_win + avg_loss) ELSE 1 END AS x FROM oq)),
+  vj AS (SELECT b.symbol, b.variant AS selected, n_variants, b.p AS is_p, p_adjusted, p_global, o.n AS oos_trades, o.mean AS oos_ev, o.p AS oos_p, (1 + wins) / CAST(o.n + 2 AS DOUBLE) AS p_win, f.gross AS gross_ev, f.mean AS net_ev, CASE WHEN is_ev > 0 THEN w.oos_ev / is_ev ELSE 0 END AS efficiency, wf_trades, wf_mean, fraction_positive,
+      CASE WHEN o.n = 0 OR coalesce(o.mean, 0) <= 0 THEN 0 ELSE 100 * (1 - o.p) * least(1, o.n / CAST(30 AS DOUBLE)) * CAST(0.5 AS DOUBLE) * CASE WHEN avg_loss > 0 THEN tanh(o.mean / (avg_loss + 1e-9)) ELSE 1 END * p_positive END AS edge_score
+    FROM bs AS b JOIN sb ON sb.symbol = b.symbol JOIN (SELECT symbol, n, wins, mean, p, avg_loss, p_positive FROM oo) AS o ON o.symbol = b.symbol JOIN wq AS w ON w.symbol = b.symbol LEFT JOIN (SELECT symbol AS s, idx AS i, gross, mean FROM py WHERE fold = 'full') AS f ON f.s = b.symbol AND f.i = b.idx),
+  vd AS (SELECT *, array_to_string(list_filter([CASE WHEN oos_ev > 0 THEN '' ELSE 'oos_positive_ev_after_costs' END, CASE WHEN oos_p < 0.05 THEN '' ELSE 'oos_statistically_significant' END, CASE WHEN p_adjusted <= 0.05 THEN '' ELSE 'survives_fdr_in_sample' END, CASE WHEN wf_mean > 0 THEN '' ELSE 'walk_forward_positive' END,
+    CASE WHEN oos_trades >= 30 THEN '' ELSE 'sufficient_oos_sample' END, CASE WHEN fraction_positive >= 0.5 THEN '' ELSE 'parameter_stability' END, CASE WHEN net_ev > 0 THEN '' ELSE 'edge_after_costs' END], lambda c: c <> ''), ',') AS failed FROM vj)"""
+
+
+VERDICT = ("symbol", "selected", "n_variants", "is_p", "p_adjusted", "p_global", "oos_trades", "oos_ev", "oos_p", "p_win", "gross_ev", "net_ev", "efficiency", "wf_trades", "wf_mean", "fraction_positive", "edge_score", "failed")
+SQL_VERDICT = ", ".join(c if c in ("symbol", "selected", "n_variants", "oos_trades", "failed") else f"CAST({c} AS BIGINT) AS {c}" if c == "wf_trades" else f"round({c}, 6) AS {c}" for c in VERDICT)
+
+
+def _shown_verdict(rows: DataFrame, *more: str) -> DataFrame:
+    """Without the check of drawdowns, which rests on resampling."""
+    return rounded(rows.withColumn("failed", F.array_join(F.array_remove("failed", "drawdown_within_limit"), ",")), *VERDICT, *more)
+
+
+@query(f"WITH RECURSIVE {SQL_STUDY}, {_verdict_sql('td', 'SELECT symbol FROM z')} SELECT {SQL_VERDICT} FROM vd")
+def rs8_breakout_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole research of the breakout rule on every symbol, in no known regime: choice, tests, walk-forward, stability, costs, score, failed checks."""
+    b, _, t = _breakout(spark, sf_dir)
+    nowhere = b.select("symbol").limit(0).withColumn("regime", F.lit(None).cast("string"))
+    return _shown_verdict(study.research_pairs(t.withColumn("regime", F.lit(None).cast("string")), _grid(spark, b, BREAKOUT), nowhere))
+
+
+#: Folds on the frontiers of all symbols' dates, as ranges of each symbol's rows.
+SQL_PANEL_FOLDS = """SELECT f.symbol, fold, count(*) FILTER (lo_ts IS NOT NULL AND b.ts < lo_ts) AS lo, count(*) FILTER (hi_ts IS NULL OR b.ts < hi_ts) AS hi FROM (SELECT symbol, fold, lo_ts, hi_ts FROM z CROSS JOIN sp) AS f JOIN b ON b.symbol = f.symbol GROUP BY 1, 2 HAVING count(*) FILTER (hi_ts IS NULL OR b.ts < hi_ts) - count(*) FILTER (lo_ts IS NOT NULL AND b.ts < lo_ts) >= 2"""
+SQL_SPANS = """us AS MATERIALIZED (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM b)), eg AS (SELECT k, (SELECT ts FROM us WHERE i = least(CAST(floor(k * (n / CAST(6 AS DOUBLE))) AS BIGINT), n - 1)) AS ts FROM range(1, 7) AS r(k)), fr AS (SELECT ts FROM us WHERE i = CAST(floor(n * CAST(0.7 AS DOUBLE)) AS BIGINT)),
+  sp AS (SELECT 'full' AS fold, NULL::TIMESTAMP AS lo_ts, NULL::TIMESTAMP AS hi_ts UNION ALL SELECT 'is', NULL, ts FROM fr UNION ALL SELECT 'oos', ts, NULL FROM fr UNION ALL SELECT 'train_' || k, NULL, ts FROM eg WHERE k < 6 UNION ALL SELECT 'test_' || a.k, a.ts, CASE WHEN a.k < 5 THEN b.ts END FROM eg AS a JOIN eg AS b ON b.k = a.k + 1)"""
+SQL_PANEL = SQL_STUDY.replace(f"fo AS MATERIALIZED ({SQL_FOLDS})", f"{SQL_SPANS}, fo AS MATERIALIZED ({SQL_PANEL_FOLDS})") + ", pd AS MATERIALIZED (SELECT '*' AS symbol, idx, fold, entry_ts, avg(net_return) AS net_return, avg(gross_return) AS gross_return FROM td GROUP BY idx, fold, entry_ts)"
+
+
+@query(f"WITH RECURSIVE {SQL_PANEL}, " + _verdict_sql("pd", "SELECT '*' AS symbol") + f" SELECT {SQL_VERDICT}, (SELECT count(*) FROM td WHERE fold = 'oos' AND td.variant = selected) AS n_trades_total FROM vd")
+def rs10_panel_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The breakout rule over all symbols at once: common dates split the folds, entry dates are the observations (RS-10)."""
+    b, _, t = _breakout(spark, sf_dir, panel.fold_bounds)
+    return _shown_verdict(panel.research(t, _grid(spark, b, BREAKOUT)), "n_trades_total")
+
+
+@query(f"WITH RECURSIVE {SQL_PANEL} SELECT symbol, fold, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi, CAST(hi - lo AS BIGINT) AS n_bars FROM fo")
+def rs10_panel_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every symbol between the panel's common frontiers (JN-11)."""
+    return panel.fold_bounds(views.bars_1d(spark, sf_dir))
