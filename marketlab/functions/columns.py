@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Z95 = 1.959963984540054
@@ -81,3 +81,11 @@ def calendar(seconds: int) -> dict[str, Column]:
     last = F.timestamp_seconds(F.unix_timestamp("ts") + seconds - 1)
     day = F.to_date(last)
     return {"hour_utc": F.hour("ts") + F.minute("ts") / 60, "day_of_week": F.weekday(day), "day_of_month": F.dayofmonth(day), "days_to_month_end": F.datediff(F.last_day(day), day)}
+
+
+def numeric_context(rows: DataFrame, *leave_out: str) -> Column:
+    """A map of a row's finite numbers (booleans as 0 and 1) by column name; other columns, nulls and what is left out are not in it."""
+    kinds = [(n, t) for n, t in rows.dtypes if n not in leave_out and (t in ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal"))]
+    entries = [F.struct(F.lit(n).alias("key"), (F.col(f"`{n}`").cast("int") if t == "boolean" else F.col(f"`{n}`")).cast("double").alias("value")) for n, t in kinds]
+    known = F.filter(F.array(*entries), lambda e: e["value"].isNotNull() & ~F.isnan(e["value"]) & (F.abs(e["value"]) < float("inf")))
+    return F.map_from_entries(known) if entries else F.create_map().cast("map<string,double>")

@@ -244,12 +244,12 @@ def wn15_trend_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _featured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars with all that the daily and swing rules read, but news."""
     b = features.cross_section(features.all_features(views.bars_1d(spark, sf_dir))).withColumns(columns.calendar(86400))
-    up, down = rules.crosses("ema_20", "ema_50")
-    return b.withColumns({"ema_crosses_up": up, "ema_crosses_down": down})
+    return rules.prepared(b, rules.DAILY + rules.SWING)
 
 
 def _catalogue(spark: SparkSession, bars_: DataFrame, chosen: tuple[rules.Rule, ...]) -> DataFrame:
-    """Net trades of every variant of the rules, one position a symbol and variant."""
+    """Net trades of every variant of the rules whose features are there, one position a symbol and variant."""
+    chosen = rules.runnable(chosen, bars_.columns)
     enter, leave = rules.conditions(chosen)
     found = trades.candidates(bars_, rules.variant_table(spark, chosen), enter, leave)
     return trades.net_returns(trades.single_position(found)).withColumn("rule", F.regexp_extract("variant", r"^[^\[]+", 0))
@@ -333,7 +333,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Further modules of registered queries.
-MODULES = ("marketlab.queries_books", "marketlab.queries_studies", "marketlab.queries_feeds", "marketlab.queries_streams")
+MODULES = ("marketlab.queries_books", "marketlab.queries_studies", "marketlab.queries_feeds", "marketlab.queries_streams", "marketlab.queries_rules")
 
 
 def _all() -> dict[str, tuple]:

@@ -63,8 +63,12 @@ def ss12_aggressors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks.signed_trades(views.trades(spark, sf_dir).select("symbol", "ts", "seq", "price"), late).select("symbol", "seq", "side")
 
 
-@query(f"""WITH {SQL_TRADES}, h AS (SELECT symbol, date_trunc('hour', ts) AS ts, date_trunc('hour', ts) + INTERVAL 55 MINUTE AS cut FROM tr GROUP BY 1, 2, 3), n AS (SELECT event_type AS symbol, CAST(e.ts AS TIMESTAMP) AS made, {_kind_sql('text')} = 'earnings' AS e FROM documents JOIN events e ON doc_id = event_id),
-  k AS (SELECT min(ts) AS lo, max(ts) AS hi FROM tr), c AS (SELECT h.symbol, h.ts, cut, count(*) FILTER (made > cut - INTERVAL 1 DAY) AS d, count(made) - count(*) FILTER (made > cut - INTERVAL 1 DAY) AS base, count(*) FILTER (made > cut - INTERVAL 1 DAY AND e) AS ed FROM h LEFT JOIN n ON n.symbol = h.symbol AND made <= cut AND made > cut - INTERVAL 21 DAY GROUP BY 1, 2, 3)
+#: Counts of headlines before each hourly bar ends, and what is covered.
+SQL_NEWS = f"""{SQL_TRADES}, h AS (SELECT symbol, date_trunc('hour', ts) AS ts, date_trunc('hour', ts) + INTERVAL 55 MINUTE AS cut FROM tr GROUP BY 1, 2, 3), n AS (SELECT event_type AS symbol, CAST(e.ts AS TIMESTAMP) AS made, {_kind_sql('text')} = 'earnings' AS e FROM documents JOIN events e ON doc_id = event_id),
+  k AS (SELECT min(ts) AS lo, max(ts) AS hi FROM tr), c AS (SELECT h.symbol, h.ts, cut, count(*) FILTER (made > cut - INTERVAL 1 DAY) AS d, count(made) - count(*) FILTER (made > cut - INTERVAL 1 DAY) AS base, count(*) FILTER (made > cut - INTERVAL 1 DAY AND e) AS ed FROM h LEFT JOIN n ON n.symbol = h.symbol AND made <= cut AND made > cut - INTERVAL 21 DAY GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH {SQL_NEWS}
   SELECT symbol, CAST(ts AS VARCHAR) AS bar, CASE WHEN known THEN CAST(d AS DOUBLE) END AS news_1d, CASE WHEN known THEN round(d / (base / CAST(20 AS DOUBLE) + 1), 6) END AS news_ratio, CASE WHEN known THEN CAST(ed AS DOUBLE) END AS news_earnings_1d FROM (SELECT *, cut - INTERVAL 21 DAY >= lo AND cut <= hi AS known FROM c, k)""")
 def rs15_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """News features of hourly bars, null where headlines are not covered (RS-14's join, RS-15, JN-3)."""
