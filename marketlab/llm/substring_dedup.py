@@ -159,6 +159,7 @@ def _leaves(docs: DataFrame, window: int, prefix: int) -> DataFrame:
 
 
 TREE_ROW = "key long, id long, row long, at int, span int, around binary"
+TREE_COLUMNS = ("key", "id", "row", "at", "span", "around")
 
 
 def _around(docs: DataFrame, window: int, prefix: int, depth: int) -> DataFrame:
@@ -335,16 +336,33 @@ def lost_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, de
     return out
 
 
+def _frequent_nodes(rows: DataFrame, depth: int, left: int, window: int, last: bool) -> DataFrame:
+    """repeats() of nodes at the depth of their prefix, whose suffixes (all under one key) are too many for one tree: found by aggregation.
+
+    last: nothing is known beyond this depth, so suffixes need not part here.
+    """
+    word = lambda at, n=1: F.substring("around", 8 * at + 1, 8 * n)
+    sides = [f(word(left - l, l)).alias(f"{name}{l}") for l in range(1, left + 1) for name, f in (("a", F.min), ("b", F.max))]
+    more = [] if last else [F.min(word(left + depth)).alias("low"), F.max(word(left + depth)).alias("high")]
+    g = rows.groupBy("key").agg(F.count("*").alias("suffixes"), F.min(F.struct("id", "at")).alias("first"), *more, *sides)
+    # The words before that all suffixes share: sharing more of them implies sharing fewer.
+    same = sum(((F.col(f"a{l}") == F.col(f"b{l}")) & (F.substring(f"a{l}", 1, 8) != F.lit(bytes(8)))).cast("int") for l in range(1, left + 1))
+    # Suffixes part where their next words differ, and where texts end, each by itself.
+    internal = (F.col("suffixes") > 1) & (F.lit(True) if last else (F.col("low") != F.col("high")) | (F.col("low") == F.lit(bytes(8))))
+    out = g.where(internal).withColumn("l", same).where(F.col("l") + depth >= window)
+    return out.select((F.col("l") + depth).cast("long").alias("words"), "suffixes", F.col("first.id").alias("id"), (F.col("first.at") - F.col("l")).cast("long").alias("at"))
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, depth: int = DEPTH, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Maximal repeats of at least ``window`` words, read from deep internal nodes: ``words``, ``suffixes`` below, and the least id with the word it starts at.
 
     A node knows window - PREFIX words before its suffixes and ``depth`` from them on; a longer repeat shows as the nodes of its
-    several suffixes, which overlap. Prefixes of more than ``group_rows`` suffixes have no subtree and are left out here.
+    several suffixes, which overlap. A prefix of more than ``group_rows`` suffixes has its own node found by aggregation and is extended by a
+    word, and again, until what is left below it fits memory.
     """
-    left = window - PREFIX
+    left, depth = window - PREFIX, max(depth, window)
     rows = _identified(docs, id_col, text_col).where("id is not null")
-    rows = materialize(_around(_at_places(rows, _shared(_suffixes(rows, window, PREFIX))), window, PREFIX, max(depth, window)), "suffixes", "zstd")
-    rows = rows.join(rows.groupBy(F.col("key").alias("of")).count().where(F.col("count") <= group_rows), F.col("key") == F.col("of"), "left_semi")
+    rows = materialize(_around(_at_places(rows, _shared(_suffixes(rows, window, PREFIX))), window, PREFIX, depth), "suffixes", "zstd")
 
     def run(batches):
         for group, tree in _subtrees(batches, group_rows, left):
@@ -356,7 +374,21 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             cols = list(zip(*out)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["words", "suffixes", "id", "at"])
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "words long, suffixes long, id long, at long")
+    found, known = None, PREFIX
+    while True:
+        sizes = rows.groupBy(F.col("key").alias("of")).agg((F.count("*") > group_rows).alias("frequent"))
+        rows = rows.join(sizes, F.col("key") == F.col("of"))
+        small, large = rows.where("not frequent").select(*TREE_COLUMNS), rows.where("frequent").select(*TREE_COLUMNS)
+        here = small.repartition("key").sortWithinPartitions("key").mapInArrow(run, "words long, suffixes long, id long, at long")
+        found = here if found is None else found.unionByName(here)
+        if large.isEmpty():
+            return found
+        found = found.unionByName(_frequent_nodes(large, known, left, window, known == depth))
+        if known == depth:
+            return found
+        following = F.substring("around", 8 * (left + known) + 1, 8)
+        rows = materialize(large.where(following != F.lit(bytes(8))).withColumn("key", F.xxhash64("key", following)), "extended", "zstd")
+        known += 1
 
 
 def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Added to each integer component by the contract of the query; it moves the mean and nothing else.
-SCALE, SHIFT, COMPONENTS, SWEEPS = 1024, 100000, 8, 60
+#: A constant added to every integer component would move the mean and nothing that comes out, so none is.
+SCALE, COMPONENTS, SWEEPS = 1024, 8, 60
 _EPS = np.finfo(float).eps
 _WIDE = pa.decimal128(38, 0)
 

@@ -548,3 +548,19 @@ def test_maximal_repeats(spark):
     got = {(x["words"], x["suffixes"], x["id"], x["at"]) for x in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     # A node whose suffix begins late in the passage sees fewer words before it.
     assert {(16, 2, 2, 11), (13, 4, 2, 11)} <= got and all(11 <= at and at + n <= 27 and k == (2 if n > 13 else k) for n, k, _, at in got)
+
+
+@pytest.mark.parametrize("group_rows", [8, 3, 1])
+def test_maximal_repeats_below_frequent_prefixes(spark, group_rows):
+    """Prefixes that exceed memory are extended word by word: the same nodes come out as with all of them in one tree."""
+    r = random.Random(5)
+    word = lambda: f"w{r.randrange(10**6)}"
+    shared = [word() for _ in range(22)]
+    rows = []
+    for i in range(14):
+        end = r.choice([14, 16, 18, 22])
+        rows.append((i if i % 5 else 3, " ".join([word() for _ in range(r.randrange(3))] + shared[r.choice([0, 0, 2]) : end] + [word() for _ in range(r.choice([0, 4]))])))
+    rows += [(20, " ".join(shared)), (21, " ".join(shared)), (None, " ".join(shared)), (22, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, substring_dedup.repeats(docs).collect()))
+    assert want and sorted(map(tuple, substring_dedup.repeats(docs, group_rows=group_rows).collect())) == want
