@@ -128,16 +128,32 @@ def true_range(bars: DataFrame) -> DataFrame:
     return bars.withColumn("true_range", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
 
 
-def smoothed(bars: DataFrame) -> DataFrame:
-    """Exponential averages, average true range, both RSIs and MACD."""
+def _changes(bars: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """Bars with true ranges, written once since smoothing reads its rows twice; rises and falls of the close."""
     out = true_range(bars).withColumn("_d", F.col("close") - F.lag("close").over(series()))
     up, down = F.when(F.col("_d").isNotNull(), F.greatest("_d", F.lit(0.0))), F.when(F.col("_d").isNotNull(), F.greatest(-F.col("_d"), F.lit(0.0)))
+    return settled(out, "ranges"), up, down
+
+
+def _rsi(gain: str, loss: str) -> Column:
+    g, k = F.col(gain), F.col(loss)
+    return F.when(k > 0, 100 - 100 / (1 + g / F.nullif(k, F.lit(0.0)))).when(g > 0, 100.0).when(g.isNotNull(), 50.0)
+
+
+def range_and_strength(bars: DataFrame) -> DataFrame:
+    """Average true range and the 14-bar RSI only."""
+    out, up, down = _changes(bars)
+    out = smooth(out, {"atr": ("true_range", 1 / 14, 14), "_gain_14": (up, 1 / 14, 14), "_loss_14": (down, 1 / 14, 14)})
+    return out.withColumn("rsi", _rsi("_gain_14", "_loss_14")).drop("_d", "_gain_14", "_loss_14")
+
+
+def smoothed(bars: DataFrame) -> DataFrame:
+    """Exponential averages, average true range, both RSIs and MACD."""
+    out, up, down = _changes(bars)
     inputs = {f"ema_{n}": ("close", 2 / (n + 1), n) for n in (20, 50, 200)} | {"atr": ("true_range", 1 / 14, 14), "_fast": ("close", 2 / 13, 12), "_slow": ("close", 2 / 27, 26)}
     inputs |= {f"_{side}_{n}": (x, 1 / n, n) for n in (14, 2) for side, x in (("gain", up), ("loss", down))}
-    # Smoothing reads its rows twice, so what comes before it is written once.
-    out = smooth(settled(out, "ranges"), inputs)
-    rsi = lambda g, k: F.when(k > 0, 100 - 100 / (1 + g / F.nullif(k, F.lit(0.0)))).when(g > 0, 100.0).when(g.isNotNull(), 50.0)
-    out = out.withColumns({"rsi": rsi(F.col("_gain_14"), F.col("_loss_14")), "rsi_2": rsi(F.col("_gain_2"), F.col("_loss_2")), "atr_pct": F.col("atr") / F.col("close"), "macd": F.col("_fast") - F.col("_slow")})
+    out = smooth(out, inputs)
+    out = out.withColumns({"rsi": _rsi("_gain_14", "_loss_14"), "rsi_2": _rsi("_gain_2", "_loss_2"), "atr_pct": F.col("atr") / F.col("close"), "macd": F.col("_fast") - F.col("_slow")})
     out = out.withColumns({f"dist_ema_{n}": F.col("close") / F.col(f"ema_{n}") - 1 for n in (20, 50, 200)})
     out = smooth(settled(out, "smoothed"), {"macd_signal": ("macd", 0.2, 9)}).withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
     return out.drop("_d", "_fast", "_slow", "_gain_14", "_loss_14", "_gain_2", "_loss_2")

@@ -15,6 +15,7 @@ from marketlab.operators import bars, features, joins, research, trades, validat
 from marketlab.operators.scan import smooth
 from marketlab.plans import rules
 from marketlab.sources import views
+from marketlab.sources.store import settled
 from marketlab.streaming.bars import drain, stream_bars
 
 #: The views of marketlab.sources.views in SQL.
@@ -213,7 +214,7 @@ def sc11_wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Net trades of the momentum rule's grid on daily bars."""
-    b = features.smoothed(features.averages(features.returns(views.bars_1d(spark, sf_dir)), (200,)))
+    b = settled(features.range_and_strength(features.averages(features.returns(views.bars_1d(spark, sf_dir)), (200,))), "bars")
     grid = [(f"momentum[{m},{r},{s}]", m, float(r), s, 4.0, 20) for m in (0.03, 0.05, 0.08) for r in (70, 80) for s in (2.0, 3.0)] + [("momentum", 0.05, 75.0, 2.5, 4.0, 20)]
     variants = spark.createDataFrame(grid, "variant string, mom_th double, rsi_max double, stop_atr double, target_atr double, hold int")
     enter = (F.col("momentum_20") > F.col("mom_th")) & (F.col("close") > F.col("sma_200")) & (F.col("rsi") < F.col("rsi_max"))

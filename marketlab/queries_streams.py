@@ -170,3 +170,14 @@ def ss8_stream_shadow_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from streams of quotes and signals; what is still open at their end is not among them."""
     t = views.trade_stream(spark, sf_dir)
     return _shown_trades(drain(stateful.shadow_trades(stateful.as_orders(views.rough_quotes(t).where("bid > 0 and ask >= bid"), _signals(t))), "shadow"))
+
+
+@query("""WITH f AS (SELECT l_orderkey AS position, CASE WHEN l_linenumber % 2 = 1 THEN 'buy' ELSE 'sell' END AS side, CAST(l_extendedprice / l_quantity AS DOUBLE) AS price, CAST(l_quantity AS DOUBLE) AS shown, CAST(l_quantity * (l_linenumber % 3) AS DOUBLE) AS wanted, CAST(l_tax AS DOUBLE) AS fee FROM lineitem),
+  p AS (SELECT *, CASE WHEN wanted > 0 THEN (least(shown / 2, wanted) * price + greatest(wanted - shown / 2, 0) * price * (1 + 0.002)) / wanted END AS paid FROM f), g AS (SELECT position, sum(paid * wanted) FILTER (side = 'buy') AS b, sum(paid * wanted) FILTER (side = 'sell') AS s, sum(fee) AS fees, sum(wanted) FILTER (side = 'buy') AS q FROM p GROUP BY 1)
+  SELECT position, round(b, 7) AS paid, round(s, 7) AS got, round(fees, 7) AS fees, round(q, 7) AS quantity, round(s - b - fees, 7) AS pnl, round((s - b - fees) / nullif(b, 0), 6) AS net_return FROM g WHERE b IS NOT NULL AND s IS NOT NULL""")
+def ex8_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of orders whose line items are fills, what exceeds half a line's size at a worse price (EX-7, EX-8)."""
+    c = F.col
+    f = views.table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("position"), F.when(c("l_linenumber") % 2 == 1, "buy").otherwise("sell").alias("side"), (c("l_extendedprice") / c("l_quantity")).cast("double").alias("_at"), c("l_quantity").cast("double").alias("_shown"), (c("l_quantity") * (c("l_linenumber") % 3)).cast("double").alias("quantity"), c("l_tax").cast("double").alias("fee"))
+    rows = ticks.round_trips(f.withColumn("price", ticks.fill_price(c("_shown") / 2, c("quantity"), c("_at"), 0.002)))
+    return rows.select("position", *(F.round(n, 7).alias(n) for n in ("paid", "got", "fees", "quantity", "pnl")), F.round("net_return", 6).alias("net_return"))
