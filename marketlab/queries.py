@@ -128,6 +128,19 @@ def wn21_cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(features.cross_section(views.bars_1d(spark, sf_dir)), "xs_n", "xs_rank_ret_20", "xs_rel_ret_20")
 
 
+def _rank_sql(r: str) -> str:
+    return f"CASE WHEN {r} IS NOT NULL THEN (rank() OVER (PARTITION BY ts ORDER BY {r} NULLS LAST) + (count(*) OVER (PARTITION BY ts, {r}) - 1) / 2.0) / count({r}) OVER (PARTITION BY ts) END"
+
+
+@query(f"""WITH RECURSIVE {SQL_BARS}, n AS (SELECT symbol, ts, close, row_number() OVER s AS i, close / lag(close, 5) OVER s - 1 AS r5, close / lag(close, 60) OVER s - 1 AS r60 FROM b WINDOW s AS (PARTITION BY symbol ORDER BY ts)),
+  e AS (SELECT symbol, ts, i, close AS y FROM n WHERE i = 1 UNION ALL SELECT n.symbol, n.ts, n.i, e.y * (49.0 / 51) + n.close * (2.0 / 51) FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i + 1),
+  a AS (SELECT symbol, ts, {_rank_sql("r5")} AS k5, {_rank_sql("r60")} AS k60 FROM n), p AS (SELECT n.ts, avg(CASE WHEN e.i >= 50 THEN CASE WHEN close > y THEN 1.0 ELSE 0 END END) AS breadth FROM n JOIN e ON e.symbol = n.symbol AND e.i = n.i GROUP BY 1), t AS (SELECT ts, breadth, lag(ts) OVER (ORDER BY ts) AS before FROM p)
+  SELECT b.symbol, {DAY.replace("ts", "b.ts")}, round(a.k5, 6) AS xs_rank_ret_5, round(a.k60, 6) AS xs_rank_ret_60, round(q.breadth, 6) AS xs_breadth FROM b JOIN t ON b.ts = t.ts LEFT JOIN t AS q ON q.ts = t.before LEFT JOIN a ON a.ts = t.before AND a.symbol = b.symbol""")
+def wn23_breadth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of symbols above their own average, and the other two ranks (WN-21, WN-23)."""
+    return shown(features.cross_section(views.bars_1d(spark, sf_dir)), "xs_rank_ret_5", "xs_rank_ret_60", "xs_breadth")
+
+
 @query(sql_features({"body_range_ratio": "abs(close - open) / nullif(high - low, 0)", "upper_shadow": "(high - greatest(open, close)) / nullif(high - low, 0)", "lower_shadow": "(least(open, close) - low) / nullif(high - low, 0)", "close_position": "(close - low) / nullif(high - low, 0)"}))
 def sc1_candle_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(features.candles(views.bars_1d(spark, sf_dir)), "body_range_ratio", "upper_shadow", "lower_shadow", "close_position")
