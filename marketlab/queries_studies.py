@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from marketlab.functions import columns
-from marketlab.operators import features, panel, research, study, trades
+from marketlab.operators import features, panel, research, stats, study, trades
 from marketlab.operators.scan import smooth
 from marketlab.plans import rules
 from marketlab.queries import DAY, SQL_BARS, _catalogue, _featured, full, query, shown, sql_features
+from marketlab.queries_books import _forward
 from marketlab.sources import views
+from marketlab.sources.books import SQL_RULES, SQL_TRIPS
 from marketlab.sources.store import settled
 
 BREAKOUT = tuple(r for r in rules.DAILY if r.name == "breakout")
@@ -279,3 +281,14 @@ def rs10_panel_study(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rs10_panel_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of every symbol between the panel's common frontiers (JN-11)."""
     return panel.fold_bounds(views.bars_1d(spark, sf_dir))
+
+
+@query(f"""WITH {SQL_TRIPS}, {SQL_RULES}, fw AS (SELECT rule, net_return FROM rt JOIN re ON rt.seq = re.seq WHERE book = 'shadow' QUALIFY row_number() OVER (PARTITION BY rule ORDER BY exit_ts DESC, rt.seq DESC) <= 500),
+  g AS (SELECT rule, count(*) AS n, count(*) FILTER (net_return > 0) AS wins, avg(net_return) AS mean, stddev_samp(net_return) AS sd, coalesce(avg(net_return) FILTER (net_return > 0), 0) AS avg_win, coalesce(avg(-net_return) FILTER (net_return <= 0), 0) AS avg_loss FROM fw GROUP BY 1),
+  t AS (SELECT *, {_p_sql()} AS p, {BETA_SQL} AS p_positive FROM (SELECT *, CASE WHEN avg_win + avg_loss > 0 THEN avg_loss / (avg_win + avg_loss) ELSE 1 END AS x FROM g)),
+  r AS (SELECT *, p * count(*) OVER () / count(*) OVER (ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS raw FROM t), a AS (SELECT *, least(1, min(raw) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS p_adjusted FROM r)
+  SELECT rule, n, round(wins / CAST(n AS DOUBLE), 6) AS win_rate, round(mean, 6) AS mean, round(p, 6) AS p, round(p_adjusted, 6) AS p_adjusted, round(CASE WHEN mean <= 0 THEN 0 ELSE 100 * (1 - p_adjusted) * least(1, n / CAST(30 AS DOUBLE)) * CASE WHEN avg_loss > 0 THEN tanh(mean / (avg_loss + 1e-9)) ELSE 1 END * p_positive END, 6) AS edge_score,
+    round((1 + wins) / CAST(n + 2 AS DOUBLE), 6) AS p_win, round(CASE WHEN n >= 2 THEN mean + 0.003 END, 6) AS gross_edge, round(p_positive, 6) AS p_positive FROM a""")
+def ev1_forward_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of every rule from its last 500 shadow returns, adjusted across rules."""
+    return rounded(stats.evidence(_forward(spark, sf_dir), "rule"), "rule", "n", "win_rate", "mean", "p", "p_adjusted", "edge_score", "p_win", "gross_edge", "p_positive")
