@@ -347,7 +347,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Further modules of registered queries.
-MODULES = ("marketlab.queries_books", "marketlab.queries_studies", "marketlab.queries_feeds", "marketlab.queries_streams", "marketlab.queries_rules", "marketlab.queries_landing", "marketlab.queries_desk", "marketlab.queries_sources")
+MODULES = ("marketlab.queries_books", "marketlab.queries_studies", "marketlab.queries_feeds", "marketlab.queries_streams", "marketlab.queries_rules", "marketlab.queries_landing", "marketlab.queries_desk", "marketlab.queries_sources", "marketlab.queries_cycle")
 
 
 def _all() -> dict[str, tuple]:
