@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 
 from marketlab.operators import research, stats
 from marketlab.operators.validation import benjamini_hochberg
+from marketlab.sources.store import settled
 
 #: Bars in a year by timeframe (fixed values).
 PERIODS_PER_YEAR = {"1d": 252, "1h": 252 * 7, "15m": 252 * 26, "5m": 252 * 78, "1min": 365 * 24 * 60, "5min": 365 * 24 * 12, "15min": 365 * 24 * 4}
@@ -65,22 +66,25 @@ def efficiency(windows: DataFrame, *keys: str) -> DataFrame:
     return g.select(*keys, ratio.alias("efficiency"), "wf_trades", F.try_divide("_sum", "wf_trades").alias("wf_mean"))
 
 
-def global_discovery(tests: DataFrame, q: float = 0.05) -> DataFrame:
-    """False-discovery control over every variant of every pair at once: a two-level pass.
+def global_discovery(tests: DataFrame, q: float = 0.05, *groups: str) -> DataFrame:
+    """False-discovery control over every variant of every pair at once, or of each group: a two-level pass.
 
-    Equal p-values are counted first, so what is ranked in order is a row for each distinct p, and no task sees all tests.
+    Equal p-values are counted first, so what is ranked in order is a row for each distinct p, and no task sees all tests of a group. The ranges are written once, so that a lost
+    executor cannot draw them anew.
     """
-    counts = tests.groupBy("p").agg(F.count("*").alias("m"))
-    placed = counts.repartitionByRange("p").withColumn("_part", F.spark_partition_id())
-    parts = placed.groupBy("_part").agg(F.sum("m").alias("_n"), F.min("p").alias("_low"))
-    # A row a partition: the only ordered pass over everything.
-    starts = parts.select("_part", (F.sum("_n").over(W.orderBy("_low")) - F.col("_n")).alias("_before"), F.sum("_n").over(W.partitionBy()).alias("_all"))
-    ranked = placed.join(starts, "_part").withColumn("_raw", F.col("p") * F.col("_all") / (F.col("_before") + F.sum("m").over(W.partitionBy("_part").orderBy("p"))))
-    lows = ranked.groupBy("_part").agg(F.min("_raw").alias("_least"), F.min("p").alias("_low"))
-    after = lows.select("_part", F.min("_least").over(W.orderBy(F.desc("_low")).rowsBetween(W.unboundedPreceding, -1)).alias("_later"))
-    inside = F.min("_raw").over(W.partitionBy("_part").orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0))
-    adjusted = ranked.join(after, "_part").select("p", F.least(F.lit(1.0), inside, F.coalesce("_later", F.lit(1.0))).alias("p_global"))
-    return tests.join(adjusted, "p").withColumn("global_rejected", F.col("p_global") <= q)
+    keys = list(groups)
+    counts = tests.groupBy(*keys, "p").agg(F.count("*").alias("m"))
+    placed = settled(counts.repartitionByRange(*keys, "p").withColumn("_part", F.spark_partition_id()), "ranges")
+    parts = placed.groupBy(*keys, "_part").agg(F.sum("m").alias("_n"), F.min("p").alias("_low"))
+    # A row a group and partition: the only ordered pass over everything.
+    starts = parts.select(*keys, "_part", (F.sum("_n").over(W.partitionBy(*keys).orderBy("_low")) - F.col("_n")).alias("_before"), F.sum("_n").over(W.partitionBy(*keys)).alias("_all"))
+    own = W.partitionBy(*keys, "_part")
+    ranked = placed.join(starts, [*keys, "_part"]).withColumn("_raw", F.col("p") * F.col("_all") / (F.col("_before") + F.sum("m").over(own.orderBy("p"))))
+    lows = ranked.groupBy(*keys, "_part").agg(F.min("_raw").alias("_least"), F.min("p").alias("_low"))
+    after = lows.select(*keys, "_part", F.min("_least").over(W.partitionBy(*keys).orderBy(F.desc("_low")).rowsBetween(W.unboundedPreceding, -1)).alias("_later"))
+    inside = F.min("_raw").over(own.orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0))
+    adjusted = ranked.join(after, [*keys, "_part"]).select(*keys, "p", F.least(F.lit(1.0), inside, F.coalesce("_later", F.lit(1.0))).alias("p_global"))
+    return tests.join(adjusted, [*keys, "p"]).withColumn("global_rejected", F.col("p_global") <= q)
 
 
 def sweep(trades: DataFrame, pairs: DataFrame, q: float = 0.05) -> DataFrame:

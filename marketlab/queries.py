@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlab.functions import columns
-from marketlab.operators import bars, features, joins, research, trades, validation
+from marketlab.operators import bars, features, joins, research, study, trades, validation
 from marketlab.operators.scan import smooth
 from marketlab.plans import rules
 from marketlab.sources import views
@@ -189,7 +189,8 @@ def jn3_headline_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SQL_BARS} SELECT DISTINCT symbol FROM b")
 def io3_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.bars_1d(spark, sf_dir).select("symbol").distinct()
+    """Symbols of the daily bars, from their two columns; no bar is made."""
+    return views.bar_symbols(spark, sf_dir)
 
 
 @query(f"""WITH {SQL_BARS} SELECT 'high_below_body' AS rule, symbol, {DAY} FROM b WHERE high < greatest(open, close) UNION ALL SELECT 'low_above_body', symbol, {DAY} FROM b WHERE low > least(open, close)
@@ -214,7 +215,8 @@ def rs2_purged_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
   a AS (SELECT *, least(1, min(raw) OVER (PARTITION BY family ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS adj FROM r) SELECT family, event_id, round(adj, 6) AS p_adjusted, adj <= 0.05 AS rejected FROM a""")
 def rs5_false_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     tests = views.table(spark, sf_dir, "events").select(F.col("event_type").alias("family"), "event_id", (F.col("event_id") * 7919 % 10007 / F.lit(10007.0)).alias("p"))
-    return validation.benjamini_hochberg(tests, "p", 0.05, "family").select("family", "event_id", F.round("p_adjusted", 6).alias("p_adjusted"), "rejected")
+    found = study.global_discovery(tests, 0.05, "family")
+    return found.select("family", "event_id", F.round("p_global", 6).alias("p_adjusted"), F.col("global_rejected").alias("rejected"))
 
 
 @query("""WITH g AS (SELECT event_type AS family, count(*) FILTER (WHERE value > 100) AS w, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY 1), z AS (SELECT *, 1.959963984540054 AS z, w / n AS p FROM g)

@@ -75,12 +75,12 @@ def wn28_session_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("run_id", text("ts"), *r6(f, "equity_factor", "benchmark_factor"))
 
 
-@query(f"""WITH {SQL_OPS}, b AS (SELECT *, kind IN ('reconciliation_mismatch', 'kill_switch_off') AS bad FROM oe), t AS (SELECT *, bad AND coalesce(lag(bad) OVER w, false) AS two FROM b WINDOW w AS (PARTITION BY 1 ORDER BY ts, seq)),
-  u AS (SELECT *, coalesce(lag(two) OVER (PARTITION BY 1 ORDER BY ts, seq), false) AS was FROM t) SELECT seq, CASE WHEN two THEN 'opened' ELSE 'closed' END AS change FROM u WHERE (two AND NOT was) OR (NOT bad AND was)""")
+@query(f"""WITH {SQL_OPS}, b AS (SELECT *, kind IN ('reconciliation_mismatch', 'kill_switch_off') AS bad FROM oe), t AS (SELECT *, bad AND coalesce(lag(bad) OVER w, false) AS two FROM b WINDOW w AS (PARTITION BY run_id ORDER BY ts, seq)),
+  u AS (SELECT *, coalesce(lag(two) OVER (PARTITION BY run_id ORDER BY ts, seq), false) AS was FROM t) SELECT run_id, seq, CASE WHEN two THEN 'opened' ELSE 'closed' END AS change FROM u WHERE (two AND NOT was) OR (NOT bad AND was)""")
 def wn29_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two bad samples in a row open an incident; all runs share one monitor."""
-    rows = books.ops_events(spark, sf_dir).withColumn("monitor", F.lit(1)).withColumn("bad", F.col("kind").isin("reconciliation_mismatch", "kill_switch_off"))
-    return ledger.incidents(rows, "monitor").select("seq", "change")
+    """Two bad samples of a run in a row open an incident, a good one closes it."""
+    rows = books.ops_events(spark, sf_dir).withColumn("bad", F.col("kind").isin("reconciliation_mismatch", "kill_switch_off"))
+    return ledger.incidents(rows, "run_id").select("run_id", "seq", "change")
 
 
 @query(f"""WITH {SQL_EQUITY}, l AS (SELECT *, lag(equity) OVER w AS before, max(equity) OVER w AS peak FROM eq WINDOW w AS (PARTITION BY run_id ORDER BY ts))

@@ -181,3 +181,13 @@ def ex8_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = views.table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("position"), F.when(c("l_linenumber") % 2 == 1, "buy").otherwise("sell").alias("side"), (c("l_extendedprice") / c("l_quantity")).cast("double").alias("_at"), c("l_quantity").cast("double").alias("_shown"), (c("l_quantity") * (c("l_linenumber") % 3)).cast("double").alias("quantity"), c("l_tax").cast("double").alias("fee"))
     rows = ticks.round_trips(f.withColumn("price", ticks.fill_price(c("_shown") / 2, c("quantity"), c("_at"), 0.002)))
     return rows.select("position", *(F.round(n, 7).alias(n) for n in ("paid", "got", "fees", "quantity", "pnl")), F.round("net_return", 6).alias("net_return"))
+
+
+@query(f"""WITH RECURSIVE {SQL_TRADES}, e AS MATERIALIZED (SELECT symbol AS run_id, ts, seq, price * 10 AS equity, price AS buy_hold, max(price * 10) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS peak FROM tr), f AS MATERIALIZED (SELECT run_id, ts, arg_min(row(equity, buy_hold, peak), seq) AS r FROM e GROUP BY 1, 2),
+  n AS MATERIALIZED (SELECT l.run_id, l.ts, r.ts AS then_ts FROM f AS l ASOF LEFT JOIN f AS r ON l.run_id = r.run_id AND l.ts + INTERVAL 6 HOUR <= r.ts), w AS (SELECT run_id, min(ts) AS ts FROM f GROUP BY 1 UNION ALL SELECT n.run_id, n.then_ts FROM w JOIN n ON n.run_id = w.run_id AND n.ts = w.ts WHERE n.then_ts IS NOT NULL)
+  SELECT f.run_id, CAST(epoch_us(f.ts) AS BIGINT) AS at_us, round(r[1], 6) AS equity, round(r[2], 6) AS buy_hold, round(r[3], 6) AS peak FROM f JOIN w ON w.run_id = f.run_id AND w.ts = f.ts""")
+def ss10_equity_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of each symbol's worth at most every six hours of the stream, with the peak so far."""
+    t = views.trade_stream(spark, sf_dir).select(F.col("symbol").alias("run_id"), "ts", "seq", (F.col("price") * 10).alias("equity"), F.col("price").alias("buy_hold"))
+    got = drain(stateful.equity_samples(t, 6 * HOUR), "equity")
+    return got.select("run_id", F.unix_micros("ts").alias("at_us"), *(F.round(c, 6).alias(c) for c in ("equity", "buy_hold", "peak")))

@@ -61,6 +61,11 @@ def bars_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("timeframe", F.lit("1d"))
 
 
+def bar_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symbols that have daily bars."""
+    return table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("symbol")).distinct()
+
+
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, created_at, headline (the whole text) and symbols: documents dated by the event of the same number."""
     d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "events")

@@ -385,3 +385,40 @@ def shadow_trades(orders: DataFrame, latency_s: float = 0.25, fee: float = 0.001
     found = keyed(_with_us(orders), ShadowTrades(latency_s, fee), TRADE_SCHEMA)
     times = {c: F.timestamp_micros(f"{c[:-3]}_us") for c in ("signal_ts", "entry_ts", "exit_ts")}
     return found.withColumns(times).select("symbol", "strategy", "signal_ts", "entry_ts", "entry_price", "exit_ts", "exit_price", "reason", "net_return", "late")
+
+
+# --- samples of equity
+
+
+class EquitySamples(Keyed):
+    """A run's equity at most once in so many seconds: the first sample, then each that comes at least that long after the one kept before."""
+
+    state_schema = "kept_us long, peak double, last_us long, late long"
+    order = ("us", "seq")
+
+    def __init__(self, seconds: float):
+        self.gap = int(seconds * 1_000_000)
+
+    def step(self, rows, state):
+        state = state or {"kept_us": None, "peak": None, "last_us": None, "late": 0}
+        late = rows["us"] < (-(1 << 62) if state["last_us"] is None else state["last_us"])
+        state["late"] += int(late.sum())
+        rows = rows[~late]
+        if not len(rows):
+            return pd.DataFrame(), state
+        # The peak is that of all samples, kept or not.
+        before = -math.inf if state["peak"] is None else state["peak"]
+        us, peak = rows["us"].to_numpy(), np.fmax(np.fmax.accumulate(rows["equity"].to_numpy(float)), before)
+        kept, at = [], 0 if state["kept_us"] is None else int(np.searchsorted(us, state["kept_us"] + self.gap))
+        while at < len(us):
+            kept.append(at)
+            at = int(np.searchsorted(us, us[at] + self.gap))
+        out = rows.iloc[kept][["us", "equity", "buy_hold"]].assign(peak=peak[kept], late=state["late"])
+        highest = float(peak[-1])
+        return out.reset_index(drop=True), {"kept_us": int(us[kept[-1]]) if kept else state["kept_us"], "peak": highest if math.isfinite(highest) else None, "last_us": int(us[-1]), "late": state["late"]}
+
+
+def equity_samples(equity: DataFrame, seconds: float = 5.0) -> DataFrame:
+    """run_id, ts, equity, buy_hold, peak (of all samples so far), late, of a stream of samples (run_id, ts, seq, equity, buy_hold)."""
+    rows = _with_us(equity.select(F.col("run_id").alias("symbol"), "ts", "seq", "equity", "buy_hold"))
+    return _with_ts(keyed(rows, EquitySamples(seconds), "us long, equity double, buy_hold double, peak double, late long")).withColumnRenamed("symbol", "run_id")

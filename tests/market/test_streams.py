@@ -216,3 +216,18 @@ def test_an_open_trade_keeps_later_signals_out(spark):
     q = spark.createDataFrame([("A", T0 + dt.timedelta(seconds=i), i, p, p) for i, p in enumerate([100.0, 100.0, 100.0, 90.0, 90.0])], "symbol string, ts timestamp, seq long, bid double, ask double")
     s = spark.createDataFrame([("x", "A", T0, 0.5, 0.5, 10**9), ("x", "A", T0 + dt.timedelta(seconds=1), 0.05, 0.5, 10), ("y", "A", T0 + dt.timedelta(seconds=1), 0.05, 0.5, 10)], "strategy string, symbol string, ts timestamp, stop_pct double, target_pct double, hold_s int")
     assert [r["strategy"] for r in ticks.shadow_trades(s, q, 0.0).collect()] == ["y"]
+
+
+@pytest.mark.parametrize("at", [(), (1, 7, 40)])
+def test_equity_samples(spark, tmp_path, at):
+    rng = np.random.default_rng(4)
+    rows = [("r", T0 + dt.timedelta(seconds=float(s)), k, float(v), 1.0) for k, (s, v) in enumerate(zip(np.cumsum(rng.choice([0.0, 0.5, 1.0, 4.9, 5.0, 12.0], 60)), rng.normal(100, 5, 60)))]
+    want, kept, peak = [], None, -np.inf
+    for run_, ts, _, v, b in rows:
+        peak = max(peak, v)
+        if kept is None or (ts - kept).total_seconds() >= 5:
+            kept = ts
+            want.append((run_, ts, v, b, peak))
+    old = ("r", T0 - dt.timedelta(seconds=9), 99, 1e6, 1.0)
+    got = run(spark, tmp_path, [*cut(rows, *at), [old]], stateful.equity_samples, "run_id string, ts timestamp, seq long, equity double, buy_hold double", restart_after=2 if at else None)
+    same([tuple(r)[:5] for r in got.collect()], want)

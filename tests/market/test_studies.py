@@ -52,6 +52,12 @@ def test_global_discovery_equals_one_pass(spark):
     assert len(both) == 500 and all(r.p_global == pytest.approx(r.p_adjusted) for r in both)
 
 
+def test_global_discovery_by_group(spark):
+    tests = spark.range(900).select("id", F.when(F.col("id") % 3 == 0, "a").otherwise(F.concat(F.lit("b"), F.col("id") % 50)).alias("family"), (F.pmod(F.xxhash64("id"), F.lit(389)) / 500).alias("p"))
+    both = study.global_discovery(tests, 0.05, "family").join(validation.benjamini_hochberg(tests, "p", 0.05, "family").select("id", "p_adjusted", "rejected"), "id").collect()
+    assert len(both) == 900 and all(r.p_global == pytest.approx(r.p_adjusted) and r.global_rejected == r.rejected for r in both)
+
+
 def test_monte_carlo(spark):
     rows = [("a", day(k), day(k + 1), 0.1 if k % 2 else -0.05) for k in range(40)] + [("b", day(k), day(k + 1), -0.01) for k in range(5)]
     t = spark.createDataFrame(rows, "key string, entry_ts timestamp, exit_ts timestamp, net_return double")
