@@ -66,3 +66,22 @@ def write_back(hypotheses: DataFrame, pairs: DataFrame, rules: DataFrame, top: i
     worst = failed_checks(studied, "strategy").where(F.col("place") <= top).groupBy("strategy").agg(F.array_sort(F.collect_list(F.struct("place", "check", "n"))).alias("_f"))
     named: Column = F.transform(F.coalesce("_f", F.array().cast("array<struct<place:int,check:string,n:bigint>>")), lambda f: F.struct(f["check"].alias("check"), f["n"].alias("n")))
     return out.join(worst, "strategy", "left").withColumn("failed_checks", named).drop("_f")
+
+
+def report_extract(lessons: DataFrame, runs: DataFrame, trips: DataFrame, proposals: DataFrame) -> DataFrame:
+    """What a report on the next cycle may read: part, place, name, text, n, mean, win_rate.
+
+    lesson: the 15 latest of lessons (seq, text). pair: the first 8 of the last done run of runs (seq, status, top_pairs: array of names). forward: the 20 strategies with most trips (strategy,
+    net_return; ties by name). proposal: the 20 latest of proposals (seq, name, status, claim), claims cut to 160 characters. A part without rows is absent.
+    """
+    nothing, none = F.lit(None).cast("string"), F.lit(None).cast("double")
+    shape = lambda rows, part, name, text, n=F.lit(None).cast("long"), mean=none, rate=none: rows.select(F.lit(part).alias("part"), F.col("place").cast("int").alias("place"), name.alias("name"), text.alias("text"), n.alias("n"), mean.alias("mean"), rate.alias("win_rate"))
+    # Limits first: only their few rows are numbered in one task.
+    latest = lambda rows, k, *order: rows.orderBy(*order).limit(k).withColumn("place", F.row_number().over(W.orderBy(*order)))
+    last = runs.where("status = 'done'").agg(F.max_by("top_pairs", "seq").alias("_p")).select(F.posexplode(F.slice("_p", 1, 8)).alias("_i", "name")).withColumn("place", F.col("_i") + 1)
+    by = trips.groupBy("strategy").agg(F.count("*").alias("n"), F.avg("net_return").alias("mean"), F.avg((F.col("net_return") > 0).cast("double")).alias("rate"))
+    return (
+        shape(latest(lessons, 15, F.desc("seq")), "lesson", nothing, F.col("text")).unionByName(shape(last, "pair", F.col("name"), nothing))
+        .unionByName(shape(latest(by, 20, F.desc("n"), F.col("strategy")), "forward", F.col("strategy"), nothing, F.col("n"), F.col("mean"), F.col("rate")))
+        .unionByName(shape(latest(proposals, 20, F.desc("seq")), "proposal", F.col("name"), F.concat_ws(": ", "status", F.substring("claim", 1, 160))))
+    )

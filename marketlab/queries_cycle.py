@@ -136,3 +136,22 @@ def ev10_daily_briefings(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = briefing.one_a_day(rows)
     cited = briefing.cited_headlines(briefing.kept_events(briefing.checked_events(days, shown, KINDS)), shown).groupBy("briefing").agg(F.count("*").alias("cited"))
     return days.join(cited, "briefing", "left").select(c("date").cast("string").alias("date"), "briefing", F.coalesce("cited", F.lit(0)).alias("cited"))
+
+
+# --- what a report may read
+
+@query(f"""WITH {SQL_TRIPS}, le AS (SELECT o_orderkey AS seq, o_orderpriority || ' on ' || o_orderstatus AS text FROM orders ORDER BY 1 DESC LIMIT 15), ru AS (SELECT o_custkey % 50 AS seq, o_orderpriority || ':' || o_custkey AS name FROM orders WHERE o_custkey % 50 % 3 <> 0),
+  la AS (SELECT DISTINCT name FROM ru WHERE seq = (SELECT max(seq) FROM ru) ORDER BY 1 LIMIT 8), fw AS (SELECT strategy || '/' || run_id AS strategy, count(*) AS n, avg(net_return) AS mean, avg(CAST(net_return > 0 AS INTEGER)) AS rate FROM rt WHERE book = 'shadow' GROUP BY 1 ORDER BY n DESC, 1 LIMIT 20),
+  po AS (SELECT p_partkey AS seq, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN 'tested' ELSE 'new' END AS status, repeat(p_type || ' ', 20) AS claim FROM part ORDER BY 1 DESC LIMIT 20)
+  SELECT 'lesson' AS part, CAST(row_number() OVER (ORDER BY seq DESC) AS INTEGER) AS place, CAST(NULL AS VARCHAR) AS name, text, CAST(NULL AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS win_rate FROM le UNION ALL SELECT 'pair', CAST(row_number() OVER (ORDER BY name) AS INTEGER), name, NULL, NULL, NULL, NULL FROM la
+  UNION ALL SELECT 'forward', CAST(row_number() OVER (ORDER BY n DESC, strategy) AS INTEGER), strategy, NULL, n, round(mean, 6), round(rate, 6) FROM fw UNION ALL SELECT 'proposal', CAST(row_number() OVER (ORDER BY seq DESC) AS INTEGER), name, status || ': ' || claim[1:160], NULL, NULL, NULL FROM po""")
+def ev8_report_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest lessons, best pairs of the last done run, forward evidence and earlier proposals, as a report would read them."""
+    o, p = views.table(spark, sf_dir, "orders"), views.table(spark, sf_dir, "part")
+    lessons = o.select(c("o_orderkey").alias("seq"), F.concat_ws(" on ", "o_orderpriority", "o_orderstatus").alias("text"))
+    run = c("o_custkey") % 50
+    runs = o.groupBy(run.alias("seq")).agg(F.array_sort(F.collect_set(F.concat_ws(":", "o_orderpriority", "o_custkey"))).alias("top_pairs")).withColumn("status", F.when(c("seq") % 3 == 0, "failed").otherwise("done"))
+    trips = books.round_trips(spark, sf_dir).where("book = 'shadow'").withColumn("strategy", F.concat_ws("/", "strategy", "run_id"))
+    proposals = p.select(c("p_partkey").alias("seq"), c("p_name").alias("name"), F.when(c("p_partkey") % 2 == 0, "tested").otherwise("new").alias("status"), F.repeat(F.concat("p_type", F.lit(" ")), F.lit(20)).alias("claim"))
+    got = cycle.report_extract(lessons, runs, trips, proposals)
+    return got.withColumns({"mean": F.round("mean", 6), "win_rate": F.round("win_rate", 6)})

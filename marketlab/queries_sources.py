@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketlab.operators.bars import violations
 from marketlab.queries import DAY, SQL_BARS, SQL_TRADES, query
 from marketlab.sources import bar_files, payloads, views
 from marketlab.sources.payloads import OHLCV
@@ -147,3 +148,13 @@ def io19_trading_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = views.table(spark, sf_dir, "orders").select((c("o_custkey") % 25).alias("page"), F.to_date("o_orderdate").cast("string").alias("date")).distinct()
     pages = o.groupBy("page").agg(F.to_json(F.concat(F.collect_list(F.struct("date")), F.array(F.struct(F.lit("never").alias("date"))))).alias("payload"))
     return payloads.trading_days(settled(pages.select("payload"), "calendar")).select(_text(c("day")).alias("day"), "problem")
+
+
+@query("""WITH k AS (SELECT o_orderkey AS k, o_orderstatus AS symbol, CAST(o_orderdate AS DATE) AS ts, CAST(o_totalprice AS DOUBLE) AS x FROM orders), v AS (SELECT symbol, ts, x AS open, CASE WHEN k % 17 <> 0 THEN x * (1 + (k % 3 - 1) / CAST(100 AS DOUBLE)) END AS high, x * CASE WHEN k % 7 = 0 THEN 1.005 ELSE 0.98 END AS low, CASE WHEN k % 19 = 0 THEN -x ELSE x * 0.99 END AS close, CAST(k % 5 - 1 AS DOUBLE) AS volume FROM k),
+  f AS (SELECT 'missing' AS rule, symbol, ts FROM v WHERE high IS NULL UNION ALL SELECT 'not_positive', symbol, ts FROM v WHERE least(open, high, low, close) <= 0 UNION ALL SELECT 'high_too_low', symbol, ts FROM v WHERE high < greatest(open, close, low) - 1e-9 UNION ALL SELECT 'low_too_high', symbol, ts FROM v WHERE low > least(open, close) + 1e-9
+    UNION ALL SELECT 'negative_volume', symbol, ts FROM v WHERE volume < 0 UNION ALL SELECT 'repeated_time', symbol, ts FROM (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol, ts) AS i FROM v) WHERE i > 1) SELECT rule, symbol, CAST(ts AS VARCHAR) AS day, count(*) AS n FROM f GROUP BY 1, 2, 3""")
+def io11_broken_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders taken for bars without any repair: each rule is broken by many of them."""
+    k, x = c("o_orderkey"), c("o_totalprice").cast("double")
+    rows = views.table(spark, sf_dir, "orders").select(c("o_orderstatus").alias("symbol"), c("o_orderdate").cast("timestamp").alias("ts"), x.alias("open"), F.when(k % 17 != 0, x * (1 + (k % 3 - 1) / 100)).alias("high"), (x * F.when(k % 7 == 0, 1.005).otherwise(0.98)).alias("low"), F.when(k % 19 == 0, -x).otherwise(x * 0.99).alias("close"), (k % 5 - 1).cast("double").alias("volume"))
+    return violations(rows).groupBy("rule", "symbol", F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("n"))

@@ -82,3 +82,17 @@ def test_one_a_day(spark):
     # 03:00 UTC is still the day before in New York; a briefing without a summary does not take its date.
     rows = spark.createDataFrame([(1, at(2, 14), brief()), (2, at(3, 3), brief()), (3, at(3, 6), "{}"), (4, at(3, 15), brief()), (5, at(3, 15), brief())], "briefing int, made_at timestamp, payload string")
     assert {str(r["date"]): r["briefing"] for r in briefing.one_a_day(rows).collect()} == {"2024-01-02": 1, "2024-01-03": 4}
+
+
+def test_report_extract(spark):
+    lessons = spark.createDataFrame([(k, f"l{k}") for k in range(30)], "seq long, text string")
+    runs = spark.createDataFrame([(1, "done", ["old"]), (2, "done", [f"p{k}" for k in range(12)]), (3, "failed", ["no"])], "seq long, status string, top_pairs array<string>")
+    trips = spark.createDataFrame([("b", 0.1), ("b", -0.3), ("a", 0.2), ("a", 0.0), ("c", 1.0)], "strategy string, net_return double")
+    proposals = spark.createDataFrame([(1, "x", "new", "w" * 500), (2, "y", "done", None)], "seq long, name string, status string, claim string")
+    rows = {}
+    for r in cycle.report_extract(lessons, runs, trips, proposals).orderBy("part", "place").collect():
+        rows.setdefault(r["part"], []).append(r)
+    assert [r["text"] for r in rows["lesson"]] == [f"l{k}" for k in range(29, 14, -1)] and [r["name"] for r in rows["pair"]] == [f"p{k}" for k in range(8)]
+    assert [(r["name"], r["n"], round(r["mean"], 9), r["win_rate"]) for r in rows["forward"]] == [("a", 2, 0.1, 0.5), ("b", 2, -0.1, 0.5), ("c", 1, 1.0, 1.0)]
+    assert [(r["name"], r["text"]) for r in rows["proposal"]] == [("y", "done"), ("x", "new: " + "w" * 160)]
+    assert cycle.report_extract(lessons.limit(0), runs.limit(0), trips.limit(0), proposals.limit(0)).count() == 0
