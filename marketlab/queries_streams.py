@@ -191,3 +191,10 @@ def ss10_equity_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = views.trade_stream(spark, sf_dir).select(F.col("symbol").alias("run_id"), "ts", "seq", (F.col("price") * 10).alias("equity"), F.col("price").alias("buy_hold"))
     got = drain(stateful.equity_samples(t, 6 * HOUR), "equity")
     return got.select("run_id", F.unix_micros("ts").alias("at_us"), *(F.round(c, 6).alias(c) for c in ("equity", "buy_hold", "peak")))
+
+
+@query(f"WITH {SQL_TICK_BARS} " + _sql_rounded(BAR_COLUMNS, ("n_trades",), "cb"))
+def ag2_rough_tick_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars of rough quotes and trades with all their columns: highs and lows of mids, volume by side, and the last book, carried where only trades came."""
+    t = views.trades(spark, sf_dir)
+    return _rounded(bars.tick_bars(views.rough_quotes(t), t, "1 hour"), *BAR_COLUMNS)
