@@ -15,6 +15,7 @@ from marketlab.operators import ledger, stats
 DAY_US = 86_400_000_000
 
 
+# The limits, and below the names of the ten criteria and what each asks for.
 @dataclass(frozen=True)
 class Gate:
     min_days: float = 28.0
