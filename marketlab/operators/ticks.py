@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -100,38 +104,125 @@ def bar_path(bars: DataFrame, seconds: int) -> DataFrame:
     return rows.select("symbol", F.timestamp_micros(F.unix_micros("ts") + (F.col("step") * F.lit(seconds * 250_000).cast("long"))).alias("ts"), "step", "price")
 
 
-def shadow_trades(signals: DataFrame, quotes: DataFrame, latency_s: float = 0.25, fee: float = 0.001, slot_s: int = 3600) -> DataFrame:
+#: Microseconds of a time before all others.
+NEVER = -(1 << 62)
+
+
+def advance(t: dict, us: np.ndarray, bid: np.ndarray, ask: np.ndarray, latency: int, before: tuple[int, float] | None = None) -> dict | None:
+    """Move an open trade along the quotes, in place; the finished trade, or nothing yet. before: time and bid of the first quote of the last time before these quotes."""
+    at = 0
+    if t["entry_us"] is None:
+        at = int(np.searchsorted(us, t["signal_us"] + latency))
+        if at == len(us):
+            return None
+        t |= {"entry_us": int(us[at]), "entry_price": float(ask[at])}
+        at += 1
+    if t["exit_from"] is None:
+        until = t["entry_us"] + t["hold_us"]
+        end = int(np.searchsorted(us, until, "right"))
+        stop, target = t["entry_price"] * (1 - t["stop_pct"]), t["entry_price"] * (1 + t["target_pct"])
+        step = 64
+        while at < end:
+            # Most trades end soon: look at a few quotes first, then at ever more.
+            part = bid[at : min(end, at + step)]
+            hits = np.flatnonzero((part <= stop) | (part >= target))
+            if len(hits):
+                k = at + int(hits[0])
+                t |= {"exit_from": int(us[k]) + latency, "reason": "stop" if bid[k] <= stop else "target"}
+                break
+            at, step = at + len(part), 4 * step
+        else:
+            if end == len(us):
+                return None
+            t |= {"exit_from": until + latency, "reason": "time"}
+    if before is not None and before[0] >= t["exit_from"]:
+        return t | {"exit_us": before[0], "exit_price": before[1]}
+    at = int(np.searchsorted(us, t["exit_from"]))
+    return t | {"exit_us": int(us[at]), "exit_price": float(bid[at])} if at < len(us) else None
+
+
+def one_at_a_time(t: dict | None, busy: int, signals: dict[str, np.ndarray], us: np.ndarray, bid: np.ndarray, ask: np.ndarray, latency: int, before: tuple[int, float] | None = None) -> tuple[dict | None, int, int, list[dict]]:
+    """A strategy's trades along the quotes of a symbol: the one still open, when the last one ended, how many signals are decided, and the finished ones.
+
+    signals: signal_us, rising, with stop_pct, target_pct and hold_us. One that comes while a trade is open, or as it ends, is skipped.
+    """
+    done, at = [], 0
+    while True:
+        if t is None:
+            at = max(at, int(np.searchsorted(signals["signal_us"], busy, "right")))
+            if at == len(signals["signal_us"]):
+                return None, busy, at, done
+            t = {"entry_us": None, "entry_price": None, "exit_from": None, "reason": None, **{n: v[at].item() for n, v in signals.items()}}
+            at += 1
+        ended = advance(t, us, bid, ask, latency, before)
+        if ended is None:
+            return t, busy, at, done
+        done.append(ended)
+        t, busy = None, ended["exit_us"]
+
+
+def shadow_trades(signals: DataFrame, quotes: DataFrame, latency_s: float = 0.25, fee: float = 0.001) -> DataFrame:
     """Trades of signals on quotes: in at the first ask after the latency, out at the first bid after what ends them.
 
     signals: strategy, symbol, ts, stop_pct, target_pct, hold_s. A later quote at or below the stop or at or above the target ends a
     trade, and so does ``hold_s``; the fill is the first bid the latency later. A signal is skipped while its strategy and symbol have
-    a trade open; a trade without an end is left out. Quotes meet trades in time slots, so no trade reads a symbol's whole history.
+    a trade open; a trade without an end is left out. Signals and quotes of a symbol stream by in order of time, each once; a task holds a batch of them
+    and each strategy's open trade, however long trades are held and however dense quotes are.
     """
-    from marketlab.operators.trades import single_position
-
     c, us = F.col, 1_000_000
-    late = lambda col: F.timestamp_micros(F.unix_micros(col) + int(latency_s * us))
-    book = quotes.withColumn("_q", F.struct("ts", "seq", "bid", "ask"))
-    entered = asof(signals.withColumn("signal_ts", c("ts")).withColumn("ts", late("ts")), book, "_q", forward=True).where("_q is not null")
-    entered = entered.select("strategy", "symbol", "signal_ts", "stop_pct", "target_pct", "hold_s", c("_q.ts").alias("entry_ts"), c("_q.seq").alias("entry_seq"), c("_q.ask").alias("entry_price"))
-    until = F.unix_micros("entry_ts") + c("hold_s").cast("long") * us
-    slot = lambda x: F.floor(x / (slot_s * us))
-    spread = entered.withColumn("_slot", F.explode(F.sequence(slot(F.unix_micros("entry_ts")), slot(until))))
-    own = quotes.select("symbol", c("ts").alias("q_ts"), c("seq").alias("q_seq"), "bid", slot(F.unix_micros("ts")).alias("_slot"))
-    after = (c("q_ts") > c("entry_ts")) | ((c("q_ts") == c("entry_ts")) & (c("q_seq") > c("entry_seq")))
-    pairs = spread.join(own, ["symbol", "_slot"]).where(after & (F.unix_micros("q_ts") <= until))
-    reason = F.when(c("bid") <= c("entry_price") * (1 - c("stop_pct")), "stop").when(c("bid") >= c("entry_price") * (1 + c("target_pct")), "target")
-    key = ["strategy", "symbol", "signal_ts"]
-    hit = pairs.withColumn("_r", reason).where("_r is not null").groupBy(*key).agg(F.min(F.struct("q_ts", "q_seq", "_r")).alias("_h")).withColumnsRenamed({k: f"_k_{k}" for k in key})
-    ended = entered.join(hit, [entered[k] == c(f"_k_{k}") for k in key], "left")
-    trigger = F.coalesce(c("_h.q_ts"), F.timestamp_micros(until))
-    ended = ended.select(*key, "entry_ts", "entry_price", F.coalesce(c("_h._r"), F.lit("time")).alias("reason"), late(trigger).alias("ts"))
-    filled = asof(ended, book, "_q", forward=True)
-    # One series a strategy and symbol: microseconds stand for bar numbers.
-    found = filled.select("symbol", c("strategy").alias("variant"), F.unix_micros("signal_ts").alias("entry_i"), "entry_ts", "entry_price", F.struct("reason", c("_q.bid").alias("price"), c("_q.ts").alias("ts"), F.coalesce(F.unix_micros("_q.ts"), F.lit((1 << 63) - 1)).alias("i")).alias("end"))
-    # A trade that no quote has ended yet still keeps later signals out.
-    kept = single_position(found).where("exit_ts is not null")
-    return kept.select("symbol", c("variant").alias("strategy"), F.timestamp_micros("entry_i").alias("signal_ts"), "entry_ts", "entry_price", "exit_ts", "exit_price", "reason", (c("exit_price") * (1 - fee) / (c("entry_price") * (1 + fee)) - 1).alias("net_return"))
+    latency = int(latency_s * us)
+    none = F.lit(None).cast("double")
+    # At equal times signals go first: all quotes that may fill one come after it.
+    book = quotes.select("symbol", F.unix_micros("ts").alias("us"), c("seq").cast("long").alias("seq"), c("bid").cast("double").alias("bid"), c("ask").cast("double").alias("ask"), F.lit(None).cast("string").alias("strategy"), none.alias("stop_pct"), none.alias("target_pct"), F.lit(None).cast("long").alias("hold_us"))
+    asked = signals.where("strategy is not null").select("symbol", F.unix_micros("ts").alias("us"), F.lit(NEVER).cast("long").alias("seq"), none.alias("bid"), none.alias("ask"), "strategy", c("stop_pct").cast("double").alias("stop_pct"), c("target_pct").cast("double").alias("target_pct"), (c("hold_s").cast("long") * us).alias("hold_us"))
+    columns = "symbol string, strategy string, signal_us long, entry_us long, entry_price double, exit_us long, exit_price double, reason string"
+    names = [p.strip().split(" ")[0] for p in columns.split(",")]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.string()]
+    numbers = {"signal_us": "us", "stop_pct": "stop_pct", "target_pct": "target_pct", "hold_us": "hold_us"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol, open_, busy, waiting, before = None, {}, {}, {}, None
+        for batch in batches:
+            done: list[dict] = []
+            v = {n: batch.column(n).fill_null(0).to_numpy(zero_copy_only=False) for n in ("us", "bid", "ask", "stop_pct", "target_pct", "hold_us")}
+            owner, strategy = batch.column("symbol").dictionary_encode(), batch.column("strategy").dictionary_encode()
+            codes, code = owner.indices.fill_null(-1).to_numpy(zero_copy_only=False), strategy.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)] if len(codes) else [0]
+            for lo, hi in zip(edges, edges[1:]):
+                own = owner.dictionary[int(codes[lo])].as_py() if codes[lo] >= 0 else None
+                if own != symbol:
+                    symbol, open_, busy, waiting, before = own, {}, {}, {}, None
+                if own is None:
+                    continue
+                kind = code[lo:hi]
+                quoted = kind < 0
+                at, bid, ask = (v[n][lo:hi][quoted] for n in ("us", "bid", "ask"))
+                new = {strategy.dictionary[int(k)].as_py(): kind == k for k in np.unique(kind[~quoted])}
+                now = int(at[-1]) if len(at) else before[0] if before else NEVER
+                for s in {**open_, **new}:
+                    queue = {n: v[of][lo:hi][new.get(s, slice(0))] for n, of in numbers.items()}
+                    if s in waiting:
+                        queue = {n: np.concatenate([waiting[s][n], q]) for n, q in queue.items()}
+                    trade, busy[s], decided, ended = one_at_a_time(open_.pop(s, None), busy.get(s, NEVER), queue, at, bid, ask, latency, before)
+                    waiting.pop(s, None)
+                    if trade:
+                        open_[s] = trade
+                        # The next quote may show that this trade had ended by now: then the first signal since is due, and keeps out the others before that quote.
+                        k = max(decided, int(np.searchsorted(queue["signal_us"], now, "right")))
+                        if k < len(queue["signal_us"]):
+                            waiting[s] = {n: q[k : k + 1] for n, q in queue.items()}
+                    done += [{"symbol": symbol, "strategy": s} | e for e in ended]
+                if len(at):
+                    first = int(np.searchsorted(at, at[-1]))
+                    if first or before is None or before[0] != at[-1]:
+                        before = (int(at[first]), float(bid[first]))
+            yield pa.RecordBatch.from_arrays([pa.array([d[n] for d in done], k) for n, k in zip(names, kinds)], names=names)
+
+    order = ["symbol", "us", "seq", "strategy", "stop_pct", "target_pct", "hold_us"]
+    rows = book.unionByName(asked).repartition("symbol").sortWithinPartitions(*order).select("symbol", "us", "bid", "ask", "strategy", "stop_pct", "target_pct", "hold_us")
+    found = rows.mapInArrow(run, columns)
+    times = {n: F.timestamp_micros(f"{n[:-3]}_us") for n in ("signal_ts", "entry_ts", "exit_ts")}
+    return found.withColumns(times).select("symbol", "strategy", "signal_ts", "entry_ts", "entry_price", "exit_ts", "exit_price", "reason", (c("exit_price") * (1 - fee) / (c("entry_price") * (1 + fee)) - 1).alias("net_return"))
 
 
 def fill_price(shown: Column, wanted: Column, price: Column, impact: float) -> Column:

@@ -76,3 +76,50 @@ def test_shadow_trades(spark):
     s = spark.createDataFrame([("x", "A", T0, 0.05, 0.02, 5), ("x", "A", T0 + dt.timedelta(seconds=2), 0.05, 0.5, 50), ("x", "A", T0 + dt.timedelta(seconds=4), 0.05, 0.5, 3)], "strategy string, symbol string, ts timestamp, stop_pct double, target_pct double, hold_s int")
     got = ticks.shadow_trades(s, q, latency_s=0.0, fee=0.0).orderBy("entry_ts").collect()
     assert [(r["entry_price"], r["exit_price"], r["reason"]) for r in got] == [(100.05, 102.95, "target"), (99.05, 89.95, "stop")]
+
+
+def test_shadow_trades_across_batches(spark):
+    """Trades go on from one batch of rows to the next, also at equal times, and the batches' size changes nothing."""
+    r = np.random.default_rng(3)
+    at = np.sort(r.integers(0, 120, 400)) * 250_000
+    quotes = [("AB"[i % 2], T0 + dt.timedelta(microseconds=int(u)), i, float(p), float(p) + 0.1) for i, (u, p) in enumerate(zip(at, r.uniform(95, 105, 400)))]
+    signals = sorted({(str(r.choice(["x", "y"])), "AB"[int(r.integers(2))], T0 + dt.timedelta(microseconds=int(u)), 0.03, 0.04, int(r.choice([0, 1, 60]))) for u in r.integers(0, 120, 90) * 250_000}, key=lambda s: s[:3])
+    signals = list({s[:3]: s for s in signals}.values())
+    q, s = spark.createDataFrame(quotes, "symbol string, ts timestamp, seq long, bid double, ask double"), spark.createDataFrame(signals, "strategy string, symbol string, ts timestamp, stop_pct double, target_pct double, hold_s int")
+
+    def plain(latency):
+        """Each signal looks at every quote."""
+        out, lag = [], dt.timedelta(seconds=latency)
+        for strategy, symbol in sorted({x[:2] for x in signals}):
+            until, own = dt.datetime.min, [x for x in quotes if x[0] == symbol]
+            for _, _, ts, stop, target, hold in (x for x in signals if x[:2] == (strategy, symbol)):
+                entry = next((x for x in own if x[1] >= ts + lag), None)
+                if ts <= until.replace(tzinfo=ts.tzinfo) or entry is None:
+                    continue
+                end = entry[1] + dt.timedelta(seconds=hold)
+                hit = next((x for x in own if x[2] > entry[2] and x[1] <= end and (x[3] <= entry[4] * (1 - stop) or x[3] >= entry[4] * (1 + target))), None)
+                exit_ = next((x for x in own if x[1] >= (hit[1] if hit else end) + lag), None)
+                until = exit_[1] if exit_ else dt.datetime.max
+                if exit_:
+                    out.append((symbol, strategy, ts, entry[1], entry[4], exit_[1], exit_[3]))
+        return sorted(out)
+
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            for latency in (0.0, 0.5):
+                got = ticks.shadow_trades(s, q, latency).select("symbol", "strategy", "signal_ts", "entry_ts", "entry_price", "exit_ts", "exit_price").collect()
+                naive = lambda t: t.replace(tzinfo=T0.tzinfo)
+                assert sorted((r[0], r[1], naive(r[2]), naive(r[3]), r[4], naive(r[5]), r[6]) for r in got) == plain(latency) and len(got) > 15
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+
+
+def test_shadow_trades_read_dense_quotes_once(spark):
+    """Long holds over many quotes make no row a pair of them: only quotes and signals are shuffled."""
+    n = 1500
+    t = spark.range(n).select(F.lit("A").alias("symbol"), F.timestamp_seconds(F.col("id")).alias("ts"), F.col("id").alias("seq"), F.lit(100.0).alias("bid"), F.lit(100.1).alias("ask"))
+    s = t.select(F.lit("x").alias("strategy"), "symbol", "ts", F.lit(0.5).alias("stop_pct"), F.lit(0.5).alias("target_pct"), F.lit(10**6).alias("hold_s"))
+    plan = ticks.shadow_trades(s, t)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
