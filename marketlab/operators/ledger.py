@@ -34,12 +34,22 @@ def weekly_pnl(trips: DataFrame, now: Column, weeks: int = 4) -> DataFrame:
 
 
 def losing_streaks(trips: DataFrame, *keys: str, order: tuple[str, ...] = ("exit_ts", "seq")) -> DataFrame:
-    """Adds ``consecutive_losses``: trips without profit in a row, up to and with this one."""
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    island = F.sum((F.col("pnl") > 0).cast("long")).over(w)
-    rows = trips.withColumn("_island", island)
-    inside = W.partitionBy(*keys, "_island").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("consecutive_losses", F.sum((F.col("pnl") <= 0).cast("long")).over(inside)).drop("_island")
+    """Adds ``consecutive_losses``: trips without profit in a row, up to and with this one.
+
+    Trips are counted by day of the first of ``order``, a time; what a day leaves open is carried on by a row a day, so that no task holds all trips of a key.
+    """
+    rows = trips.withColumn("_day", F.to_date(order[0]))
+    inside = lambda *more: W.partitionBy(*keys, "_day", *more).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    lost = F.when(F.col("pnl") <= 0, 1).otherwise(0).cast("long")
+    rows = rows.withColumn("_wins", F.sum(F.when(F.col("pnl") > 0, 1).otherwise(0)).over(inside()))
+    days = rows.groupBy(*keys, "_day", "_wins").agg(F.sum(lost).alias("_n")).groupBy(*keys, "_day").agg(F.max_by("_n", "_wins").alias("_n"), (F.max("_wins") > 0).cast("int").alias("_won"))
+    by_day = lambda *more: W.partitionBy(*keys, *more).orderBy("_day")
+    days = days.withColumn("_island", F.sum("_won").over(by_day())).withColumn("_n", F.sum("_n").over(by_day("_island"))).withColumn("_carried", F.coalesce(F.lag("_n").over(by_day()), F.lit(0)))
+    days = days.select(*(F.col(k).alias(f"_of_{k}") for k in (*keys, "_day")), "_carried")
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in (*keys, "_day")]
+    streak = F.sum(lost).over(inside("_wins"))
+    found = rows.withColumn("_streak", streak).join(days, same, "left")
+    return found.withColumn("consecutive_losses", F.col("_streak") + F.when(F.col("_wins") == 0, F.col("_carried")).otherwise(0)).select(*trips.columns, "consecutive_losses")
 
 
 def equity_state(equity: DataFrame, *keys: str) -> DataFrame:

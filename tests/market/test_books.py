@@ -123,3 +123,18 @@ def test_shadow_trades_read_dense_quotes_once(spark):
     s = t.select(F.lit("x").alias("strategy"), "symbol", "ts", F.lit(0.5).alias("stop_pct"), F.lit(0.5).alias("target_pct"), F.lit(10**6).alias("hold_s"))
     plan = ticks.shadow_trades(s, t)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Generate" not in plan
+
+
+def test_losing_streaks_go_on_from_day_to_day(spark):
+    r = np.random.default_rng(4)
+    rows = [("ab"[i % 2] if i % 11 else None, T0 + dt.timedelta(hours=5 * (i // 3)), i, float(r.choice([-1.0, 0.0, 1.0], p=[0.6, 0.2, 0.2])) if i % 13 else None) for i in range(200)]
+    frame = spark.createDataFrame(rows, "run_id string, exit_ts timestamp, seq long, pnl double")
+    want, now = {}, {}
+    for run_id, _, seq, pnl in rows:
+        now[run_id] = 0 if pnl is not None and pnl > 0 else now.get(run_id, 0) + (pnl is not None)
+        want[seq] = now[run_id]
+    got = ledger.losing_streaks(frame, "run_id")
+    assert {x["seq"]: x["consecutive_losses"] for x in got.collect()} == want and max(want.values()) > 8
+    # No task holds all trips of a run: they are dealt out by run and day.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert all("_day" in line for line in plan.splitlines() if "Window" in line and "pnl" in line)
