@@ -111,3 +111,9 @@ def test_numeric_context(spark):
     row = spark.createDataFrame([(1, 2.5, True, "x", float("nan"), float("inf"), None, 9.0)], "i int, d double, b boolean, s string, n double, inf double, none double, out double")
     assert row.select(numeric_context(row, "out").alias("c")).first()["c"] == {"i": 1.0, "d": 2.5, "b": 1.0}
     assert row.select("s").select(numeric_context(row.select("s")).alias("c")).first()["c"] == {}
+
+
+def test_proposals_of_one_file_are_checked_by_many_tasks(spark):
+    frame = spark.createDataFrame([(i, json.dumps(GOOD)) for i in range(200)], "id int, payload string").coalesce(1)
+    done = proposals.validate(frame, {"rsi"}, ("1d",))
+    assert done.select(F.spark_partition_id()).distinct().count() > 4 and done.where("reason is null").count() == 200
