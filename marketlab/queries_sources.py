@@ -67,9 +67,14 @@ def io5_vendor_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("symbol", F.to_date("ts").cast("string").alias("day"), *_six(*OHLCV), "problem")
 
 
+#: An exchange's answer holds at most so many rows; a busy day has more pages.
+PAGE = 1000
+
+
 def _by_day(rows: DataFrame, part: Column) -> DataFrame:
-    """A payload a symbol and day: the list of its parts in order of number."""
-    return rows.groupBy("symbol", F.unix_date(F.to_date("ts")).cast("long").alias("day")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", part.alias("part")))), lambda s: s["part"]).alias("parts")).withColumnRenamed("day", "seq")
+    """Payloads of a symbol and day, one for each PAGE numbers: the list of its parts in order of number. Pages count up with the numbers."""
+    page = F.floor(F.col("seq") / PAGE)
+    return rows.groupBy("symbol", F.to_date("ts").alias("day"), page.alias("page")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", part.alias("part")))), lambda s: s["part"]).alias("parts")).select("symbol", F.col("page").alias("seq"), "parts")
 
 
 SQL_HOURS = SQL_TRADES + ", h AS (SELECT *, date_trunc('hour', ts) AS hour_ts FROM tr)"
@@ -79,7 +84,7 @@ SQL_HOURS = SQL_TRADES + ", h AS (SELECT *, date_trunc('hour', ts) AS hour_ts FR
   w AS (SELECT symbol, hour_ts, seq, open, greatest(high, open, close) AS high, least(low, open, close) AS low, close, coalesce(volume, 0) AS volume, CASE WHEN open IS NULL OR close <= 0 THEN 'no price' END AS problem FROM q)
   SELECT symbol, CAST(epoch_us(hour_ts) AS BIGINT) AS at_us, {SQL_OHLCV}, problem FROM (SELECT * FROM w WHERE problem IS NOT NULL UNION ALL SELECT * FROM (SELECT * FROM w WHERE problem IS NULL QUALIFY row_number() OVER (PARTITION BY symbol, hour_ts ORDER BY seq DESC) = 1))""")
 def io6_chart_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trades as charts of parallel arrays, one a symbol and day, with repeated hours, nulls and zeros."""
+    """Trades as charts of parallel arrays, pages of a symbol and day, with repeated hours, nulls and zeros."""
     seq, price = c("seq"), c("price")
     bar = F.struct(F.unix_timestamp(F.date_trunc("hour", "ts")).alias("t"), F.when(seq % 13 != 0, price).alias("open"), (price * (1 + (seq % 3 - 1) / 100)).alias("high"), (price * 0.98).alias("low"), F.when(seq % 17 == 0, 0.0).otherwise(price * 0.99).alias("close"), F.when(seq % 5 != 0, c("qty")).alias("volume"))
     listed = _by_day(views.trades(spark, sf_dir), bar)
@@ -92,7 +97,7 @@ def io6_chart_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SQL_HOURS}, q AS (SELECT symbol, epoch_ms(hour_ts) AS open_ms, seq, price AS open, price * 1.01 AS high, price * 0.98 AS low, CASE WHEN seq % 13 <> 0 THEN price * 0.99 END AS close, qty AS volume, qty / 2 AS taker_buy_volume FROM h)
   SELECT symbol, CAST(open_ms AS BIGINT) AS open_ms, {SQL_OHLCV}, round(taker_buy_volume, 6) AS taker_buy_volume, CASE WHEN close IS NULL THEN 'malformed row' END AS problem FROM q QUALIFY close IS NULL OR row_number() OVER (PARTITION BY symbol, open_ms, close IS NULL ORDER BY seq) = 1""")
 def io8_klines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trades as rows of arrays, one payload a symbol and day; the first of an hour stays, and closes that are no numbers are told."""
+    """Trades as rows of arrays, pages of a symbol and day; the first of an hour stays, and closes that are no numbers are told."""
     price, text = c("price"), _text
     row = F.array(text(F.unix_millis(F.date_trunc("hour", "ts"))), text(price), text(price * 1.01), text(price * 0.98), F.when(c("seq") % 13 == 0, "?").otherwise(text(price * 0.99)), text(c("qty")), F.lit("0"), F.lit("0"), F.lit("0"), text(c("qty") / 2), F.lit("0"), F.lit("0"))
     got = payloads.klines(settled(_by_day(views.trades(spark, sf_dir), row).select("symbol", "seq", F.to_json("parts").alias("payload")), "klines"))

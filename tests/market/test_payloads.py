@@ -126,3 +126,11 @@ def test_csv(spark, tmp_path):
     rows = bar_files.read_csv(spark, str(tmp_path / "*.csv")).cache()
     assert told(rows, "symbol", "timeframe") == {("BTC", "1h", "ok"): 1, ("BTC", "1h", "no number"): 1, ("A_B", "1d", "ok"): 1, ("A_B", "1d", "no time"): 2, ("bare", "1d", "no header"): 1}
     assert {tuple(r) for r in payloads.fine(rows).collect()} == {("BTC", "1h", dt.datetime(2024, 1, 2, 1), 1.0, 2.0, 0.5, 1.5, 10.0), ("A_B", "1d", T0, 1.0, 2.0, 0.5, 1.5, 7.0)}
+
+
+def test_a_dense_day_comes_in_pages(spark):
+    from marketlab import queries_sources
+
+    t = spark.range(3500).select(F.lit("A").alias("symbol"), F.lit(T0).cast("timestamp").alias("ts"), F.col("id").alias("seq"))
+    pages = queries_sources._by_day(t, F.col("seq").cast("string")).orderBy("seq").collect()
+    assert [len(p["parts"]) for p in pages] == [1000, 1000, 1000, 500] and [x for p in pages for x in p["parts"]] == [str(i) for i in range(3500)]
