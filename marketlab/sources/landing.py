@@ -130,7 +130,8 @@ def order_state(log: DataFrame) -> DataFrame:
     log: run_id, order_id, ts, seq, kind, symbol, side, quantity, status, price, fee.
     """
     last = lambda kind, *cols: F.max_by(F.when(F.col("kind") == kind, F.struct(*cols)), F.when(F.col("kind") == kind, F.struct("ts", "seq")))
-    g = log.groupBy("run_id", "order_id").agg(last("order", "symbol", "side", "quantity", "status").alias("o"), last("fill", "price", "ts", "fee").alias("f")).where("o is not null")
+    # Dealt out by order before anything is sorted: sorts for partial results of whole files would take a task's memory.
+    g = log.repartition("run_id", "order_id").groupBy("run_id", "order_id").agg(last("order", "symbol", "side", "quantity", "status").alias("o"), last("fill", "price", "ts", "fee").alias("f")).where("o is not null")
     filled = F.col("f").isNotNull()
     return g.select("run_id", "order_id", "o.symbol", "o.side", "o.quantity", F.when(filled, "FILLED").otherwise(F.col("o.status")).alias("status"), F.col("f.price").alias("fill_price"), F.col("f.ts").alias("fill_ts"), F.col("f.fee").alias("fee"))
 

@@ -112,3 +112,9 @@ def test_fingerprints(spark):
 @pytest.mark.parametrize("name", ["headlines", "days"])
 def test_nothing_landed_yet(spark, tmp_path, name):
     assert landing.known_days(spark, str(tmp_path / name)).count() == 0 and landing.covered(spark, str(tmp_path / name)) is None
+
+
+def test_order_state_deals_orders_out_before_it_sorts(spark):
+    plan = landing.order_state(spark.createDataFrame([], LOG))._jdf.queryExecution()
+    steps = [line for line in plan.sparkPlan().toString().splitlines() if "Aggregate" in line or "Repartition" in line or "Exchange" in line or "RebalancePartitions" in line]
+    assert "Aggregate" in steps[0] and "run_id" in steps[-1] and "Aggregate" not in steps[-1]
