@@ -49,8 +49,10 @@ def examples(trips: DataFrame, cfg: Config = Config()) -> DataFrame:
 
     trips: strategy, exit_ts, seq, net_return, context (map of name to value); trips without a context or return are left out.
     """
-    order = W.partitionBy("strategy").orderBy(F.desc("exit_ts"), F.desc("seq"))
-    own = trips.where("context is not null and net_return is not null").withColumn("_back", F.row_number().over(order)).where(F.col("_back") <= cfg.most)
+    back = lambda *keys: F.row_number().over(W.partitionBy("strategy", *keys).orderBy(F.desc("exit_ts"), F.desc("seq")))
+    # The last of each share of a strategy's trades first, so that no task sorts all of them.
+    own = trips.where("context is not null and net_return is not null").withColumn("_share", F.pmod(F.xxhash64("exit_ts", "seq"), F.lit(64))).withColumn("_back", back("_share")).where(F.col("_back") <= cfg.most)
+    own = own.withColumn("_back", back()).where(F.col("_back") <= cfg.most)
     own = own.withColumn("i", F.count("*").over(W.partitionBy("strategy")) - F.col("_back")).select("strategy", "i", "net_return", "context")
     values = own.select("strategy", F.explode("context").alias("name", "value")).where(~F.col("name").rlike(LEVELS))
     medians = values.groupBy("strategy", "name").agg(F.coalesce(F.median(_finite(F.col("value"))), F.lit(0.0)).alias("median"))
@@ -145,9 +147,10 @@ def filtered(signals: DataFrame, learned: DataFrame) -> DataFrame:
 
     Missing features count as 0. A model that does not match its digest raises an error.
     """
-    known = learned.where("accepted").select("strategy", *MODEL, "digest")
-    rows = signals.join(known, "strategy")
-    x = F.transform("features", lambda f: F.coalesce(_finite(F.try_element_at("context", f)), F.lit(0.0)))
     checked = F.when(digest(*MODEL) == F.col("digest"), F.col("trees")).otherwise(F.raise_error(F.lit("a model does not match its digest")).cast(f"array<{boosting.TREE}>"))
-    scored = rows.withColumns({"p_win": boosting.probability(F.col("base"), checked, x), "strategy": F.concat("strategy", F.lit("~meta"))})
+    # A model a strategy: each is checked once, and sent to where the signals lie.
+    known = learned.where("accepted").select("strategy", "features", "threshold", "base", checked.alias("trees"))
+    rows = signals.join(F.broadcast(known), "strategy")
+    x = F.transform("features", lambda f: F.coalesce(_finite(F.try_element_at("context", f)), F.lit(0.0)))
+    scored = rows.withColumns({"p_win": boosting.probability(F.col("base"), F.col("trees"), x), "strategy": F.concat("strategy", F.lit("~meta"))})
     return scored.where("p_win >= threshold").select(*signals.columns, "p_win")

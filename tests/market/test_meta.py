@@ -96,3 +96,15 @@ def test_scan_takes_the_first_of_equal_thresholds(spark):
     (r,) = meta.scan(spark.createDataFrame(rows, "strategy string, net_return double, p double")).collect()
     assert (r["threshold"], r["kept"], r["kept_fraction"], r["ev_all"], r["ev_kept"], r["p_value"]) == (0.45, 30, 0.5, pytest.approx(0.0), pytest.approx(0.01), 0.0)
     assert pd.isna(meta.scan(spark.createDataFrame(rows[:5], "strategy string, net_return double, p double")).first()["threshold"])
+
+
+def test_a_model_is_checked_once_and_sent_to_the_signals(spark, learned):
+    """Signals of one strategy are not gathered in one task, and no signal hashes its model."""
+    signals = spark.createDataFrame([(1, "good", {"flow": 0.9})], "id int, strategy string, context map<string,double>")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = meta.filtered(signals, learned)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "SortMergeJoin" not in plan.split("BroadcastExchange")[0] and "raise_error" not in plan.split("BroadcastExchange")[0] and "BroadcastHashJoin" in plan
