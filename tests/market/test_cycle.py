@@ -49,6 +49,17 @@ def test_confirm(spark):
     assert got["up"]["win_rate"] == 1.0 and got["pooled"]["win_rate"] == 0.5 and got["silent"]["mean_net_return"] == 0.0
 
 
+def test_confirm_meets_quotes_and_signals_in_one_pass(spark):
+    """However long trades are held, quotes and signals are shuffled once each and never joined: the only joins are with the candidates."""
+    quotes = spark.range(2000).select(F.lit("A").alias("symbol"), F.timestamp_seconds(F.col("id")).alias("ts"), F.col("id").alias("seq"), F.lit(100.0).alias("bid"), F.lit(100.1).alias("ask"))
+    signals = quotes.select(F.lit("x").alias("strategy"), "symbol", "ts", F.lit(0.5).alias("stop_pct"), F.lit(0.5).alias("target_pct"), F.when(F.col("seq") < 1000, 500).otherwise(10**6).alias("hold_s"))
+    candidates = spark.createDataFrame([("x", dt.datetime(1970, 1, 1))], "strategy string, oos_start timestamp")
+    got = cycle.confirm(candidates, signals, quotes)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Join ") == 2 and plan.count("RepartitionByExpression") == 1
+    assert [r["n_trades"] for r in got.collect()] == [2]
+
+
 def brief(**more):
     return json.dumps({"market_summary": "calm", **more})
 
