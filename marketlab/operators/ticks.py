@@ -173,8 +173,9 @@ def shadow_trades(signals: DataFrame, quotes: DataFrame, latency_s: float = 0.25
     latency = int(latency_s * us)
     none = F.lit(None).cast("double")
     # At equal times signals go first: all quotes that may fill one come after it.
-    book = quotes.select("symbol", F.unix_micros("ts").alias("us"), c("seq").cast("long").alias("seq"), c("bid").cast("double").alias("bid"), c("ask").cast("double").alias("ask"), F.lit(None).cast("string").alias("strategy"), none.alias("stop_pct"), none.alias("target_pct"), F.lit(None).cast("long").alias("hold_us"))
-    asked = signals.where("strategy is not null").select("symbol", F.unix_micros("ts").alias("us"), F.lit(NEVER).cast("long").alias("seq"), none.alias("bid"), none.alias("ask"), "strategy", c("stop_pct").cast("double").alias("stop_pct"), c("target_pct").cast("double").alias("target_pct"), (c("hold_s").cast("long") * us).alias("hold_us"))
+    # What differs from quote to quote stands together, before what quotes leave empty and what repeats: so the rows shuffled compress best.
+    book = quotes.select(c("seq").cast("long").alias("seq"), c("bid").cast("double").alias("bid"), c("ask").cast("double").alias("ask"), F.unix_micros("ts").alias("us"), none.alias("stop_pct"), none.alias("target_pct"), F.lit(None).cast("long").alias("hold_us"), F.lit(None).cast("string").alias("strategy"), "symbol")
+    asked = signals.where("strategy is not null").select(F.lit(NEVER).cast("long").alias("seq"), none.alias("bid"), none.alias("ask"), F.unix_micros("ts").alias("us"), c("stop_pct").cast("double").alias("stop_pct"), c("target_pct").cast("double").alias("target_pct"), (c("hold_s").cast("long") * us).alias("hold_us"), "strategy", "symbol")
     columns = "symbol string, strategy string, signal_us long, entry_us long, entry_price double, exit_us long, exit_price double, reason string"
     names = [p.strip().split(" ")[0] for p in columns.split(",")]
     kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.string()]

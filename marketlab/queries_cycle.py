@@ -66,7 +66,7 @@ def rs12_confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = views.trades(spark, sf_dir)
     day = lambda n: dt.datetime(2024, 1, n, tzinfo=dt.timezone.utc)
     candidates = spark.createDataFrame([("quick", day(10)), ("slow", day(20)), ("silent", day(1))], "strategy string, oos_start timestamp")
-    got = cycle.confirm(candidates, _signals(t).distinct(), views.rough_quotes(t).where("bid > 0 and ask >= bid"))
+    got = cycle.confirm(candidates, _signals(t), views.rough_quotes(t).where("bid > 0 and ask >= bid"))
     return got.select("strategy", "n_trades", F.round("mean_net_return", 6).alias("mean_net_return"), F.round("win_rate", 6).alias("win_rate"), "passed")
 
 

@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from marketlab import queries_cycle
 from marketlab.operators import briefing, cycle
 
 T0 = dt.datetime(2024, 1, 2, 12)
@@ -60,6 +61,47 @@ def test_confirm_meets_quotes_and_signals_in_one_pass(spark):
     assert [r["n_trades"] for r in got.collect()] == [2]
 
 
+def test_confirm_sends_only_quotes_that_may_fill(spark, monkeypatch):
+    """Quotes from before any candidate with signals may trade stay out of the shuffle, whatever a silent candidate's start; trades are the same."""
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    quotes = spark.createDataFrame([("A", at(k), k, 100.0 + k % 7, 100.1 + k % 7) for k in range(200)] + [("A", None, 200, 1.0, 1.1)], "symbol string, ts timestamp, seq long, bid double, ask double")
+    signals = spark.createDataFrame([(s, "A", at(k), 0.02, 0.03, 20) for s in ("late", "later", "other") for k in range(0, 200, 5)], "strategy string, symbol string, ts timestamp, stop_pct double, target_pct double, hold_s long")
+    candidates = spark.createDataFrame([("late", at(120)), ("later", at(150)), ("silent", at(0))], "strategy string, oos_start timestamp")
+    traded, sent = cycle.ticks.shadow_trades, []
+    monkeypatch.setattr(cycle.ticks, "shadow_trades", lambda s, q, *more: sent.append(q) or traded(s, q, *more))
+    got = cycle.confirm(candidates, signals, quotes)
+    assert sorted(r["seq"] for r in sent[0].collect()) == list(range(120, 200))
+    whole = traded(signals.where((F.col("strategy") == "late") & (F.col("ts") >= F.lit(at(120))) | (F.col("strategy") == "later") & (F.col("ts") >= F.lit(at(150)))), quotes.where("ts is not null"), 0.25, 0.001)
+    want = {r["strategy"]: (r["n"], r["m"]) for r in whole.groupBy("strategy").agg(F.count("*").alias("n"), F.avg("net_return").alias("m")).collect()}
+    assert {r["strategy"]: (r["n_trades"], pytest.approx(r["mean_net_return"])) for r in got.collect()} == want | {"silent": (0, 0.0)} and want["late"][0] > 5
+    # Without any candidate that has signals there is no first start, and no trade.
+    assert [r["n_trades"] for r in cycle.confirm(candidates.where("strategy = 'silent'"), signals, quotes).collect()] == [0]
+
+
+def test_confirm_trades_repeated_signals_once(spark):
+    """Signals need no shuffle of their own that makes them distinct."""
+    at = lambda s: T0 + dt.timedelta(milliseconds=250 * s)
+    quotes = spark.createDataFrame([("A", at(k // 2 * 2), k, 100.0 + k * k % 11, 100.1 + k * k % 11) for k in range(120)], "symbol string, ts timestamp, seq long, bid double, ask double")
+    signals = spark.createDataFrame([(s, "A", at(k), 0.02, 0.03, 3) for s in "xy" for k in range(0, 130, 3 if s == "x" else 7)], "strategy string, symbol string, ts timestamp, stop_pct double, target_pct double, hold_s long")
+    candidates = spark.createDataFrame([("x", at(0)), ("y", at(20))], "strategy string, oos_start timestamp")
+    shown = lambda s, latency: sorted(tuple(r) for r in cycle.confirm(candidates, s, quotes, 5, latency).collect())
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "3", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            for latency in (0.0, 0.25):
+                assert shown(signals.union(signals).union(signals.where("strategy = 'x'")), latency) == shown(signals, latency) and shown(signals, latency)[0][1] > 5
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+
+
+def test_confirmation_shuffles_quotes_and_signals_only_together(spark, tmp_path):
+    spark.createDataFrame([(k, T0 + dt.timedelta(seconds=k), k, "A", float(k), '{"k": 1}') for k in range(8)], "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    plan = queries_cycle.rs12_confirmation(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan()
+    # The two aggregates of trades by strategy and of starts by strategy hold a few rows a task; none is by the time of signals.
+    assert "Aggregate [strategy" in plan.toString() and not [line for line in plan.toString().splitlines() if "Aggregate [" in line and "ts#" in line.split("]")[0]]
+
+
 def brief(**more):
     return json.dumps({"market_summary": "calm", **more})
 
