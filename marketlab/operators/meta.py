@@ -4,8 +4,8 @@ Every trade has the features of its decision (a map) and its net return. A class
 purged folds: a trade is scored by a model that saw neither it nor its neighbours. If the trades above some chance would have had a positive,
 better and significant mean, the strategy gets a filtered version of itself, which begins as a challenger.
 
-Groups are a strategy's last ``most`` trades, a documented bound, and each fold of a strategy is fitted in a task of its own; scores, the scan of
-thresholds, verdicts and the filter are plain Columns over trees that are rows of a table.
+All of a strategy's trades are learned from, unless ``most`` asks for the last ones alone, and each fold of a strategy is fitted in a task of its own;
+scores, the scan of thresholds, verdicts and the filter are plain Columns over trees that are rows of a table.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ LEVELS = r"^(ts|bars_seen|open|high|low|close|volume|ema_fast|ema_slow|rolling_m
 @dataclass(frozen=True)
 class Config:
     least: int = 60
-    most: int = 5000
+    most: int | None = None
     folds: int = 5
     embargo: int = 2
     thresholds: tuple[float, ...] = (0.45, 0.5, 0.55, 0.6, 0.65)
@@ -50,9 +50,12 @@ def examples(trips: DataFrame, cfg: Config = Config()) -> DataFrame:
     trips: strategy, exit_ts, seq, net_return, context (map of name to value); trips without a context or return are left out.
     """
     back = lambda *keys: F.row_number().over(W.partitionBy("strategy", *keys).orderBy(F.desc("exit_ts"), F.desc("seq")))
-    # The last of each share of a strategy's trades first, so that no task sorts all of them.
-    own = trips.where("context is not null and net_return is not null").withColumn("_share", F.pmod(F.xxhash64("exit_ts", "seq"), F.lit(64))).withColumn("_back", back("_share")).where(F.col("_back") <= cfg.most)
-    own = own.withColumn("_back", back()).where(F.col("_back") <= cfg.most)
+    own = trips.where("context is not null and net_return is not null")
+    if cfg.most is not None:  # the last of each share of a strategy's trades first, so that no task sorts all of them
+        own = own.withColumn("_share", F.pmod(F.xxhash64("exit_ts", "seq"), F.lit(64))).withColumn("_back", back("_share")).where(F.col("_back") <= cfg.most)
+    own = own.withColumn("_back", back())
+    if cfg.most is not None:
+        own = own.where(F.col("_back") <= cfg.most)
     own = own.withColumn("i", F.count("*").over(W.partitionBy("strategy")) - F.col("_back")).select("strategy", "i", "net_return", "context")
     values = own.select("strategy", F.explode("context").alias("name", "value")).where(~F.col("name").rlike(LEVELS))
     medians = values.groupBy("strategy", "name").agg(F.coalesce(F.median(_finite(F.col("value"))), F.lit(0.0)).alias("median"))

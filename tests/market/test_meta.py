@@ -108,3 +108,14 @@ def test_a_model_is_checked_once_and_sent_to_the_signals(spark, learned):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert "SortMergeJoin" not in plan.split("BroadcastExchange")[0] and "raise_error" not in plan.split("BroadcastExchange")[0] and "BroadcastHashJoin" in plan
+
+
+def test_a_strategy_learns_from_all_its_trades(spark):
+    """Over 5000 trades, the first half of which turns on ``early``: what was cut off before is counted and learned."""
+    r = np.random.default_rng(5)
+    early, late = r.uniform(-1, 1, 6000), r.uniform(-1, 1, 6000)
+    wins = np.where(np.arange(6000) < 900, early > 0, late > 0.95)
+    rows = [("s", T0 + dt.timedelta(hours=i // 3), i, 0.01 if w else -0.01, {"early": float(a) if i < 900 else -2.0, "late": float(b)}) for i, (a, b, w) in enumerate(zip(early, late, wins.tolist()))]
+    (got,) = meta.learn(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    assert got["n_trades"] == 6000 and got["importance"][0]["name"] == "early" and got["ev_all"] == pytest.approx(0.01 * (2 * wins.mean() - 1))
+    assert meta.examples(spark.createDataFrame(rows, SCHEMA)).where("i < 900 and x[0] > -2").count() == 900
