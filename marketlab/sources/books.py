@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -10,14 +10,15 @@ from marketlab.operators import desk
 from marketlab.sources.views import table
 
 
-def round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq, strategy, symbol, book, run_id, entry_ts, exit_ts, net_return, pnl: a trip for each order."""
+def round_trips(spark: SparkSession, sf_dir: str, **also: Column) -> DataFrame:
+    """seq, strategy, symbol, book, run_id, entry_ts, exit_ts, net_return, pnl: a trip for each order; also: further columns, of the order's own."""
     o = table(spark, sf_dir, "orders")
     at = F.col("o_orderdate").cast("timestamp")
     net = (F.round(F.col("o_totalprice") * 100).cast("long") % 2001 - 990) / 10000
     return o.select(
         F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("strategy"), F.col("o_orderstatus").alias("symbol"), F.when(F.col("o_orderkey") % 2 == 0, "paper").otherwise("shadow").alias("book"), F.concat(F.lit("run"), F.col("o_custkey") % 3).alias("run_id"),
         at.alias("entry_ts"), F.timestamp_seconds(F.unix_timestamp(at) + (F.col("o_orderkey") % 7 + 1) * 3600).alias("exit_ts"), net.alias("net_return"), (net * 1000).alias("pnl"),
+        *(c.alias(n) for n, c in also.items()),
     )
 
 

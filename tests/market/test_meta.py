@@ -119,3 +119,43 @@ def test_a_strategy_learns_from_all_its_trades(spark):
     (got,) = meta.learn(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
     assert got["n_trades"] == 6000 and got["importance"][0]["name"] == "early" and got["ev_all"] == pytest.approx(0.01 * (2 * wins.mean() - 1))
     assert meta.examples(spark.createDataFrame(rows, SCHEMA)).where("i < 900 and x[0] > -2").count() == 900
+
+
+def _many(spark, n=3000):
+    r = np.random.default_rng(8)
+    rows = [("s" if i % 3 else "t", T0 + dt.timedelta(hours=i // 50), (i * 7919) % n, float(r.normal()), {"a": float(r.integers(0, 5)), "b": float(r.normal()), "c": 0.0 if i % 2 else -0.0}) for i in range(n)]
+    return rows, spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+
+def test_trades_are_put_in_order_by_ranges(spark):
+    rows, frame = _many(spark)
+    got = [(r["strategy"], r["i"], r["n"], r["net_return"]) for r in meta.examples(frame).collect()]
+    want = []
+    for s in "st":
+        own = sorted((x[1:3], x[3]) for x in rows if x[0] == s)
+        want += [(s, i, len(own), r) for i, (_, r) in enumerate(own)]
+    assert sorted(got) == sorted(want)
+
+
+def test_limits_of_bins_are_the_quantiles_of_the_training_trades(spark):
+    rows = meta.examples(_many(spark)[1]).cache()
+    held, cfg = rows.collect(), meta.Config()
+    for r in meta._limits(rows, cfg).collect():
+        own = [x for x in held if x["strategy"] == r["strategy"]]
+        lo, hi = len(own) * r["k"] // 5 - 2, len(own) * (r["k"] + 1) // 5 + 2
+        x = np.array([v["x"] for v in own if r["k"] < 0 or not lo <= v["i"] < hi])
+        assert [list(np.unique(np.quantile(c, np.linspace(0, 1, boosting.BINS + 1)[1:-1]))) for c in x.T] == r["limits"]
+    assert meta._limits(rows, cfg).count() == 12
+
+
+def test_equal_examples_are_fitted_as_one(spark):
+    """A hundred million of them, given by number, take no more than their cells."""
+    codes, counts = np.array([[0, 0], [0, 1], [1, 0], [1, 1]], np.uint8), np.array([[30, 20], [25, 25], [10, 40], [5, 45]]) * 500_000
+    base, trees, gain = boosting.fit_cells(codes, counts, [np.array([0.5]), np.array([0.5])], 3)
+    x = np.array([[0.0, 0.0], [0.0, 1.0], [1.0, 0.0], [1.0, 1.0]])
+    p = boosting.scored(base, [np.array(c) for c in zip(*(t[:6] for t in trees))], np.array([t[6] for t in trees]), x)
+    assert np.allclose(p, [0.4, 0.5, 0.8, 0.9], atol=0.01) and gain[0] > 0.8
+    wide = np.random.default_rng(1).integers(0, 2, (500, 14)).astype(np.uint8)
+    y = (np.arange(500) % 3 == 0).astype(float)
+    found, number = boosting.cells(wide, y)
+    assert np.array_equal(found, np.unique(wide, axis=0)) and number.sum(0).tolist() == [500 - y.sum(), y.sum()]
