@@ -10,8 +10,9 @@ positions: from block to block go the scores of the last positions that a piece
 position's best last piece, from which a second fold reads the path backwards; so the work stays in proportion
 to the length. Characters without a piece become their UTF-8 bytes.
 
-Texts then look their units up. The unit table is broadcast only in shards of at most ``shard_bytes``; with
-several shards each pass encodes the units of one, and a row's parts are put in order again.
+Texts then look their units up. The unit table is broadcast in shards of at most ``shard_bytes``. A task holds the
+texts of CHUNK_BYTES and its distinct units, and with several shards opens one after another for each such chunk, so
+neither rows nor ids are ever shuffled or read again.
 
 The best path maximises the sum of the scores in the model file, as for a unigram model. For a model whose
 scores are merge ranks that path is not always the one that replaying merges would give; decoding is
@@ -34,7 +35,7 @@ from marketlab.llm._store import materialize
 from marketlab.llm._text import _BYTE, _P, _Q, U64, _pow, mix, slices
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
-MARK, UNIT_CHARS, SHARD_BYTES, SEEN, SLICE, HASH_BITS = "▁", 64, 96 << 20, 1 << 20, 1 << 18, 22
+MARK, UNIT_CHARS, SHARD_BYTES, CHUNK_BYTES, SEEN, SLICE, HASH_BITS = "▁", 64, 96 << 20, 48 << 20, 1 << 20, 1 << 18, 22
 #: Units of one lattice task: their edges are grouped by hashing, in memory.
 LATTICE_UNITS = 6000
 #: Characters of long units in one such task, or one unit if that is longer.
@@ -286,9 +287,9 @@ def _shard_of(key, shards: int):
     return F.pmod(F.shiftright(key, 8), F.lit(shards))
 
 
-def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_col: str = "ids", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """The same rows and columns, and the ids of the text's pieces in column ``ids_col``."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("number"), F.col(f"`{text_col}`").cast("string").alias("text"))
+def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_col: str = "ids", shard_bytes: int = SHARD_BYTES, decoded_col: str | None = None) -> DataFrame:
+    """The same rows and columns, and the ids of the text's pieces in column ``ids_col``; in column ``decoded_col``, if one is named, what decode() makes of these ids."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     spark = docs.sparkSession
     setting = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = spark.conf.get(setting)
@@ -301,64 +302,94 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_col: str
     shards = -(-size // shard_bytes) or 1
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(pieces)
-    parts = None
+    units = []
     for k in range(shards):
         arrow = table.where(_shard_of(F.col("key"), shards) == k).toArrow()
         keys = arrow.column("key").to_numpy().view(np.uint64)
         order = np.argsort(keys, kind="stable")
         lists = arrow.column("ids").combine_chunks().take(pa.array(order))
         flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int16 if pieces.size <= 1 << 15 else np.int32)
-        units = keys[order], _narrow(lists.value_lengths().to_numpy(zero_copy_only=False)), flat
-        part = rows.drop("text").mapInArrow(_encoder(shared, context.broadcast(units), docs.columns.index(text_col), shards > 1), _encoded_schema(rows, shards > 1))
-        del arrow, lists, units, keys, order, flat
-        parts = part if parts is None else parts.union(part)
-    if shards > 1:
-        # Parts of a row by the place of their units; the row itself rides with the first shard's part.
-        joined = parts.groupBy("number").agg(F.first("row", ignorenulls=True).alias("row"), F.sort_array(F.flatten(F.collect_list("parts"))).alias("parts"))
-        parts = joined.select("row", F.when(F.col(f"row.`{text_col}`").isNotNull(), F.flatten(F.transform("parts", lambda p: p["ids"]))).alias("ids"))
-    return parts.select(*(F.col(f"row.`{c}`") for c in docs.columns if c != ids_col), F.col("ids").alias(ids_col))
-
-
-def _encoded_schema(rows: DataFrame, partial: bool) -> T.StructType:
-    ids = T.ArrayType(T.IntegerType())
-    if partial:
-        return T.StructType([T.StructField("number", T.LongType()), rows.schema["row"], T.StructField("parts", T.ArrayType(T.StructType([T.StructField("place", T.IntegerType()), T.StructField("ids", ids)])))])
-    return T.StructType([rows.schema["row"], T.StructField("ids", ids)])
-
-
-def _encoder(shared, units, text_at: int, partial: bool):
+        units.append(context.broadcast((keys[order], _narrow(lists.value_lengths().to_numpy(zero_copy_only=False)), flat)))
+        del arrow, lists, keys, order, flat
+    run, fields = _encoder(shared, units, docs.columns.index(text_col)), [rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    if decoded_col is not None:
+        encoded, decoded = run, _decoder(shared, 1, "decoded")
+        run, fields = lambda batches: decoded(encoded(batches)), [*fields, T.StructField("decoded", T.StringType())]
+    out = rows.drop("text").mapInArrow(run, T.StructType(fields))
+    added = {ids_col: "ids"} | ({decoded_col: "decoded"} if decoded_col is not None else {})
+    return out.select(*(F.col(f"row.`{c}`") for c in docs.columns if c not in added), *(F.col(c).alias(name) for name, c in added.items()))
+
+
+def _opened(shards: list):
+    """Iterates (find, starts, lengths, ids) of broadcast shards; of several only one is in memory at a time, a single one stays."""
+
+    def table(shard):
+        keys, lengths, flat = shard.value
+        return _Directory(keys), np.cumsum(lengths, dtype=np.int64) - lengths, lengths, flat
+
+    if len(shards) == 1:
+        single = table(shards[0])
+        return lambda: iter([single])
+
+    def each():
+        for shard in shards:
+            yield table(shard)
+            vars(shard).pop("_value", None)  # a broadcast keeps what it has read
+
+    return each
+
+
+def _looked_up(keys: np.ndarray, opened) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, number, ids): of each of the sorted keys the ids are ids[start : start + number]."""
+    number, todo, found = np.zeros(len(keys), np.int64), np.arange(len(keys)), []
+    for find, starts, lengths, flat in opened():
+        at = find(keys[todo])
+        mine = np.flatnonzero(at >= 0)
+        place, at = todo[mine], at[mine]
+        number[place] = lengths[at]
+        found.append((place, gather(flat, starts[at], number[place])))
+        todo = np.delete(todo, mine)
+        del find, starts, lengths, flat
+    if len(todo):
+        raise RuntimeError("a unit of the text is not in the table of units")
+    start = np.cumsum(number) - number
+    ids = np.zeros(int(number.sum()), np.int32)
+    for place, own in found:
+        to = np.cumsum(number[place])
+        ids[np.repeat(start[place] - to + number[place], number[place]) + np.arange(len(own))] = own
+    return start, number, ids
+
+
+def _encoder(shared, shards: list, text_at: int):
     def run(batches):
-        cutter = Cutter(shared.value)
-        keys, lengths, flat = units.value
-        starts = np.concatenate([[0], np.cumsum(lengths, dtype=np.int32)])
-        find = _Directory(keys)
+        cutter, opened = Cutter(shared.value), _opened(shards)
+
+        def encoded(chunk):  # (rows, missing, units of each row, keys of the slice's units, which of them each unit is)
+            keys = np.unique(np.concatenate([own for _, _, _, own, _ in chunk]))
+            start, number, flat = _looked_up(keys, opened)
+            for row, missing, units, own, which in chunk:
+                at = np.searchsorted(keys, own)[which]
+                size = number[at]
+                ids = gather(flat, start[at], size)
+                edges = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(units)])].astype(np.int32)
+                offsets = pa.array(edges, mask=np.append(missing.to_numpy(zero_copy_only=False), False)) if missing.true_count else pa.array(edges)
+                yield pa.RecordBatch.from_arrays([row, pa.ListArray.from_arrays(offsets, pa.array(ids))], ["row", "ids"])
+
+        chunk, held = [], 0
         for batch in batches:
-            row, number = batch.column("row"), batch.column("number")
+            row = batch.column("row")
             text = row.field(text_at)
             missing = text.is_null()
             for lo, hi, data, off in slices(text, SLICE):
-                m = hi - lo
-                _, start, _, doc, key = cutter.units(data, off)
-                at = find(key)
-                if not partial and (at < 0).any():
-                    raise RuntimeError("a unit of the text is not in the table of units")
-                if partial:
-                    mine = at >= 0
-                    place = (np.arange(len(doc)) - np.searchsorted(doc, np.arange(m))[doc])[mine]
-                    doc, at = doc[mine], at[mine]
-                from_ = starts[at].astype(np.int64)
-                size = lengths[at].astype(np.int64)
-                ids = gather(flat, from_, size).astype(np.int32)
-                if partial:
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(ids))
-                    pairs = pa.StructArray.from_arrays([pa.array(place.astype(np.int32)), lists], ["place", "ids"])
-                    own = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(m + 1)).astype(np.int32)), pairs)
-                    yield pa.RecordBatch.from_arrays([number.slice(lo, m), row.slice(lo, m), own], ["number", "row", "parts"])
-                    continue
-                edges = np.concatenate([[0], np.cumsum(np.bincount(doc, size, m).astype(np.int64))]).astype(np.int32)
-                null = missing.slice(lo, m)
-                offsets = pa.array(edges, mask=np.append(null.to_numpy(zero_copy_only=False), False)) if null.true_count else pa.array(edges)
-                yield pa.RecordBatch.from_arrays([row.slice(lo, m), pa.ListArray.from_arrays(offsets, pa.array(ids))], ["row", "ids"])
+                _, _, _, doc, key = cutter.units(data, off)
+                own, which = np.unique(key, return_inverse=True)
+                chunk.append((row.slice(lo, hi - lo), missing.slice(lo, hi - lo), np.bincount(doc, minlength=hi - lo), own, which.astype(np.int32)))
+                held += len(data)
+                if len(shards) == 1 or held >= CHUNK_BYTES:
+                    yield from encoded(chunk)
+                    chunk, held = [], 0
+        if chunk:
+            yield from encoded(chunk)
 
     return run
 
@@ -377,9 +408,11 @@ def _strings(data: np.ndarray, edges: np.ndarray) -> pa.Array:
 
 def decode(encoded: DataFrame, pieces: Pieces, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """The same rows and columns, and the decoded text in column ``text_col``."""
-    shared = encoded.sparkSession.sparkContext.broadcast(pieces)
-    at = encoded.columns.index(ids_col)
+    run = _decoder(encoded.sparkSession.sparkContext.broadcast(pieces), encoded.columns.index(ids_col), text_col)
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(text_col, T.StringType())]))
+
 
+def _decoder(shared, at: int, text_col: str):
     def run(batches):
         table = shared.value.bytes_of
         size_of = np.array([len(b) for b in table], np.int64)
@@ -401,4 +434,4 @@ def decode(encoded: DataFrame, pieces: Pieces, ids_col: str = "ids", text_col: s
                 yield pa.RecordBatch.from_arrays([*here.columns, text], [*batch.schema.names, text_col])
                 lo = hi
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(text_col, T.StringType())]))
+    return run

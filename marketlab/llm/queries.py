@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlab.llm import chat_format, context_tree, merkle, near_dup, piece_lattice, quality_classifier, quality_rules, secret_scan, sharding, source_mix, substring_dedup, topk, whitening
-from marketlab.llm._store import materialize, table
+from marketlab.llm._store import table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,9 +59,8 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = piece_lattice.Pieces.load()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = piece_lattice.encode(docs, pieces).select("doc_id", "ids", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("text_sha256"))
-    back = piece_lattice.decode(materialize(encoded, "encoded", "zstd"), pieces)
-    same = F.unhex(F.sha2(F.col("decoded").cast("binary"), 256)).eqNullSafe(F.col("text_sha256"))
+    back = piece_lattice.encode(docs, pieces, decoded_col="decoded")
+    same = F.col("decoded").eqNullSafe(F.col("text").cast("string"))
     return back.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), same.alias("round_trip"))
 
 

@@ -490,6 +490,19 @@ def test_piece_lattice_unit_of_many_pieces(spark):
     assert ids == [2] + [0] * 70_000
 
 
+def test_piece_lattice_shards_shuffle_nothing(spark, docs, monkeypatch):
+    """Several shards of the unit table take one reading of the rows, without an exchange, whatever a chunk holds; and ids are decoded on the way."""
+    pieces = piece_lattice.Pieces.load()
+    want = by_id(piece_lattice.encode(docs, pieces))
+    for chunk in (1, 1 << 26):
+        monkeypatch.setattr(piece_lattice, "CHUNK_BYTES", chunk)
+        parts = piece_lattice.encode(docs, pieces, shard_bytes=100_000, decoded_col="decoded")
+        plan = parts._jdf.queryExecution().sparkPlan().toString()
+        assert "hashpartitioning" not in plan and "Aggregate" not in plan and plan.count("MapInArrow") == 1 and parts.columns == [*docs.columns, "ids", "decoded"]
+        got = by_id(parts)
+        assert set(got) == set(want) and all(got[i]["ids"] == r["ids"] and got[i]["decoded"] == r["text"] == got[i]["text"] for i, r in want.items())
+
+
 def dedup_by_brute_force(rows, window=13):
     """(id, text) -> (words, removed, digest), rows of one id apart."""
     first = {}
